@@ -1,0 +1,345 @@
+"""Recurrent regressors over the sequence table.
+
+Scoring runs on Arrow batches inside ``mapInArrow``. Training is data-parallel: in each epoch
+every task walks its shuffled share of the samples in minibatches, starting from the same
+weights, and Spark averages what the tasks return. Only the weights, whose number depends on
+the model and not on the data, reach the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stormframe.config import RecurrentSettings
+
+# Gates per cell, in the order their rows are stacked in the weight matrices:
+# lstm: input, forget, candidate, output; gru: reset, update, candidate.
+GATES = {"lstm": 4, "gru": 3}
+
+
+@dataclass(frozen=True)
+class RecurrentModel:
+    """Weights of a stack of recurrent layers and of the linear read-out on top."""
+
+    cell: str
+    features: int
+    hidden: int
+    layers: int
+    weights: np.ndarray
+
+    @classmethod
+    def create(
+        cls, cell: str, features: int, settings: RecurrentSettings = RecurrentSettings()
+    ) -> RecurrentModel:
+        """Uniform start in plus or minus one over the root of the hidden size."""
+        empty = cls(cell, features, settings.hidden, settings.layers, np.zeros(0))
+        size = sum(int(np.prod(shape)) for shape in empty.shapes().values())
+        bound = 1.0 / np.sqrt(settings.hidden)
+        start = np.random.default_rng(settings.seed).uniform(-bound, bound, size)
+        return replace(empty, weights=start)
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        rows = GATES[self.cell] * self.hidden
+        shapes = {}
+        for layer in range(self.layers):
+            width = self.features if layer == 0 else self.hidden
+            shapes[f"input_{layer}"] = (rows, width)
+            shapes[f"state_{layer}"] = (rows, self.hidden)
+            shapes[f"input_bias_{layer}"] = (rows,)
+            shapes[f"state_bias_{layer}"] = (rows,)
+        return shapes | {"out": (self.hidden,), "out_bias": (1,)}
+
+    def unpack(self, flat: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Named views into the flat weight vector."""
+        flat = self.weights if flat is None else flat
+        views, start = {}, 0
+        for name, shape in self.shapes().items():
+            end = start + int(np.prod(shape))
+            views[name] = flat[start:end].reshape(shape)
+            start = end
+        return views
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """One value per sample of ``x`` (samples, steps, features)."""
+        if x.ndim != 3:
+            raise ValueError(f"expected samples x steps x features, got shape {x.shape}")
+        if x.shape[2] != self.features:
+            raise ValueError(f"expected {self.features} features, got {x.shape[2]}")
+        w = self.unpack()
+        for layer in range(self.layers):
+            x, _ = _forward(self.cell, w, layer, x)
+        return x[:, -1] @ w["out"] + w["out_bias"]
+
+    def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean squared error of a batch and its gradient, by backpropagation through time."""
+        w = self.unpack()
+        gradient = np.zeros_like(self.weights)
+        g = self.unpack(gradient)
+        tapes, inputs = [], [x]
+        for layer in range(self.layers):
+            states, tape = _forward(self.cell, w, layer, inputs[-1])
+            tapes.append(tape)
+            inputs.append(states)
+        top = inputs[-1][:, -1]
+        error = top @ w["out"] + w["out_bias"] - y
+        slope = 2.0 * error / len(y)
+        g["out"][:] = slope @ top
+        g["out_bias"][:] = slope.sum()
+        d_states = np.zeros_like(inputs[-1])
+        d_states[:, -1] = slope[:, None] * w["out"]
+        for layer in reversed(range(self.layers)):
+            d_states = _backward(self.cell, w, g, layer, inputs[layer], tapes[layer], d_states)
+        return float(np.mean(error**2)), gradient
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def _forward(cell, w, layer, x):
+    """Hidden states of every step, and what the backward pass needs."""
+    samples, steps, _ = x.shape
+    state_w, state_b = w[f"state_{layer}"], w[f"state_bias_{layer}"]
+    size = state_w.shape[1]
+    from_input = x @ w[f"input_{layer}"].T + w[f"input_bias_{layer}"]
+    h, c = np.zeros((samples, size)), np.zeros((samples, size))
+    states, tape = np.empty((samples, steps, size)), []
+    for t in range(steps):
+        from_state = h @ state_w.T + state_b
+        if cell == "lstm":
+            z = from_input[:, t] + from_state
+            i, f, o = (_sigmoid(z[:, k * size : (k + 1) * size]) for k in (0, 1, 3))
+            g = np.tanh(z[:, 2 * size : 3 * size])
+            c_new = f * c + i * g
+            squashed = np.tanh(c_new)
+            tape.append((h, c, i, f, g, o, squashed))
+            h, c = o * squashed, c_new
+        else:
+            gates = _sigmoid(from_input[:, t, : 2 * size] + from_state[:, : 2 * size])
+            r, u = gates[:, :size], gates[:, size:]
+            recalled = from_state[:, 2 * size :]
+            n = np.tanh(from_input[:, t, 2 * size :] + r * recalled)
+            tape.append((h, r, u, n, recalled))
+            h = (1.0 - u) * n + u * h
+        states[:, t] = h
+    return states, tape
+
+
+def _backward(cell, w, g, layer, x, tape, d_states):
+    """Accumulate weight gradients of one layer; returns the gradient of its input."""
+    input_w, state_w = w[f"input_{layer}"], w[f"state_{layer}"]
+    d_x, d_h, d_c = np.empty_like(x, dtype=float), 0.0, 0.0
+    for t in reversed(range(x.shape[1])):
+        d_h = d_h + d_states[:, t]
+        if cell == "lstm":
+            h, c, i, f, cand, o, squashed = tape[t]
+            d_c = d_c + d_h * o * (1.0 - squashed**2)
+            d_in = d_rec = np.concatenate(
+                [
+                    d_c * cand * i * (1.0 - i),
+                    d_c * c * f * (1.0 - f),
+                    d_c * i * (1.0 - cand**2),
+                    d_h * squashed * o * (1.0 - o),
+                ],
+                axis=1,
+            )
+            d_c, carried = d_c * f, 0.0
+        else:
+            h, r, u, n, recalled = tape[t]
+            d_n = d_h * (1.0 - u) * (1.0 - n**2)
+            d_r = d_n * recalled * r * (1.0 - r)
+            d_u = d_h * (h - n) * u * (1.0 - u)
+            d_in = np.concatenate([d_r, d_u, d_n], axis=1)
+            d_rec = np.concatenate([d_r, d_u, d_n * r], axis=1)
+            carried = d_h * u
+        g[f"input_{layer}"] += d_in.T @ x[:, t]
+        g[f"state_{layer}"] += d_rec.T @ h
+        g[f"input_bias_{layer}"] += d_in.sum(axis=0)
+        g[f"state_bias_{layer}"] += d_rec.sum(axis=0)
+        d_x[:, t] = d_in @ input_w
+        d_h = d_rec @ state_w + carried
+    return d_x
+
+
+# --- scoring ------------------------------------------------------------------------
+
+
+def _window_array(batch: pa.RecordBatch) -> np.ndarray:
+    """Column ``x`` of a batch as samples x steps x features, without a Python loop."""
+    x = batch.column("x")
+    rows = x.flatten()
+    values = rows.flatten().to_numpy(zero_copy_only=False)
+    steps = len(rows) // max(len(x), 1)
+    width = len(values) // max(len(rows), 1)
+    if len(x) * steps * width != len(values):
+        raise ValueError("windows of a batch differ in shape")
+    return values.reshape(len(x), steps, width).astype(float)
+
+
+def score(model: RecurrentModel, sequences: DataFrame) -> DataFrame:
+    """``sequences`` with ``x`` replaced by the prediction ``y_pred``."""
+    kept = [f for f in sequences.schema if f.name != "x"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", y_pred double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = [batch.column(f.name) for f in kept]
+                predicted = pa.array(model.predict(_window_array(batch)))
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, predicted], names=[*(f.name for f in kept), "y_pred"]
+                )
+
+    return sequences.mapInArrow(run, schema)
+
+
+# --- training -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class TrainedModel:
+    model: RecurrentModel
+    history: DataFrame  # (model, epoch, train_mse, val_mse)
+
+
+def train(
+    cell: str,
+    train_set: DataFrame,
+    val_set: DataFrame,
+    settings: RecurrentSettings = RecurrentSettings(),
+    workers: int | None = None,
+) -> TrainedModel:
+    """Fit ``cell`` on sequence tables with a ``target_ts`` key; Adam on squared error.
+
+    ``workers`` tasks share an epoch (as many as the cluster runs at once by default). With
+    one worker this is plain minibatch training. With more, weights and Adam moments are
+    averaged after each epoch, weighted by the steps a task took. Batches left incomplete at
+    the end of a task are dropped in training; validation uses every sample.
+    """
+    spark = train_set.sparkSession
+    shape = train_set.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size(F.col("x")[0])).alias("width")
+    ).first()
+    if shape["n"] < settings.batch:
+        raise ValueError(f"{shape['n']} samples do not fill one batch of {settings.batch}")
+    most = shape["n"] // settings.batch
+    workers = max(1, min(workers or spark.sparkContext.defaultParallelism, most))
+    model = RecurrentModel.create(cell, shape["width"], settings)
+    moments = np.zeros((2, model.weights.size))
+    steps_done, history = 0.0, []
+    for epoch in range(1, settings.epochs + 1):
+        model, moments, steps_done, train_mse = _epoch(
+            model, moments, steps_done, train_set, settings, workers, epoch
+        )
+        history.append((cell, epoch, train_mse, _batch_loss(model, val_set, settings.batch)))
+    columns = "model string, epoch int, train_mse double, val_mse double"
+    return TrainedModel(model, spark.createDataFrame(history, columns))
+
+
+def _epoch(model, moments, steps_done, train_set, settings, workers, epoch):
+    """One pass over the data as one Spark job; returns the averaged state."""
+    # The order comes from a hash of the row, so a replayed task sees the same batches.
+    draw = F.xxhash64(F.lit(epoch), *train_set.columns)
+    shuffled = (
+        train_set.select("x", "y", draw.alias("_draw"))
+        .repartition(workers, "_draw")
+        .sortWithinPartitions("_draw")
+        .select("x", "y")
+    )
+    size = model.weights.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, m, v = model.weights.copy(), moments[0].copy(), moments[1].copy()
+        step, losses = steps_done, []
+        for x, y in _minibatches(batches, settings.batch, drop_last=True):
+            loss, gradient = replace(model, weights=local).loss_and_gradient(x, y)
+            step += 1
+            m = 0.9 * m + 0.1 * gradient
+            v = 0.999 * v + 0.001 * gradient**2
+            corrected = np.sqrt(v / (1.0 - 0.999**step)) + 1e-8
+            local = local - settings.learning_rate * m / (1.0 - 0.9**step) / corrected
+            losses.append(loss)
+        if losses:
+            taken = float(len(losses))
+            state = np.concatenate([local, m, v, [taken, sum(losses) / taken]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(state.size)), pa.array(state), pa.array(np.full(state.size, taken))],
+                names=["slot", "value", "steps"],
+            )
+
+    # Map-side partial sums: each slot of the state is averaged over the tasks.
+    averaged = (
+        shuffled.mapInArrow(run, "slot long, value double, steps double")
+        .groupBy("slot")
+        .agg((F.sum(F.col("value") * F.col("steps")) / F.sum("steps")).alias("value"))
+        .toPandas()
+        .sort_values("slot")["value"]
+        .to_numpy()
+    )
+    if averaged.size == 0:
+        raise ValueError("no task received a full batch; lower the batch size or the workers")
+    new = replace(model, weights=averaged[:size])
+    moments = averaged[size : 3 * size].reshape(2, size)
+    return new, moments, steps_done + averaged[-2], float(averaged[-1])
+
+
+def _minibatches(batches, size: int, drop_last: bool):
+    """Cut a stream of Arrow batches into minibatches of ``size`` samples."""
+    x = y = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new_x = _window_array(batch)
+        new_y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+        x = new_x if x is None else np.concatenate([x, new_x])
+        y = new_y if y is None else np.concatenate([y, new_y])
+        full = len(y) // size * size
+        for start in range(0, full, size):
+            yield x[start : start + size], y[start : start + size]
+        x, y = x[full:], y[full:]
+    if y is not None and len(y) and not drop_last:
+        yield x, y
+
+
+def _batch_loss(model: RecurrentModel, samples: DataFrame, batch: int) -> float | None:
+    """Mean over batches of the mean squared error.
+
+    Batches are cut per task, so with several tasks the last batch of each may be short.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        losses = [
+            float(np.mean((model.predict(x) - y) ** 2))
+            for x, y in _minibatches(batches, batch, drop_last=False)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([sum(losses)]), pa.array([float(len(losses))])], names=["total", "batches"]
+        )
+
+    row = (
+        samples.select("x", "y")
+        .mapInArrow(run, "total double, batches double")
+        .agg((F.sum("total") / F.nullif(F.sum("batches"), F.lit(0.0))).alias("loss"))
+        .first()
+    )
+    return row["loss"]
+
+
+def save_model(spark: SparkSession, model: RecurrentModel, path: str) -> None:
+    """Weights as a small table next to what is needed to read them back."""
+    rows = [(model.cell, model.features, model.hidden, model.layers, model.weights.tolist())]
+    schema = "cell string, features int, hidden int, layers int, weights array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> RecurrentModel:
+    row = spark.read.parquet(path).first()
+    return RecurrentModel(
+        row["cell"], row["features"], row["hidden"], row["layers"], np.array(row["weights"])
+    )

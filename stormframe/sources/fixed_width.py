@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ def read_years(
     """Observations of the files whose name ends in a year of the range, ends included.
 
     One scan over the folder; the test on the file name prunes files before they are opened,
-    and absent years are simply not there. Columns ``file_name`` and ``line`` tell rows of
-    equal time apart.
+    and absent years are simply not there. ``line_id`` tells lines apart and serves as tiebreak
+    once the observations are written.
     """
     if start_year > end_year:
         raise ValueError(f"start year {start_year} is after end year {end_year}")
@@ -65,15 +66,13 @@ def read_years(
     lines = (
         reader.text(folder)
         .where(year.between(start_year, end_year))
-        .select("value", name.alias("file_name"))
+        .select("value", name.alias("file_name"), F.monotonically_increasing_id().alias("line_id"))
     )
-    return parse_lines(lines, keep=["file_name"]).withColumn("year", F.year("datetime"))
+    return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
 
 
 def years_between(start: str, end: str) -> tuple[int, int]:
     """Years of two ISO dates; the start must lie before the end."""
-    from datetime import date
-
     first, last = date.fromisoformat(start), date.fromisoformat(end)
     if first >= last:
         raise ValueError(f"start {start} must be before end {end}")

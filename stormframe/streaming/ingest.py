@@ -23,8 +23,9 @@ def landed_observations(
         .option("maxFilesPerTrigger", str(files_per_batch))
         .load(folder)
         .select("value", F.col("_metadata.file_name").alias("file_name"))
+        .withColumn("line_id", F.xxhash64("file_name", "value"))
     )
-    return parse_lines(lines, keep=["file_name"]).withColumn("year", F.year("datetime"))
+    return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
 
 
 def ingest_new_files(
