@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from stormframe.config import SENTINELS
 
 
+# A decimal number or infinity, with blanks around it and nothing else.
+NUMBER = r"^\s*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI]nf(?:inity)?))\s*$"
+
+
 def lenient_double(text: Column) -> Column:
     """Text to double; blank, unparseable or NaN text gives NULL.
 
     ``try_cast`` alone would also read Java's type suffixes (``1.0d``), which are not numbers.
+    The input is named once, so optimizer rewrites that inline it stay small.
     """
-    trimmed = F.trim(text)
-    number = F.when(~trimmed.rlike("[0-9.][dDfF]$"), trimmed.try_cast("double"))
-    return nan_to_null(number)
+    return F.regexp_extract(text, NUMBER, 1).try_cast("double")
 
 
 def nan_to_null(number: Column) -> Column:
@@ -37,13 +40,10 @@ def hour_timestamp(year: Column, day_of_year: Column, hour: Column) -> Column:
     Parts are truncated to whole numbers. Day 366 of a common year and hour 24 are impossible.
     """
     y, d, h = (part.try_cast("int") for part in (year, day_of_year, hour))
-    possible = y.between(1000, 9999) & d.between(1, 366) & h.between(0, 23)
-    safe_year = F.when(possible, y)
-    day = F.date_add(F.make_date(safe_year, F.lit(1), F.lit(1)), d - 1)
-    stamp = F.make_timestamp_ntz(
-        F.year(day), F.month(day), F.day(day), F.when(possible, h), F.lit(0), F.lit(0)
-    )
-    return F.when(F.year(day) == safe_year, stamp)
+    day = F.try_to_date(F.format_string("%04d-%03d", y, d), "yyyy-DDD")
+    # Looking the hour up gives NULL outside 0..23.
+    in_day = F.get(F.array(*(F.lit(i) for i in range(24))), h)
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), in_day, F.lit(0), F.lit(0))
 
 
 def epoch_seconds(time: Column) -> Column:

@@ -29,15 +29,18 @@ def parse_lines(
     fill numbers to narrow that. Lines without a possible date are dropped.
     """
     per_field = sentinels if isinstance(sentinels, Mapping) else dict.fromkeys(fields, list(sentinels))
-    parsed = lines.select(
+    # Slicing bytes is direct, while slicing text would walk the line for every field.
+    raw = F.col(text).cast("binary")
+    numbers = lines.select(
         *keep,
         *(
-            drop_sentinels(
-                lenient_double(F.substring(text, start + 1, end - start)), per_field.get(name, ())
-            ).alias(name)
+            lenient_double(F.substring(raw, start + 1, end - start).cast("string")).alias(name)
             for name, (start, end) in fields.items()
         ),
     )
+    parsed = numbers.withColumns(
+        {name: drop_sentinels(F.col(name), per_field.get(name, ())) for name in fields}
+    )
     stamped = parsed.withColumn("datetime", hour_timestamp(*(F.col(p) for p in TIME_PARTS)))
     return stamped.where(F.col("datetime").isNotNull()).select(*REQUIRED_COLUMNS, *keep)
 
