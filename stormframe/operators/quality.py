@@ -117,7 +117,7 @@ def continuity_report(
     report = (
         F.count_if(gap).alias("num_gaps"),
         F.coalesce(F.max(F.when(gap, F.col("step_hours"))), F.lit(0.0)).alias("max_gap_hours"),
-        F.bround(F.count_if(gap) / F.count(F.lit(1)), 4).alias("gap_fraction"),
+        F.bround(F.try_divide(F.count_if(gap), F.count(F.lit(1))), 4).alias("gap_fraction"),
     )
     return steps.groupBy(*order.by).agg(*report) if order.by else steps.agg(*report)
 

@@ -1,0 +1,151 @@
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from stormframe.config import RecurrentSettings
+from stormframe.operators import recurrent
+from stormframe.operators.recurrent import RecurrentModel
+
+
+def make(cell, features=3, **settings):
+    return RecurrentModel.create(cell, features, RecurrentSettings(**settings))
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def step_by_step(model, sample):
+    """One sample through the published cell equations, one step and one unit at a time."""
+    w, size, x = model.unpack(), model.hidden, [np.asarray(v, float) for v in sample]
+    for layer in range(model.layers):
+        h, c, out = np.zeros(size), np.zeros(size), []
+        for v in x:
+            a = w[f"input_{layer}"] @ v + w[f"input_bias_{layer}"]
+            b = w[f"state_{layer}"] @ h + w[f"state_bias_{layer}"]
+            new = np.zeros(size)
+            for k in range(size):
+                if model.cell == "lstm":
+                    i, f, g, o = (a[j * size + k] + b[j * size + k] for j in range(4))
+                    c[k] = sigmoid(f) * c[k] + sigmoid(i) * np.tanh(g)
+                    new[k] = sigmoid(o) * np.tanh(c[k])
+                else:
+                    r, u = sigmoid(a[k] + b[k]), sigmoid(a[size + k] + b[size + k])
+                    n = np.tanh(a[2 * size + k] + r * b[2 * size + k])
+                    new[k] = (1 - u) * n + u * h[k]
+            h = new
+            out.append(h)
+        x = out
+    return float(w["out"] @ x[-1] + w["out_bias"][0])
+
+
+@pytest.mark.parametrize("cell", ["lstm", "gru"])
+@pytest.mark.parametrize("layers", [1, 2])
+@pytest.mark.parametrize("shape", [(1, 1, 3), (8, 12, 3), (5, 24, 3)])
+def test_forward_pass(cell, layers, shape):
+    model = make(cell, hidden=4, layers=layers)
+    x = np.random.default_rng(0).normal(size=shape)
+    expected = [step_by_step(model, sample) for sample in x]
+    assert model.predict(x).shape == (shape[0],)
+    np.testing.assert_allclose(model.predict(x), expected, atol=1e-12)
+
+
+@pytest.mark.parametrize("cell", ["lstm", "gru"])
+@pytest.mark.parametrize("layers", [1, 2])
+def test_gradient_matches_finite_differences(cell, layers):
+    model = make(cell, hidden=3, layers=layers)
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(4, 5, 3)), rng.normal(size=4)
+    loss, gradient = model.loss_and_gradient(x, y)
+    assert loss == pytest.approx(np.mean((model.predict(x) - y) ** 2))
+    numeric = np.empty_like(gradient)
+    for i in range(gradient.size):
+        moved = []
+        for sign in (1, -1):
+            weights = model.weights.copy()
+            weights[i] += sign * 1e-6
+            moved.append(np.mean((replace(model, weights=weights).predict(x) - y) ** 2))
+        numeric[i] = (moved[0] - moved[1]) / 2e-6
+    np.testing.assert_allclose(gradient, numeric, atol=1e-7)
+
+
+@pytest.mark.parametrize("cell", ["lstm", "gru"])
+def test_bad_input(cell):
+    model = make(cell, hidden=2)
+    with pytest.raises(ValueError, match="samples x steps x features"):
+        model.predict(np.zeros((4, 3)))
+    with pytest.raises(ValueError, match="3 features"):
+        model.predict(np.zeros((4, 3, 2)))
+
+
+def test_default_size():
+    model = make("lstm")
+    assert model.hidden == 64
+    assert model.weights.size == 4 * 64 * (3 + 64 + 2) + 65
+    assert np.abs(model.weights).max() <= 1 / 8
+
+
+def samples(spark, n, steps=5, features=3, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, steps, features)).astype(np.float32)
+    y = np.tanh(x[:, -1, 0] + 0.5 * x[:, -2, 1])
+    rows = [(i, float(y[i]), x[i].tolist()) for i in range(n)]
+    frame = spark.createDataFrame(rows, "target_ts long, y float, x array<array<float>>")
+    return frame.repartition(4), x, y
+
+
+@pytest.mark.parametrize("cell", ["lstm", "gru"])
+def test_distributed_scoring(spark, cell):
+    frame, x, _ = samples(spark, 50)
+    model = make(cell, hidden=4)
+    scored = recurrent.score(model, frame).toPandas().sort_values("target_ts")
+    np.testing.assert_allclose(scored["y_pred"], model.predict(x.astype(float)), atol=1e-9)
+    assert scored.columns.tolist() == ["target_ts", "y", "y_pred"]
+
+
+@pytest.mark.parametrize("cell", ["lstm", "gru"])
+@pytest.mark.parametrize("workers", [1, 3])
+def test_training_lowers_the_loss(spark, cell, workers):
+    train_set, _, _ = samples(spark, 640)
+    val_set, x, y = samples(spark, 100, seed=1)
+    settings = RecurrentSettings(hidden=8, epochs=4, batch=32, learning_rate=1e-2)
+    trained = recurrent.train(cell, train_set, val_set, settings, workers=workers)
+    history = trained.history.orderBy("epoch").toPandas()
+    assert history["epoch"].tolist() == [1, 2, 3, 4]
+    assert history["train_mse"].iloc[-1] < 0.7 * history["train_mse"].iloc[0]
+    start = make(cell, hidden=8).predict(x.astype(float))
+    assert history["val_mse"].iloc[-1] < np.mean((start - y) ** 2)
+
+
+def test_one_epoch_smoke(spark, tmp_path):
+    frame, x, _ = samples(spark, 32)
+    settings = RecurrentSettings(epochs=1, batch=8)
+    trained = recurrent.train("lstm", frame, frame, settings)
+    assert trained.model.predict(x[:4].astype(float)).shape == (4,)
+    recurrent.save_model(spark, trained.model, str(tmp_path / "model"))
+    loaded = recurrent.load_model(spark, str(tmp_path / "model"))
+    np.testing.assert_array_equal(loaded.weights, trained.model.weights)
+    again = recurrent.train("lstm", frame, frame, settings)
+    np.testing.assert_allclose(again.model.weights, trained.model.weights, rtol=1e-12)
+
+
+def test_too_few_samples(spark):
+    frame, _, _ = samples(spark, 10)
+    with pytest.raises(ValueError, match="batch"):
+        recurrent.train("gru", frame, frame, RecurrentSettings(epochs=1))
+
+
+def test_incomplete_batches():
+    import pyarrow as pa
+
+    x = np.arange(20, dtype=float).reshape(10, 2, 1)
+    batches = [
+        pa.RecordBatch.from_pydict({"x": x[a:b].tolist(), "y": list(range(a, b))})
+        for a, b in ((0, 3), (3, 3), (3, 10))
+    ]
+    sizes = [len(y) for _, y in recurrent._minibatches(iter(batches), 4, drop_last=True)]
+    assert sizes == [4, 4]
+    kept = list(recurrent._minibatches(iter(batches), 4, drop_last=False))
+    assert [len(y) for _, y in kept] == [4, 4, 2]
+    np.testing.assert_array_equal(np.concatenate([a for a, _ in kept]), x)
