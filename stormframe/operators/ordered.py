@@ -31,9 +31,7 @@ def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) ->
     if not plan.divided:
         return blocked.withColumns({c: F.coalesce(past[c], head[c]) for c in columns})
 
-    edges = plan.summarise(
-        blocked, *(_edge(pick, c, plan) for c in columns for pick in ("first", "last"))
-    )
+    edges = plan.summarise(blocked, *_edges(columns, plan))
     before = plan.across_blocks().rowsBetween(Window.unboundedPreceding, -1)
     whole_series = plan.across_blocks().rowsBetween(*_WHOLE)
     carry = edges.select(
@@ -62,11 +60,13 @@ def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) ->
     return plan.attach(blocked.withColumns(windows), carry).withColumns(filled).drop(*helpers)
 
 
-def _edge(pick: str, column: str, plan: BlockPlan) -> Column:
-    """First or last value of a block that is not missing."""
-    at = F.when(F.col(column).isNotNull(), plan.position())
-    choose = F.min_by if pick == "first" else F.max_by
-    return choose(column, at).alias(f"_{pick}_{column}")
+def _edges(columns: Sequence[str], plan: BlockPlan) -> list[Column]:
+    """First and last value of each column in a block that is not missing."""
+    position, edges = plan.position(), []
+    for c in columns:
+        at = F.when(F.col(c).isNotNull(), position)
+        edges += [F.min_by(c, at).alias(f"_first_{c}"), F.max_by(c, at).alias(f"_last_{c}")]
+    return edges
 
 
 def with_position(blocked: DataFrame, plan: BlockPlan) -> DataFrame:

@@ -72,8 +72,14 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, folder: str) -> DataFrame:
-    """Conditioned rows with position and split."""
-    return preparation.split_table(preparation.condition(solar_wind(spark, folder)))
+    """Conditioned rows with position and split.
+
+    The conditioned rows are stored before they are counted, as in :func:`prepare`, because
+    fits and counts read them again.
+    """
+    conditioned = preparation.condition(solar_wind(spark, folder))
+    stored = preparation.Conditioned(reliable_checkpoint(conditioned.rows), conditioned.plan)
+    return preparation.split_table(stored)
 
 
 # --- severity -----------------------------------------------------------------------
