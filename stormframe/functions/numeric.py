@@ -61,6 +61,6 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return elapsed.cast("interval second").cast("decimal(18,6)").cast("double") / F.lit(3600.0)
 
 
-def name_from_file(file_name: Column, suffix: str) -> Column:
-    """File name without ``suffix`` and extension: the model name of a prediction file."""
-    return F.regexp_extract(file_name, rf"^(?:.*/)?([^/]*?){suffix}\.[^./]+$", 1)
+def name_from_file(path: Column, suffix: str) -> Column:
+    """Name before ``suffix`` and the extension: the model name of a prediction file or folder."""
+    return F.regexp_extract(path, rf"([^/]*?){suffix}\.[^./]+(?:/|$)", 1)

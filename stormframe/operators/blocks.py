@@ -19,6 +19,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ SERIES = "_series"
 BLOCK_ROWS = 4_000_000
 SMALLEST_BLOCK = 1_000
 SAMPLE_LIMIT = 2_000_000
+HOT_SERIES_LIMIT = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,11 @@ class BlockPlan:
         """Whether any series spans more than one block, so that carries are needed."""
         return bool(self.time_cuts)
 
+    @property
+    def blocks(self) -> int:
+        """Upper bound on the number of blocks, known from the cuts."""
+        return len(self.time_cuts) + len(self.tie_cuts) + 1
+
     @property
     def group(self) -> list[str]:
         """Columns that identify one block of one series."""
@@ -100,9 +108,12 @@ class BlockPlan:
     def attach(self, blocked: DataFrame, summary: DataFrame) -> DataFrame:
         """Bring per-block values to the rows.
 
-        There is no hint: the optimizer broadcasts the summary when its measured size allows
-        and otherwise joins on the block, which is how the windows are partitioned anyway.
+        The summary holds one row per block, so its size is known before it is built: up to
+        ``BROADCAST_BYTES`` it is broadcast. Beyond that it is joined on the block, which is
+        how the windows have partitioned and sorted the rows already.
         """
+        if self.blocks * len(summary.columns) * 24 <= BROADCAST_BYTES:
+            summary = F.broadcast(summary)
         return blocked.join(summary, self.group, "left")
 
     def clean(self, df: DataFrame) -> DataFrame:
@@ -152,18 +163,18 @@ def _plan_series(df, keys, stats, order, block_rows) -> BlockPlan:
     _require_placed(overall["unplaced"] or 0, order)
     if not overall["large"]:
         return _cut(keys, order, overall, 0, leads=0)
-    # At most rows / block_rows series can be this large.
-    large = sizes.where(F.col("n") > block_rows).select(SERIES, "n").collect()
-    schema = T.StructType(
-        [keys.schema[SERIES], T.StructField("_lead", T.DoubleType(), False)]
-    )
+    # At most rows / block_rows series can be this large, which bounds what is collected and
+    # what is broadcast; a very long list is left to a plain join.
+    large = sizes.where(F.col("n") > block_rows).select(SERIES, "n").toArrow()
+    counts = large["n"].to_numpy()
     hot = df.sparkSession.createDataFrame(
-        [(row[SERIES], float(i)) for i, row in enumerate(large)], schema
+        pa.table({SERIES: large[SERIES], "_lead": np.arange(len(counts), dtype=float)})
     )
-    hot_rows = sum(row["n"] for row in large)
-    blocks = sum(math.ceil(row["n"] / block_rows) for row in large)
+    if len(counts) <= HOT_SERIES_LIMIT:
+        hot = F.broadcast(hot)
+    blocks = int(np.ceil(counts / block_rows).sum())
     return _cut(
-        keys.join(hot, SERIES), order, overall, blocks, len(large), hot, hot_rows
+        keys.join(hot, SERIES), order, overall, blocks, len(counts), hot, int(counts.sum())
     )
 
 
@@ -180,7 +191,7 @@ def _cut(keys, order, total, blocks, leads, hot=None, sampled_rows=None) -> Bloc
                 (F.col("_lead") + _fraction(F.col("_s"), time_range)).alias("code"),
                 _fraction(F.col("_t").cast("double"), tie_range).alias("tie"),
             )
-            .toPandas()
+            .toArrow()
         )
         time_cuts, tie_cuts = _cut_points(
             sample["code"].to_numpy(), sample["tie"].to_numpy(), blocks, leads

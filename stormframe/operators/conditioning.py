@@ -43,6 +43,11 @@ def require_complete(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"missing values remain: {missing}")
 
 
+def in_time_order(df: DataFrame, order: SeriesOrder = SeriesOrder()) -> DataFrame:
+    """Total order for a sink: partitions cover consecutive ranges and are sorted inside."""
+    return df.orderBy(*order.keys)
+
+
 def first_rows(df: DataFrame, rows: int = 500, order: SeriesOrder = SeriesOrder()) -> DataFrame:
     """The earliest ``rows`` rows: the data behind a time-series chart."""
-    return df.orderBy(order.time, order.tiebreak).limit(rows)
+    return in_time_order(df, order).limit(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stormframe.operators.ordered import POSITION
 
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 10_000
 
 
 def sequence_windows(
@@ -20,7 +20,7 @@ def sequence_windows(
     time: str = "datetime",
     by: Sequence[str] = (),
     keep: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """One row per sample: ``target_ts``, ``y`` and ``x`` (window x features, 32-bit).
 
@@ -33,7 +33,8 @@ def sequence_windows(
     """
     if window < 1:
         raise ValueError("window must be >= 1")
-    chunk_rows = max(chunk_rows, window)
+    # By default the copied rows are at most one in 64.
+    chunk_rows = max(chunk_rows or max(CHUNK_ROWS, 64 * window), window)
     own = F.expr(f"{POSITION} div {chunk_rows}")
     at_end = F.col(POSITION) % chunk_rows >= chunk_rows - window
     rows = positioned.select(
@@ -94,14 +95,26 @@ def align_features_target(
 ) -> DataFrame:
     """Pair features with targets one to one on the time key.
 
-    ``check`` counts both sides and the result, and raises when any row found no partner or
-    more than one.
+    ``check`` raises unless every key occurs once on each side. It aggregates the keys alone,
+    combined before they are shuffled, so a key with many copies is not a hot spot.
     """
-    paired = x.join(y, list(keys), "inner")
     if check:
-        counts = [d.count() for d in (x, y, paired)]
-        if len(set(counts)) != 1:
+        sides = x.select(*keys, F.lit(1).alias("_x"), F.lit(0).alias("_y")).unionByName(
+            y.select(*keys, F.lit(0).alias("_x"), F.lit(1).alias("_y"))
+        )
+        found = (
+            sides.groupBy(*keys)
+            .agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+            .agg(
+                F.sum("_x").alias("x_rows"),
+                F.sum("_y").alias("y_rows"),
+                F.count_if((F.col("_x") != 1) | (F.col("_y") != 1)).alias("bad"),
+            )
+            .first()
+        )
+        if found["bad"]:
             raise ValueError(
-                "features and target differ: {} feature rows, {} target rows, {} pairs".format(*counts)
+                f"features and target differ: {found['x_rows']} feature rows, "
+                f"{found['y_rows']} target rows, {found['bad']} keys not paired one to one"
             )
-    return paired
+    return x.join(y, list(keys), "inner")

@@ -216,18 +216,22 @@ SAMPLES = (
 # --- windows -------------------------------------------------------------------------------
 
 
-def windows(within: str) -> str:
+def windows(within: str, window: int = WINDOW, keep_split: bool = True) -> str:
     features = ", ".join(f"f.{c}::FLOAT::DOUBLE AS {c}" for c in FEATURES)
-    extra = ", t.split" if within else ""
+    extra = ", t.split" if within and keep_split else ""
     return SPLITS + f"""SELECT t.datetime AS target_ts, t.rn, t.storm_severity_index::FLOAT::DOUBLE AS y,
   s.step::BIGINT AS step, {features}{extra}
-FROM splits t CROSS JOIN (SELECT unnest(range({WINDOW})) AS step) s
-JOIN splits f ON f.rn = t.rn - {WINDOW} + s.step
-WHERE t.rn >= {WINDOW} {within}"""
+FROM splits t CROSS JOIN (SELECT unnest(range({window})) AS step) s
+JOIN splits f ON f.rn = t.rn - {window} + s.step
+WHERE t.rn >= {window} {within}"""
 
 
-FIRST_OF_SPLIT = f"""AND EXISTS (
-  SELECT 1 FROM splits e WHERE e.rn = t.rn - {WINDOW} AND e.split = t.split)"""
+
+
+def inside_split(window: int) -> str:
+    return f"""AND EXISTS (
+  SELECT 1 FROM splits e WHERE e.rn = t.rn - {window} AND e.split = t.split)"""
+
 
 # --- metrics -------------------------------------------------------------------------------
 
@@ -451,7 +455,7 @@ FROM splits GROUP BY split, storm_severity_class""",
         f"{rnd(c)} AS {c}" for c in SCALED_COLUMNS
     ) + " FROM splits",
     "sequence_windows": windows(""),
-    "sequence_windows_by_split": windows(FIRST_OF_SPLIT),
+    "sequence_windows_by_split": windows(inside_split(WINDOW)),
     "align_features_target": UNFILLED + """SELECT x.datetime, x.event_id, x.bt, x.bz_gsm, x.speed, x.density,
   y.storm_severity_index FROM derived x JOIN derived y USING (datetime, event_id)""",
     "persistence_forecast": chain(UNFILLED, NAIVE) + "SELECT datetime, event_id, y_true, y_pred FROM naive",
@@ -466,6 +470,18 @@ GROUP BY model""",
     "scatter_bins": with_(WIND, limited("wind"), normed("limited"), TWO_INDEX)
     + """SELECT floor(y_true / 0.05::DOUBLE)::BIGINT AS true_bin,
   floor(y_pred / 0.05::DOUBLE)::BIGINT AS pred_bin, count(*) AS points FROM two_index GROUP BY 1, 2""",
+    "truth_vs_prediction": with_(WIND, limited("wind"), normed("limited"), TWO_INDEX)
+    + "SELECT y_true, y_pred FROM two_index",
+    "chronological_sort": with_(WIND) + f"SELECT * FROM wind {ORDER}",
+    "stored_csv": with_(WIND) + f"SELECT {OBSERVATION} FROM wind",
+    "stored_observations": with_(PARSED)
+    + f"SELECT {OBSERVATION}, event_id, year FROM parsed WHERE year BETWEEN 2020 AND 2022",
+    "stored_split": SPLITS + f"""SELECT datetime, event_id, {", ".join(FEATURES)}, storm_severity_index
+FROM splits WHERE split = 'val'""",
+    "stored_sequences": windows(f"{inside_split(3)} AND t.split = 'test'", 3, keep_split=False),
+    "stored_predictions": chain(UNFILLED, NAIVE, TWO_INDEX) + f"""SELECT model, {METRICS} FROM (
+  SELECT model, y_true, y_pred FROM naive UNION ALL SELECT model, y_true, y_pred FROM two_index)
+GROUP BY model""",
     "gram_matrix": UNFILLED + gram(),
     "linear_regression_predictions": chain(
         SPLITS, least_squares("splits", BASELINE, "storm_severity_index", det3)

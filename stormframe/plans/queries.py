@@ -41,7 +41,8 @@ from stormframe.operators.sequences import (
 )
 from stormframe.plans import prepare as preparation
 from stormframe.plans.baselines import evaluate, persistence_predictions
-from stormframe.session import reliable_checkpoint
+from stormframe.session import reliable_checkpoint, shared_folder
+from stormframe.sources import tables
 from stormframe.sources.events import solar_wind
 from stormframe.sources.fixed_width import in_years, new_rows, parse_lines, parsed_range
 from stormframe.sources.header_json import parse_payloads
@@ -381,6 +382,62 @@ def scatter_bins(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.scatter_bins(two_index_predictions(spark, folder))
 
 
+def truth_vs_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.truth_vs_prediction(two_index_predictions(spark, folder))
+
+
+def chronological_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return conditioning.in_time_order(solar_wind(spark, folder))
+
+
+# --- stored tables ------------------------------------------------------------------
+
+
+def stored_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations written as CSV and read back with the declared schema."""
+    target = f"{shared_folder(spark)}/combined.csv"
+    stamps = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    table = conditioning.model_columns(solar_wind(spark, folder))
+    table.write.option("header", "true").options(**stamps).csv(target)
+    return tables.read_observations_csv(spark, target, **stamps)
+
+
+def stored_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations written by year; the filter prunes the other years."""
+    target = f"{shared_folder(spark)}/observations"
+    tables.write_observations(parsed_lines(spark, folder).drop("file_name"), target)
+    stored = spark.read.parquet(target).where(F.col("year").between(2020, 2022))
+    return stored.withColumn("year", F.col("year").cast("long"))
+
+
+def stored_split(spark: SparkSession, folder: str) -> DataFrame:
+    """One split of the stored table, read with pruned partitions and columns."""
+    target = f"{shared_folder(spark)}/tabular"
+    tables.write_splits(splits(spark, folder), target)
+    return tables.read_split(spark, target, "val", FEATURES, keys=KEYS)
+
+
+def stored_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    target = f"{shared_folder(spark)}/sequences"
+    windows = preparation.split_windows(splits(spark, folder), Settings(window=3))
+    tables.write_sequences(windows, target, 3)
+    stored = tables.read_sequences(spark, target, "test").drop("split", "window")
+    return _as_doubles(flatten_windows(stored, FEATURES))
+
+
+def stored_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of two models in two folders, found by name and compared."""
+    target = shared_folder(spark)
+    two_index = two_index_predictions(spark, folder)
+    naive = persistence_predictions(derived(spark, folder).select(*KEYS, TARGET))
+    for place, name, table in (("a", "index_weights", two_index), ("b", "persistence", naive)):
+        table.select("model", "y_true", "y_pred").write.option("header", "true").csv(
+            f"{target}/{place}/{name}{tables.PREDICTION_SUFFIX}.csv"
+        )
+    found = tables.read_predictions(spark, [f"{target}/{p}" for p in ("a", "b", "none")])
+    return rounded(metrics.model_comparison(found), "rmse", "mae", "r2")
+
+
 # --- models -------------------------------------------------------------------------
 
 
@@ -483,6 +540,13 @@ QUERIES: dict[str, Query] = {
     "model_comparison": model_comparison,
     "timeseries_head": timeseries_head,
     "scatter_bins": scatter_bins,
+    "truth_vs_prediction": truth_vs_prediction,
+    "chronological_sort": chronological_sort,
+    "stored_csv": stored_csv,
+    "stored_observations": stored_observations,
+    "stored_split": stored_split,
+    "stored_sequences": stored_sequences,
+    "stored_predictions": stored_predictions,
     "gram_matrix": gram_matrix,
     "linear_regression_predictions": linear_regression_predictions,
     "random_forest_metrics": random_forest_metrics,

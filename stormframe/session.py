@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,24 @@ def local_session(cpus: int = 8, name: str = "stormframe") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``."""
+    return f"{_checkpoint_folder(spark)}/stormframe-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    The rows are written to reliable storage, so lost executors do not replay what came
-    before. A folder is chosen here only when the session names none.
+    The rows are written to reliable storage, so lost executors do not replay what came before.
     """
-    spark = df.sparkSession
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is chosen here only where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stormframe-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()

@@ -6,7 +6,9 @@ Parquet is used between stages; CSV is read for tables that come from elsewhere.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +29,10 @@ PREDICTION_SUFFIX = "_test_predictions"
 
 
 def read_observations_csv(
-    spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA
+    spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA, **options: str
 ) -> DataFrame:
     """CSV with a header and a declared schema; NaN is read as missing."""
-    table = spark.read.schema(schema).option("header", "true").csv(path)
+    table = spark.read.schema(schema).option("header", "true").options(**options).csv(path)
     doubles = [f.name for f in schema if isinstance(f.dataType, T.DoubleType)]
     return table.withColumns({c: nan_to_null(F.col(c)) for c in doubles})
 
@@ -50,21 +52,23 @@ def read_sequences(spark: SparkSession, path: str, split: str | None = None) ->
 
 
 def read_predictions(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
-    """Prediction files ``<model>_test_predictions.*`` of several folders, in one scan.
+    """Predictions ``<model>_test_predictions.csv`` (a file or a folder of parts) of several folders.
 
-    The model name comes from the file name.
+    The model name comes from the path. Folders without predictions are passed over.
     """
-    table = (
-        spark.read.schema(PREDICTION_SCHEMA)
-        .option("header", "true")
-        .option("pathGlobFilter", f"*{PREDICTION_SUFFIX}.csv")
-        .csv(list(folders))
-    )
-    model = name_from_file(F.col("_metadata.file_name"), PREDICTION_SUFFIX)
-    named = table.select(model.alias("model"), "y_true", "y_pred")
-    if named.isEmpty():
+    found = []
+    for folder in folders:
+        reader = spark.read.schema(PREDICTION_SCHEMA).option("header", "true")
+        try:
+            found.append(reader.csv(f"{folder}/*{PREDICTION_SUFFIX}.csv"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
         raise FileNotFoundError(f"no predictions found under {list(folders)}")
-    return named
+    name = name_from_file(F.col("_metadata.file_path"), PREDICTION_SUFFIX)
+    parts = [table.select(name.alias("model"), "y_true", "y_pred") for table in found]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_scaler(spark: SparkSession, path: str) -> Scaler:

@@ -88,7 +88,7 @@ def test_alignment_counts(spark):
     frame = positioned(spark, 10)
     x, y = frame.select("datetime", "f0"), frame.select("datetime", "target")
     assert align_features_target(x, y, ["datetime"]).count() == 10
-    with pytest.raises(ValueError, match="10 feature rows, 9 target rows"):
+    with pytest.raises(ValueError, match="10 feature rows, 9 target rows, 1 keys"):
         align_features_target(x, y.where("target > 0"), ["datetime"])
     with pytest.raises(ValueError):
         align_features_target(x, y.union(y.limit(1)), ["datetime"])
