@@ -386,7 +386,7 @@ OBSERVATION = "datetime, bt, bz_gsm, speed, density, dst"
 
 ORACLE: dict[str, str] = {
     "severity_summary": UNFILLED + f"""SELECT storm_severity_class, count(*) AS n_rows,
-  {rnd("avg(storm_severity_index)")} AS mean_index, min(auroral_latitude_deg) AS min_latitude,
+  {rnd("avg(storm_severity_index)", 9)} AS mean_index, min(auroral_latitude_deg) AS min_latitude,
   CASE storm_severity_class WHEN 'quiet' THEN 0 WHEN 'minor' THEN 1 WHEN 'moderate' THEN 2
     WHEN 'severe' THEN 3 WHEN 'extreme' THEN 4 END::BIGINT AS class_rank
 FROM derived GROUP BY storm_severity_class""",
@@ -441,8 +441,8 @@ UNION ALL SELECT 'sequence_length', true UNION ALL SELECT 'n_features', true""",
   WHEN rn < n_rows - floor(n_rows * 0.15::DOUBLE) - floor(n_rows * 0.15::DOUBLE) THEN 'train'
   WHEN rn < n_rows - floor(n_rows * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM counted""",
     "prepared_split_summary": SPLITS + f"""SELECT split, storm_severity_class, count(*) AS n_rows,
-  {rnd("avg(storm_severity_index)")} AS mean_index,
-  {rnd("avg(auroral_latitude_deg)")} AS mean_latitude,
+  {rnd("avg(storm_severity_index)", 9)} AS mean_index,
+  {rnd("avg(auroral_latitude_deg)", 9)} AS mean_latitude,
   min(datetime) AS first_time, max(datetime) AS last_time
 FROM splits GROUP BY split, storm_severity_class""",
     "scaler_fit": chain(SPLITS, SCALER) + "SELECT " + ", ".join(
@@ -452,7 +452,7 @@ FROM splits GROUP BY split, storm_severity_class""",
         f"{rnd(f'({c} - {c}_mean) / {c}_scale')} AS {c}" for c in SCALED_COLUMNS
     ) + " FROM splits, scaler",
     "unscale": SPLITS + "SELECT datetime, event_id, " + ", ".join(
-        f"{rnd(c)} AS {c}" for c in SCALED_COLUMNS
+        f"{rnd(c, 9)} AS {c}" for c in SCALED_COLUMNS
     ) + " FROM splits",
     "sequence_windows": windows(""),
     "sequence_windows_by_split": windows(inside_split(WINDOW)),

@@ -56,8 +56,9 @@ SCORE_WINDOW = 3
 SCORE_FEATURES = ("dst_norm", "bz_norm")
 
 
-def r6(column: str | Column) -> Column:
-    return F.round(column, 6)
+def r9(column: str | Column) -> Column:
+    """Means of short decimals can end in exactly half a unit of the sixth place."""
+    return F.round(column, 9)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -92,7 +93,7 @@ def severity_summary(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("storm_severity_class")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            r6(F.avg(TARGET)).alias("mean_index"),
+            r9(F.avg(TARGET)).alias("mean_index"),
             F.min("auroral_latitude_deg").alias("min_latitude"),
         )
         .withColumn("class_rank", severity_rank(F.col("storm_severity_class")).cast("long"))
@@ -286,8 +287,8 @@ def prepared_split_summary(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("split", "storm_severity_class")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            r6(F.avg(TARGET)).alias("mean_index"),
-            r6(F.avg("auroral_latitude_deg")).alias("mean_latitude"),
+            r9(F.avg(TARGET)).alias("mean_index"),
+            r9(F.avg("auroral_latitude_deg")).alias("mean_latitude"),
             F.min("datetime").alias("first_time"),
             F.max("datetime").alias("last_time"),
         )
@@ -309,7 +310,7 @@ def unscale(spark: SparkSession, folder: str) -> DataFrame:
     table = splits(spark, folder)
     scaler = Scaler.fit(table, [*FEATURES, TARGET])
     restored = scaler.inverse(scaler.transform(table))
-    return rounded(restored.select(*KEYS, *FEATURES, TARGET), *FEATURES, TARGET)
+    return rounded(restored.select(*KEYS, *FEATURES, TARGET), *FEATURES, TARGET, places=9)
 
 
 # --- windows ------------------------------------------------------------------------

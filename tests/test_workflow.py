@@ -8,13 +8,22 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stormframe.config import MEASUREMENTS, ForestSettings, Settings
+from test_sources import line
+
+from stormframe.config import MEASUREMENTS, ForestSettings, SeriesOrder, Settings
 from stormframe.operators.regression import baseline_models
 from stormframe.operators.sequences import check_sequences
 from stormframe.plans.baselines import evaluate, run_baselines, run_evaluation
 from stormframe.plans.prepare import condition, prepare, split_table
 from stormframe.session import reliable_checkpoint
-from stormframe.sources.tables import read_scaler, read_sequences, read_split, write_predictions
+from stormframe.sources.fixed_width import read_years
+from stormframe.sources.tables import (
+    read_scaler,
+    read_sequences,
+    read_split,
+    write_observations,
+    write_predictions,
+)
 
 SETTINGS = Settings(window=6, limits={"bt": (0.0, 12.0), "speed": (200.0, 1200.0)})
 
@@ -108,6 +117,30 @@ def test_split_reads_only_what_it_needs(spark, prepared):
     assert "ReadSchema: struct<speed:double,storm_severity_index:double>" in plan
 
 
+def test_from_landed_files_to_metrics(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    rng = np.random.default_rng(3)
+    for year in (2020, 2021):
+        values = rng.uniform(size=(90, 24, 5))
+        lines = [
+            line(year, day + 1, hour, f"{v[0] * 5:.1f}", f"{-v[1] * 9:.1f}", f"{1 + v[2] * 9:.1f}",
+                 f"{300 + v[3] * 400:.0f}", f"{-v[4] * 99:.0f}")
+            for day in range(90) for hour, v in enumerate(values[day])
+        ]
+        (landing / f"{year}.dat").write_text("\n".join(lines))
+    order, folder = SeriesOrder(tiebreak="line_id"), str(tmp_path / "out")
+    table = str(tmp_path / "observations")
+    write_observations(read_years(spark, str(landing), 2000, 2026), table)
+    summary = prepare(spark.read.parquet(table), folder, order=order).first()
+    assert sum(summary[f"{s}_samples"] for s in ("train", "val", "test")) == 2 * 90 * 24 - 3 * 24
+    models = {"linear_regression": baseline_models()["linear_regression"]}
+    run_baselines(spark, f"{folder}/tabular", folder, models, keys=["datetime", "line_id"])
+    metrics = run_evaluation(spark, f"{folder}/tabular", folder, order=order).collect()
+    assert [r["model"] for r in metrics] == ["linear_regression", "persistence"]
+    assert metrics[0]["rmse"] < metrics[1]["rmse"]
+
+
 def test_gate_stops_small_tables(spark, tmp_path):
     frame = spark.createDataFrame(pa.Table.from_pandas(random_hours(300), preserve_index=False))
     with pytest.raises(ValueError, match="not enough"):
