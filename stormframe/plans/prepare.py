@@ -48,6 +48,7 @@ def condition(
     settings: Settings = Settings(),
     order: SeriesOrder = SeriesOrder(),
     block_rows: int | None = None,
+    plan: BlockPlan | None = None,
 ) -> Conditioned:
     """Fill, drop what cannot be filled, remove implausible rows, derive the target.
 
@@ -56,7 +57,7 @@ def condition(
     """
     check_schema(observations)
     table = model_columns(observations, [order.tiebreak, *order.by])
-    plan = plan_blocks(table, order, block_rows)
+    plan = plan or plan_blocks(table, order, block_rows)
     filled = fill_missing(plan.assign(table), plan, MEASUREMENTS)
     kept = within_limits(drop_missing(filled, MEASUREMENTS), settings.limits)
     derived = with_derived_features(kept, settings.weights)
@@ -103,8 +104,13 @@ def prepare(
     one-row summary; ``gate`` raises when it is too small to train on.
     """
     spark = observations.sparkSession
-    require_valid(validation_report(observations, order=order, block_rows=block_rows))
-    conditioned = condition(observations, settings, order, block_rows)
+    check_schema(observations)
+    plan = plan_blocks(observations, order, block_rows)
+    shared = None if order.by else plan
+    require_valid(
+        validation_report(observations, order=order, block_rows=block_rows, plan=shared)
+    )
+    conditioned = condition(observations, settings, order, plan=plan)
     conditioned.rows.write.mode("overwrite").parquet(f"{folder}/conditioned")
     stored = Conditioned(spark.read.parquet(f"{folder}/conditioned"), conditioned.plan)
     require_complete(stored.rows, [*settings.features, settings.target])
