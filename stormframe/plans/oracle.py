@@ -456,6 +456,17 @@ FROM splits GROUP BY split, storm_severity_class""",
     ) + " FROM splits",
     "sequence_windows": windows(""),
     "sequence_windows_by_split": windows(inside_split(WINDOW)),
+    "sequence_windows_by_user": with_(
+        WIND,
+        derived("wind"),
+        f"""placed AS (SELECT user_id, datetime, speed, storm_severity_index AS ssi,
+  row_number() OVER (PARTITION BY user_id {ORDER}) - 1 AS rn FROM derived)""",
+    )
+    + """SELECT t.user_id, t.rn, t.datetime AS target_ts, t.ssi::FLOAT::DOUBLE AS y, s.step::BIGINT AS step,
+  f.speed::FLOAT::DOUBLE AS speed
+FROM placed t CROSS JOIN (SELECT unnest(range(3)) AS step) s
+JOIN placed f ON f.user_id = t.user_id AND f.rn = t.rn - 3 + s.step
+WHERE t.rn >= 3""",
     "align_features_target": UNFILLED + """SELECT x.datetime, x.event_id, x.bt, x.bz_gsm, x.speed, x.density,
   y.storm_severity_index FROM derived x JOIN derived y USING (datetime, event_id)""",
     "persistence_forecast": chain(UNFILLED, NAIVE) + "SELECT datetime, event_id, y_true, y_pred FROM naive",

@@ -334,6 +334,15 @@ def sequence_windows_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return _as_doubles(flatten_windows(windows, FEATURES))
 
 
+def sequence_windows_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 3 rows that stay inside one user's series."""
+    table = with_derived_features(solar_wind(spark, folder)).select("user_id", *KEYS, "speed", TARGET)
+    plan = plan_blocks(table, BY_USER)
+    positioned = plan.clean(with_position(plan.assign(table), plan))
+    windows = sequence_windows(positioned, ["speed"], TARGET, 3, by=["user_id"])
+    return _as_doubles(flatten_windows(windows, ["speed"]))
+
+
 def align_features_target_query(spark: SparkSession, folder: str) -> DataFrame:
     table = derived(spark, folder)
     return align_features_target(
@@ -534,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "unscale": unscale,
     "sequence_windows": sequence_windows_query,
     "sequence_windows_by_split": sequence_windows_by_split,
+    "sequence_windows_by_user": sequence_windows_by_user,
     "align_features_target": align_features_target_query,
     "persistence_forecast": persistence_forecast,
     "regression_metrics": regression_metrics,
