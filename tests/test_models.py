@@ -19,7 +19,7 @@ def measure(spark, y_true, y_pred):
     return metrics.regression_metrics(predictions(spark, y_true, y_pred)).first()
 
 
-def test_metrics_of_the_reference_points(spark):
+def test_metrics_of_known_points(spark):
     row = measure(spark, np.linspace(0, 1, 200), np.linspace(0.05, 0.95, 200))
     assert row["rmse"] == pytest.approx(0.0290122137, abs=1e-9)
     assert row["mae"] == pytest.approx(0.0251256281, abs=1e-9)
