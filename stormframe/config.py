@@ -113,27 +113,12 @@ class ForestSettings:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class RecurrentSettings:
-    hidden: int = 64
-    layers: int = 1
-    epochs: int = 10
-    batch: int = 64
-    learning_rate: float = 1e-3
-    seed: int = 42
-
-
 @dataclass(frozen=True)
 class Settings:
-    start: str = "2000-01-01"
-    end: str = "2026-02-02"
     window: int = 24
     val_fraction: float = 0.15
     test_fraction: float = 0.15
     features: tuple[str, ...] = FEATURES
-    baseline_features: tuple[str, ...] = BASELINE_FEATURES
     target: str = TARGET
     weights: tuple[float, ...] = DERIVED_WEIGHTS
     limits: dict = field(default_factory=lambda: dict(CONDITIONING_LIMITS))
-    forest: ForestSettings = ForestSettings()
-    recurrent: RecurrentSettings = RecurrentSettings()

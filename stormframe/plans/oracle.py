@@ -8,7 +8,7 @@ rounded on both sides.
 from __future__ import annotations
 
 from stormframe.config import CONDITIONING_LIMITS, DERIVED_WEIGHTS, INDEX_WEIGHTS, REPORT_LIMITS
-from stormframe.plans.queries import SCORE_FEATURES, SCORE_WINDOW, WINDOW, fixed_model
+from stormframe.plans.queries import WINDOW
 
 ORDER = "ORDER BY datetime, event_id"
 MEASURES = ("bt", "bz_gsm", "speed", "density", "dst")
@@ -309,71 +309,6 @@ PAIRS = f"""pairs AS (
   JOIN splits b ON b.rn = t.rn - 1 AND b.split = t.split)"""
 
 
-# --- recurrent cells, unrolled -------------------------------------------------------------
-
-
-def sigmoid(z: str) -> str:
-    return f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))))"
-
-
-def tanh(z: str) -> str:
-    return f"(2.0::DOUBLE / (1.0::DOUBLE + exp(-2.0::DOUBLE * ({z}))) - 1.0::DOUBLE)"
-
-
-def recurrent_score(cell: str) -> str:
-    """One CTE per time step, each holding the hidden state (and cell state)."""
-    model = fixed_model(cell)
-    w, size = model.unpack(), model.hidden
-
-    def dot(weights, names) -> str:
-        return " + ".join(f"{d(v)} * {n}" for v, n in zip(weights, names))
-
-    inputs = ", ".join(
-        f"f{k}.{c}::FLOAT::DOUBLE AS x{k}_{j}"
-        for k in range(SCORE_WINDOW)
-        for j, c in enumerate(SCORE_FEATURES)
-    )
-    joins = "\n  ".join(
-        f"JOIN splits f{k} ON f{k}.rn = t.rn - {SCORE_WINDOW - k}" for k in range(SCORE_WINDOW)
-    )
-    states = ", ".join(f"0.0::DOUBLE AS h{j}, 0.0::DOUBLE AS c{j}" for j in range(size))
-    parts = [f"s0 AS (SELECT t.datetime AS target_ts, {inputs}, {states} FROM splits t\n  {joins})"]
-    keep = "target_ts, " + ", ".join(
-        f"x{k}_{j}" for k in range(SCORE_WINDOW) for j in range(len(SCORE_FEATURES))
-    )
-    for k in range(SCORE_WINDOW):
-        x = [f"x{k}_{j}" for j in range(len(SCORE_FEATURES))]
-        h = [f"h{j}" for j in range(size)]
-
-        def from_input(row) -> str:
-            return f"({dot(w['input_0'][row], x)} + {d(w['input_bias_0'][row])})"
-
-        def from_state(row) -> str:
-            return f"({dot(w['state_0'][row], h)} + {d(w['state_bias_0'][row])})"
-
-        gates, new = [], []
-        for j in range(size):
-            if cell == "lstm":
-                for name, g, squash in (("i", 0, sigmoid), ("f", 1, sigmoid), ("g", 2, tanh), ("o", 3, sigmoid)):
-                    row = g * size + j
-                    gates.append(f"{squash(from_input(row) + ' + ' + from_state(row))} AS {name}{j}")
-                c = f"(f{j} * c{j} + i{j} * g{j})"
-                new += [f"o{j} * {tanh(c)} AS h{j}", f"{c} AS c{j}"]
-            else:
-                r, u, n = j, size + j, 2 * size + j
-                reset = sigmoid(from_input(r) + " + " + from_state(r))
-                gates.append(f"{sigmoid(from_input(u) + ' + ' + from_state(u))} AS u{j}")
-                gates.append(f"{tanh(from_input(n) + f' + {reset} * ' + from_state(n))} AS n{j}")
-                new += [f"(1.0::DOUBLE - u{j}) * n{j} + u{j} * h{j} AS h{j}", f"c{j}"]
-        parts.append(f"g{k} AS (SELECT *, {', '.join(gates)} FROM s{k})")
-        parts.append(f"s{k + 1} AS (SELECT {keep}, {', '.join(new)} FROM g{k})")
-    h = [f"h{j}" for j in range(size)]
-    out = rnd(f"{dot(w['out'], h)} + {d(w['out_bias'][0])}")
-    return SPLITS.rstrip() + ",\n" + ",\n".join(parts) + (
-        f"\nSELECT target_ts, {out} AS y_pred FROM s{SCORE_WINDOW}"
-    )
-
-
 def chain(prefix: str, *parts: str) -> str:
     """More CTEs after a WITH clause."""
     return prefix.rstrip() + ",\n" + ",\n".join(parts) + "\n"
@@ -503,6 +438,4 @@ FROM splits, fit WHERE split = 'test'""",
     "linear_on_window": chain(SPLITS, PAIRS, least_squares("pairs", ("x1", "x2"), "y", det2))
     + f"""SELECT target_ts, {rnd("y")} AS y_true, {rnd(fitted(("x1", "x2"), "y"))} AS y_pred
 FROM pairs, fit WHERE split = 'test'""",
-    "lstm_score": recurrent_score("lstm"),
-    "gru_score": recurrent_score("gru"),
 }

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +14,6 @@ from stormframe.config import (
     INDEX_WEIGHTS,
     MEASUREMENTS,
     TARGET,
-    RecurrentSettings,
     SeriesOrder,
     Settings,
 )
@@ -30,7 +26,7 @@ from stormframe.functions.severity import (
     with_norms,
     with_severity_index,
 )
-from stormframe.operators import conditioning, metrics, quality, recurrent, regression
+from stormframe.operators import conditioning, metrics, quality, regression
 from stormframe.operators.blocks import plan_blocks
 from stormframe.operators.ordered import chronological_split, fill_missing, with_position
 from stormframe.operators.scaling import Scaler, scaler_statistics
@@ -41,7 +37,7 @@ from stormframe.operators.sequences import (
 )
 from stormframe.plans import prepare as preparation
 from stormframe.plans.baselines import evaluate, persistence_predictions
-from stormframe.session import reliable_checkpoint, shared_folder
+from stormframe.session import shared_folder, stored
 from stormframe.sources import tables
 from stormframe.sources.events import solar_wind
 from stormframe.sources.fixed_width import in_years, new_rows, parse_lines, parsed_range
@@ -52,8 +48,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("datetime", "event_id")
 BY_USER = SeriesOrder(by=("user_id",))
 WINDOW = 24
-SCORE_WINDOW = 3
-SCORE_FEATURES = ("dst_norm", "bz_norm")
 
 
 def r9(column: str | Column) -> Column:
@@ -80,8 +74,8 @@ def splits(spark: SparkSession, folder: str) -> DataFrame:
     fits and counts read them again.
     """
     conditioned = preparation.condition(solar_wind(spark, folder))
-    stored = preparation.Conditioned(reliable_checkpoint(conditioned.rows), conditioned.plan)
-    return preparation.split_table(stored)
+    rows = stored(conditioned.rows, "conditioned")
+    return preparation.split_table(preparation.Conditioned(rows, conditioned.plan))
 
 
 # --- severity -----------------------------------------------------------------------
@@ -168,7 +162,7 @@ def yearly_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def parsed_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines are stored before they are parsed, as landed files would be."""
-    landed = reliable_checkpoint(yearly_lines(spark, folder))
+    landed = stored(yearly_lines(spark, folder), "lines")
     return parse_lines(landed, keep=["event_id", "file_name"])
 
 
@@ -482,36 +476,6 @@ def linear_on_window(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(predictions, "y_true", "y_pred")
 
 
-def fixed_model(cell: str) -> recurrent.RecurrentModel:
-    """A small model whose weights follow a formula, so that SQL can state them too."""
-    settings = RecurrentSettings(hidden=2)
-    model = recurrent.RecurrentModel.create(cell, len(SCORE_FEATURES), settings)
-    count = model.weights.size
-    weights = np.round(np.sin(np.arange(1, count + 1) * 1.7) * 0.8, 3)
-    return recurrent.RecurrentModel(cell, model.features, model.hidden, model.layers, weights)
-
-
-def _score(cell: str) -> Query:
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        windows = sequence_windows(splits(spark, folder), SCORE_FEATURES, TARGET, SCORE_WINDOW)
-        scored = recurrent.score(fixed_model(cell), windows.select("target_ts", "x"))
-        return rounded(scored, "y_pred")
-
-    return query
-
-
-def recurrent_history(spark: SparkSession, folder: str) -> DataFrame:
-    table = splits(spark, folder).select(*KEYS, "rn", "split", *SCORE_FEATURES, TARGET)
-    windows = preparation.split_windows(
-        table, Settings(window=6), features=SCORE_FEATURES
-    )
-    settings = RecurrentSettings(hidden=8, epochs=2)
-    parts = [windows.where(F.col("split") == s) for s in ("train", "val")]
-    lstm = recurrent.train("lstm", *parts, settings)
-    gru = recurrent.train("gru", *parts, settings)
-    return lstm.history.unionByName(gru.history)
-
-
 QUERIES: dict[str, Query] = {
     "severity_summary": severity_summary,
     "normalise_all": normalise_all,
@@ -562,8 +526,5 @@ QUERIES: dict[str, Query] = {
     "linear_regression_predictions": linear_regression_predictions,
     "random_forest_metrics": random_forest_metrics,
     "linear_on_window": linear_on_window,
-    "lstm_score": _score("lstm"),
-    "gru_score": _score("gru"),
-    "recurrent_history": recurrent_history,
 }
 

@@ -1,12 +1,15 @@
-"""Session helpers for the benchmark, the tests and the stages that cut lineage."""
+"""Session helpers for the benchmark and the tests, and named storage for stages."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_SETTING = "spark.checkpoint.dir"
+
 
 def local_session(cpus: int = 8, name: str = "stormframe") -> SparkSession:
     """Session for a single machine; on a cluster the caller brings its own."""
@@ -26,23 +29,30 @@ def local_session(cpus: int = 8, name: str = "stormframe") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``."""
-    return f"{_checkpoint_folder(spark)}/stormframe-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
+    All executors must see that folder, so a session on a cluster has to name it. A session of one
+    process (``local[n]``) may leave it out and then uses a temporary folder of its own.
+    """
+    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
+        named = _own_folder(spark.sparkContext.applicationId)
+    return f"{named.rstrip('/')}/stormframe-{uuid.uuid4().hex}"
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    The rows are written to reliable storage, so lost executors do not replay what came before.
-    """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"stormframe-{application}-")
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is chosen here only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stormframe-"))
-    return context.getCheckpointDir()
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to shared storage and read it back.
+
+    Later readers prune columns and push filters into the scan, and a lost executor does not
+    replay what came before.
+    """
+    target = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

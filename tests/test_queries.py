@@ -7,11 +7,12 @@ from __spark_entry__ import entry, oracle_sql, queries
 from stormframe.operators.blocks import plan_blocks
 from stormframe.operators.conditioning import model_columns, within_limits
 from stormframe.operators.ordered import fill_missing, with_position
+from stormframe.plans.oracle import ORACLE
 from stormframe.plans.prepare import condition, split_table
+from stormframe.plans.queries import QUERIES
 from stormframe.sources.events import solar_wind
 
-WITHOUT_SQL = {"random_forest_metrics", "recurrent_history"}
-SLOW = {"random_forest_metrics"}
+WITHOUT_SQL = {"random_forest_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -20,16 +21,16 @@ def tables(testdata):
 
 
 def test_registry():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, testdata, tables, name):
-    actual = queries()[name](spark, testdata).toPandas()
+    actual = QUERIES[name](spark, testdata).toPandas()
     assert len(actual)
-    if name in oracle_sql():
-        assert difference(actual, tables.sql(oracle_sql()[name]).df()) is None
+    if name in ORACLE:
+        assert difference(actual, tables.sql(ORACLE[name]).df()) is None
 
 
 def test_entry(spark):

@@ -15,7 +15,7 @@ from stormframe.operators.regression import baseline_models
 from stormframe.operators.sequences import check_sequences
 from stormframe.plans.baselines import evaluate, run_baselines, run_evaluation
 from stormframe.plans.prepare import condition, prepare, split_table
-from stormframe.session import reliable_checkpoint
+from stormframe.session import shared_folder, stored
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.tables import (
     read_scaler,
@@ -194,7 +194,13 @@ def test_evaluate_without_test_table(spark):
     assert evaluate(frame).first()["rmse"] == 0.0
 
 
-def test_checkpoint_uses_shared_folder(spark):
+def test_stored_rows_lie_in_the_named_folder(spark, tmp_path):
     frame = spark.range(5).withColumn("t", F.lit(datetime(2020, 1, 1)))
-    assert reliable_checkpoint(frame).count() == 5
-    assert spark.sparkContext.getCheckpointDir() is not None
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        kept = stored(frame, "five")
+        assert shared_folder(spark).startswith(f"file://{tmp_path}/stormframe-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert kept.count() == 5 and list(tmp_path.glob("stormframe-*/five"))
+    assert "ExistingRDD" not in kept._jdf.queryExecution().toString()
