@@ -80,7 +80,7 @@ ordered AS (
     sum(weight) OVER (ORDER BY stop / weight, turn_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
   FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn_key FROM weighted)),
 level AS (
-  SELECT min(((SELECT sum(source_size) FROM per_source) - stopped) / open_weight) AS level
+  SELECT arg_min(((SELECT sum(source_size) FROM per_source) - stopped) / open_weight, stop_level) AS level
   FROM ordered WHERE ((SELECT sum(source_size) FROM per_source) - stopped) / open_weight < stop_level),
 rates AS (
   SELECT source, source_size, least(stop, weight * coalesce(level, 1e300)) AS target,
