@@ -17,8 +17,8 @@ from stormframe.session import stored
 LIMIT = 2048
 END_ID = 0
 FIT_STEPS = 300
-#: Lengths in a pattern that the fit may use.
-PATTERN_LENGTHS = 3
+#: Shares of the fitted counts that are tried.
+FITTED_SHARES = (1.0, 0.75, 0.5, 0.25)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Splits a text into words before merges; a fixed value of the vocabulary.
@@ -126,14 +126,29 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = FIT_STE
 def plan_packing(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths, repeats)`` whose lengths add up to ``histogram`` (``histogram[n]``: pieces of n).
 
-    Fitted counts are rounded and kept within what is left of each length. What remains is packed
-    longest first, each piece where it leaves the least room; equal pieces go together by count.
+    Where pieces above half of ``limit`` outnumber their partners, full patterns use up the short
+    ones too soon; so the fitted counts are also tried at smaller shares, and the plan with the
+    fewest sequences is taken.
+    """
+    if not histogram.any():
+        return []
+    patterns = length_patterns(np.flatnonzero(histogram), limit)
+    fitted = fit_counts(patterns, histogram.astype(float)) if len(patterns) else np.zeros(0)
+    plans = (_plan(histogram, limit, patterns, share * fitted) for share in FITTED_SHARES)
+    return min(plans, key=lambda plan: sum(repeats for _, repeats in plan))
+
+
+def _plan(
+    histogram: np.ndarray, limit: int, patterns: np.ndarray, fitted: np.ndarray
+) -> list[tuple[tuple[int, ...], int]]:
+    """Round ``fitted`` within what is left of each length, then pack what remains.
+
+    The rest goes longest first, each piece where it leaves the least room; equal pieces go
+    together by count.
     """
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
-    patterns = length_patterns(np.flatnonzero(left), limit) if left.any() else np.zeros((0, 3), int)
     if len(patterns):
-        fitted = fit_counts(patterns, left.astype(float))
         for i in np.argsort(-fitted, kind="stable"):
             repeats = int(round(fitted[i]))
             if repeats < 1:
