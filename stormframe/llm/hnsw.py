@@ -44,7 +44,7 @@ def usable_vectors(table: DataFrame) -> DataFrame:
 
 
 def _links(lifted: np.ndarray, members: np.ndarray, width: int) -> np.ndarray:
-    """Links of ``members`` among themselves: near ones that are not behind another link."""
+    """Links of ``members`` among themselves: near ones not behind another link, and large products."""
     points = lifted[members]
     norms = (points * points).sum(1)
     links = np.full((len(members), width), -1, np.int32)
@@ -66,10 +66,20 @@ def _links(lifted: np.ndarray, members: np.ndarray, width: int) -> np.ndarray:
         for c in range(count):
             behind = (taken[:, :c] & (between[:, c, :c] < own[:, c, None])).any(1)
             taken[:, c] = ~behind & (taken[:, :c].sum(1) < width // 2)
-        # Half of the places go to spread links, the rest to the nearest that are left.
-        rank = np.argsort(~taken, axis=1, kind="stable")[:, :width]
-        chosen = members[np.take_along_axis(near, rank, 1)]
-        links[at : at + len(block), : chosen.shape[1]] = chosen
+        # Half of the places go to spread links, half to the largest products that are left: long
+        # vectors are the answer to many queries but near to few vectors.
+        half = min(width // 2, count)
+        rank = np.argsort(~taken, axis=1, kind="stable")[:, :half]
+        spread = np.where(np.take_along_axis(taken, rank, 1), np.take_along_axis(near, rank, 1), -1)
+        product = block[:, :-1] @ points[:, :-1].T
+        product[rows, at + rows] = -np.inf
+        most = min(width, count)
+        top = np.argpartition(-product, most - 1, axis=1)[:, :most]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(product, top, 1), axis=1, kind="stable"), 1)
+        known = (top[:, :, None] == spread[:, None, :]).any(2)
+        top = np.take_along_axis(top, np.argsort(known, axis=1, kind="stable"), 1)[:, : width - half]
+        chosen = np.concatenate([spread, top], 1)
+        links[at : at + len(block), : chosen.shape[1]] = np.where(chosen >= 0, members[chosen], -1)
     return links
 
 
