@@ -14,6 +14,9 @@ from stormframe.functions.numeric import drop_sentinels, hour_timestamp, lenient
 TIME_PARTS = ("year", "doy", "hour")
 YEAR_IN_NAME = r"(\d{4})\.[^.]+$"
 
+#: Keys of a manifest that are broadcast, at most.
+BROADCAST_KEYS = 100_000
+
 
 def parse_lines(
     lines: DataFrame,
@@ -56,12 +59,12 @@ def read_years(
     """Observations of the files whose name ends in a year of the range, ends included.
 
     One scan over the folder; the test on the file name prunes files before they are opened,
-    and absent years are simply not there. ``line_id`` tells lines apart and serves as tiebreak
+    and absent years are simply not there. A file that vanishes before it is read raises. ``line_id`` tells lines apart and serves as tiebreak
     once the observations are written.
     """
     if start_year > end_year:
         raise ValueError(f"start year {start_year} is after end year {end_year}")
-    reader = spark.read.option("pathGlobFilter", name_glob).option("ignoreMissingFiles", "true")
+    reader = spark.read.option("pathGlobFilter", name_glob)
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
     name = F.col("_metadata.file_name")
@@ -98,7 +101,9 @@ def parsed_range(observations: DataFrame) -> DataFrame:
 def new_rows(landed: DataFrame, manifest: DataFrame, key: str = "year") -> DataFrame:
     """Landed rows whose key the manifest does not list yet.
 
-    The manifest holds one row per ingested key; it is made distinct first, so the join
-    sends no row twice.
+    The manifest holds one row per ingested key. Up to ``BROADCAST_KEYS`` distinct keys are
+    broadcast, so landed rows stay where they are; more are joined by key.
     """
-    return landed.join(manifest.select(key).distinct(), key, "left_anti")
+    taken = manifest.select(key).distinct()
+    few = taken.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return landed.join(F.broadcast(taken) if few else taken, key, "left_anti")

@@ -37,7 +37,7 @@ def parse_payloads(
     """Rows of the payloads as typed columns; the header says where each column is.
 
     ``time_tag`` is read strictly and a bad value raises. Every other column is read
-    leniently as a number. Payloads without a row give nothing. ``columns`` saves the
+    leniently as a number. Payloads without a row give nothing, and a malformed one raises. ``columns`` saves the
     job that looks the names up.
     """
     names = list(columns or header_columns(payloads, payload))
@@ -49,8 +49,18 @@ def parse_payloads(
     return rows.select(*keep, *(_typed(name).alias(name) for name in names))
 
 
+def rejected_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Payloads that are not an array of arrays; :func:`parse_payloads` raises on them."""
+    return payloads.where(F.col(payload).isNotNull() & _table_or_null(payload).isNull())
+
+
+def _table_or_null(payload: str) -> Column:
+    return F.from_json(payload, "array<array<string>>")
+
+
 def _non_empty(payloads: DataFrame, payload: str) -> DataFrame:
-    table = F.from_json(payload, "array<array<string>>")
+    broken = F.raise_error(F.concat(F.lit("malformed payload: "), F.left(payload, F.lit(80))))
+    table = F.when(F.col(payload).isNotNull(), F.coalesce(_table_or_null(payload), broken.cast("array<array<string>>")))
     return payloads.withColumn("_table", table).where(F.size("_table") >= 2)
 
 
