@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.config import SENTINELS
@@ -28,6 +28,13 @@ def nan_to_null(number: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def with_missing_as_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """NaN as NULL in the floating-point columns, all or those of ``columns``."""
+    wanted = set(df.columns if columns is None else columns)
+    floats = [name for name, kind in df.dtypes if kind in ("float", "double") and name in wanted]
+    return df.withColumns({name: nan_to_null(F.col(name)) for name in floats}) if floats else df
+
+
 def drop_sentinels(number: Column, sentinels: Iterable[float] = SENTINELS) -> Column:
     """Fill numbers become NULL; the match is numeric, whatever the spelling was."""
     values = [float(s) for s in sentinels]

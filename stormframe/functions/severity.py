@@ -25,8 +25,11 @@ from stormframe.config import (
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    """Bound ``x``; the guard keeps NULL, which ``least`` and ``greatest`` would skip."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    """Bound ``x``; missing values, NaN included, give NULL.
+
+    ``least`` and ``greatest`` would skip NULL, and rank NaN above every number.
+    """
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def min_max(x: Column, low: float, high: float) -> Column:
@@ -39,7 +42,7 @@ def normalise_dst(dst: Column) -> Column:
 
 def normalise_bz(bz: Column) -> Column:
     """Only southward (negative) field counts."""
-    southward = F.when(bz.isNotNull(), F.abs(F.least(bz, F.lit(0.0))))
+    southward = F.when(bz.isNotNull() & ~F.isnan(bz), F.abs(F.least(bz, F.lit(0.0))))
     return min_max(southward, *NORM_RANGES["bz_gsm"])
 
 

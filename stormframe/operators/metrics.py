@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormframe.functions.numeric import nan_to_null
+
 
 def metric_columns(y_true: str = "y_true", y_pred: str = "y_pred") -> dict[str, Column]:
     """RMSE, MAE and R2 as aggregates of one pass.
 
     R2 is one minus residual over total variation and can be negative. With constant truth
-    it is 1 for a perfect prediction and 0 otherwise.
+    it is 1 for a perfect prediction and 0 otherwise. A missing or NaN value on either side raises,
+    since leaving it out of one side only would change R2.
     """
-    error = F.col(y_true) - F.col(y_pred)
+    truth, guess = (_required(c) for c in (y_true, y_pred))
+    error = truth - guess
     residual = F.avg(error * error)
-    total = F.var_pop(y_true)
+    total = F.var_pop(truth)
     return {
         "rmse": F.sqrt(residual),
         "mae": F.avg(F.abs(error)),
@@ -26,6 +30,11 @@ def metric_columns(y_true: str = "y_true", y_pred: str = "y_pred") -> dict[str,
     }
 
 
+def _required(name: str) -> Column:
+    lacking = F.raise_error(F.lit(f"column {name} has missing values")).cast("double")
+    return F.coalesce(nan_to_null(F.col(name).cast("double")), lacking)
+
+
 def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Metrics over all rows, or per group. Partial sums are combined map-side, so a group
     that holds most of the rows costs no more than the others."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from stormframe.config import (
     TARGET,
     SeriesOrder,
 )
+from stormframe.functions.numeric import with_missing_as_null
 from stormframe.operators.blocks import BlockPlan, plan_blocks
 from stormframe.operators.ordered import with_step_hours
 
@@ -49,7 +49,7 @@ def _overall_missing(columns: Sequence[str]) -> Column:
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_name, null_count, null_pct)`` per column, and a row ``*`` over all cells."""
     columns = list(columns or df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("total_records"), *_null_counts(columns))
+    counts = with_missing_as_null(df).agg(F.count(F.lit(1)).alias("total_records"), *_null_counts(columns))
     per_column = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -86,7 +86,7 @@ def outlier_report(
 ) -> DataFrame:
     """``(column_name, outliers, outlier_pct)``; the share is of values that are present."""
     limits = _present(df, limits)
-    counts = df.agg(*_outlier_counts(limits))
+    counts = with_missing_as_null(df).agg(*_outlier_counts(limits))
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -138,12 +138,11 @@ def validation_report(
 ) -> DataFrame:
     """Every check in one row: a single aggregate over the table next to the gap report.
 
-    Gaps are counted over all rows as one series.
+    Gaps are counted inside each series of ``order.by`` and added up; the longest is taken.
     """
     check_schema(df)
-    order = replace(order, by=())
     limits = _present(df, limits)
-    counts = df.agg(
+    counts = with_missing_as_null(df).agg(
         F.count(F.lit(1)).alias("total_records"),
         *_null_counts(columns),
         *_outlier_counts(limits),
@@ -162,6 +161,15 @@ def validation_report(
         ),
     )
     gaps = continuity_report(df, order, block_rows=block_rows, plan=plan)
+    if order.by:
+        gaps = gaps.agg(
+            F.coalesce(F.sum("num_gaps"), F.lit(0)).alias("num_gaps"),
+            F.coalesce(F.max("max_gap_hours"), F.lit(0.0)).alias("max_gap_hours"),
+        )
+        both = cells.unionByName(gaps, allowMissingColumns=True)
+        one = both.agg(*(F.max(c).alias(c) for c in both.columns))
+        share = F.bround(F.try_divide("num_gaps", "total_records"), 4)
+        return one.withColumn("gap_fraction", share)
     both = cells.unionByName(gaps, allowMissingColumns=True)
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
@@ -182,16 +190,19 @@ def run_summary(
     window: int,
     features: Sequence[str] = FEATURES,
     target: str = TARGET,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: sequences per split, window length, features and target."""
-    counts = split_table.agg(
+    """One row: sequences per split, window length, features and target.
+
+    No window crosses from one series of ``by`` to the next, so each series loses ``window`` rows.
+    """
+    counts = split_table.groupBy(*by).agg(
         *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS)
     )
-    return counts.select(
-        *(
-            F.greatest(F.col(s) - F.lit(window), F.lit(0)).alias(f"{s}_samples")
-            for s in SPLITS
-        ),
+    windows = {s: F.greatest(F.col(s) - F.lit(window), F.lit(0)) for s in SPLITS}
+    totals = counts.agg(*(F.coalesce(F.sum(w), F.lit(0)).alias(f"{s}_samples") for s, w in windows.items()))
+    return totals.select(
+        *(f"{s}_samples" for s in SPLITS),
         F.lit(window).cast("long").alias("sequence_length"),
         F.lit(len(features)).cast("long").alias("n_features"),
         F.array(*(F.lit(f) for f in features)).alias("feature_names"),

@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormframe.functions.numeric import with_missing_as_null
+
 
 def scaler_statistics(split_table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: mean and population standard deviation of each column over ``train``.
 
     The filter reaches the scan, so on a table partitioned by split only that part is read.
     """
-    return split_table.where(F.col("split") == "train").agg(
+    train = split_table.where(F.col("split") == "train")
+    return with_missing_as_null(train, columns).agg(
         *(F.avg(c).alias(f"{c}_mean") for c in columns),
         *(F.stddev_pop(c).alias(f"{c}_scale") for c in columns),
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from stormframe.config import MEASUREMENTS, SeriesOrder, Settings
+from stormframe.functions.numeric import with_missing_as_null
 from stormframe.functions.severity import with_derived_features
 from stormframe.operators.blocks import BlockPlan, plan_blocks
 from stormframe.operators.conditioning import (
@@ -56,7 +57,7 @@ def condition(
     pass, since splits and windows count the rows that are left.
     """
     check_schema(observations)
-    table = model_columns(observations, [order.tiebreak, *order.by])
+    table = with_missing_as_null(model_columns(observations, [order.tiebreak, *order.by]))
     plan = plan or plan_blocks(table, order, block_rows)
     filled = fill_missing(plan.assign(table), plan, MEASUREMENTS)
     kept = within_limits(drop_missing(filled, MEASUREMENTS), settings.limits)
@@ -106,17 +107,14 @@ def prepare(
     spark = observations.sparkSession
     check_schema(observations)
     plan = plan_blocks(observations, order, block_rows)
-    shared = None if order.by else plan
-    require_valid(
-        validation_report(observations, order=order, block_rows=block_rows, plan=shared)
-    )
+    require_valid(validation_report(observations, order=order, block_rows=block_rows, plan=plan))
     conditioned = condition(observations, settings, order, plan=plan)
     conditioned.rows.write.mode("overwrite").parquet(f"{folder}/conditioned")
     stored = Conditioned(spark.read.parquet(f"{folder}/conditioned"), conditioned.plan)
     require_complete(stored.rows, [*settings.features, settings.target])
 
     table = split_table(stored, settings)
-    summary = run_summary(table, settings.window, settings.features, settings.target)
+    summary = run_summary(table, settings.window, settings.features, settings.target, order.by)
     if gate:
         require_trainable(summary)
     scaler = Scaler.fit(table, [*settings.features, settings.target])

@@ -194,13 +194,22 @@ def test_evaluate_without_test_table(spark):
     assert evaluate(frame).first()["rmse"] == 0.0
 
 
-def test_stored_rows_lie_in_the_named_folder(spark, tmp_path):
+def test_stored_rows_are_read_from_files(spark):
     frame = spark.range(5).withColumn("t", F.lit(datetime(2020, 1, 1)))
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        kept = stored(frame, "five")
-        assert shared_folder(spark).startswith(f"file://{tmp_path}/stormframe-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert kept.count() == 5 and list(tmp_path.glob("stormframe-*/five"))
+    kept = stored(frame, "five")
+    assert kept.count() == 5 and kept.inputFiles()
     assert "ExistingRDD" not in kept._jdf.queryExecution().toString()
+    assert shared_folder(spark) != shared_folder(spark)
+
+
+def test_a_cluster_must_name_the_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
