@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stormframe.llm.common import partitions, whole_text
+from stormframe.llm.common import numbered, partitions, whole_text
 from stormframe.llm.components import components
 from stormframe.llm.shingles import blocks_of, mixed, shingle_sets
 from stormframe.session import stored
@@ -24,6 +24,11 @@ BROADCAST_IDS = 1_000_000
 #: Bits of a shingle that are counted inside a bucket; the bucket stands for others.
 COUNTED_BITS = 40
 SEVERAL = 0xFFFF
+#: Tokens of more documents are compared block by block instead of pair by pair.
+SMALL_LIST = 16
+BLOCK_DOCS = 256
+#: Tokens of two blocks that are multiplied at once.
+COLUMNS = 8192
 
 _TALLY = (
     "bucket int, block long, low binary, high binary, place binary, "
@@ -203,14 +208,110 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: i
     return stored(full.select("a", "b", "tokens_a", "tokens_b").mapInArrow(link, "a long, b long"), "links")
 
 
+def _short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of documents in different parts that share a token of few documents."""
+    left = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
+    right = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & sizes
+    return left.join(right, "token").where(apart).select("a", "b").distinct()
+
+
+def _long_list_links(rows: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``, stored: links between parts among documents that share a token of many.
+
+    Documents are put in blocks of ``BLOCK_DOCS``, those with one centre and of like size
+    together. Two blocks meet if a token's list has documents of both whose sizes may link. A task
+    holds two blocks; it hands on no pairs, only links that join parts still apart in it.
+    """
+    docs = rows.groupBy("doc_id").agg(
+        F.min("centre").alias("centre"), F.first("n").alias("n"), F.first("part").alias("part")
+    )
+    placed = numbered(stored(docs, "open_docs"), ["centre", "n", "doc_id"], "place")
+    placed = placed.select("doc_id", "n", "part", F.expr(f"place div {BLOCK_DOCS}").alias("block"))
+    lists = rows.select("token", "doc_id").join(placed, "doc_id").groupBy("token", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("lo"), F.max("part").alias("hi")
+    )
+    lists = stored(lists, "lists")
+    other = lists.select("token", *(F.col(c).alias(f"{c}_2") for c in lists.columns[1:]))
+    meet = (
+        (F.col("block") <= F.col("block_2"))
+        & ((F.col("lo") != F.col("hi_2")) | (F.col("hi") != F.col("lo_2")))
+        & (F.col("most") * 100 >= F.col("least_2") * percent)
+        & (F.col("most_2") * 100 >= F.col("least") * percent)
+    )
+    meetings = stored(lists.join(other, "token").where(meet).select("block", "block_2").distinct(), "meetings")
+    prefix = prefixes.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("first"), F.col("token"))).alias("first"),
+        F.collect_list(F.when(F.col("second"), F.col("token"))).alias("second"),
+    )
+    full = stored(placed.join(prefix, "doc_id").join(sets.select("doc_id", "tokens"), "doc_id"), "open_sets")
+    sides = meetings.select("block", "block_2", F.explode(F.array_distinct(F.array("block", "block_2"))).alias("side"))
+    held = sides.join(full.withColumnRenamed("block", "side"), "side")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id")
+        inner = frame["block"].iloc[0] == frame["block_2"].iloc[0]
+        one = frame if inner else frame[frame["side"] == frame["block"]]
+        two = frame if inner else frame[frame["side"] == frame["block_2"]]
+        maybe = np.ones((len(one), len(two)), bool)
+        for order in ("first", "second"):
+            maybe &= _overlaps([np.asarray(v) for v in one[order]], [np.asarray(v) for v in two[order]]) > 0
+        part_1, part_2 = one["part"].to_numpy(), two["part"].to_numpy()
+        maybe &= part_1[:, None] != part_2[None, :]
+        found = []
+        if maybe.any():
+            both = _overlaps(*([np.frombuffer(t, np.int64) for t in side["tokens"]] for side in (one, two)))
+            union = one["n"].to_numpy()[:, None] + two["n"].to_numpy()[None, :] - both
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for i, j in zip(*np.nonzero(maybe & (100 * both >= percent * union)), strict=True):
+                x, y = root(int(part_1[i])), root(int(part_2[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(one["doc_id"].iloc[i]), int(two["doc_id"].iloc[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return stored(held.groupBy("block", "block_2").applyInPandas(compare, "a long, b long"), "block_links")
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each set of ``one`` with each of ``two``, some thousand tokens at a time."""
+    owner_1, owner_2 = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (one, two))
+    values_1, values_2 = (np.concatenate(s) if len(s) else np.zeros(0, np.int64) for s in (one, two))
+    common = np.intersect1d(values_1, values_2)
+    out = np.zeros((len(one), len(two)), np.int64)
+    places = []
+    for values, owner in ((values_1, owner_1), (values_2, owner_2)):
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owner[hit][order]))
+    for start in range(0, len(common), COLUMNS):
+        tables = []
+        for (at, owner), rows in zip(places, (len(one), len(two)), strict=True):
+            cut = slice(*np.searchsorted(at, [start, start + COLUMNS]))
+            table = np.zeros((rows, min(COLUMNS, len(common) - start)), np.float32)
+            table[owner[cut], at[cut] - start] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
 
     Components are those of the link graph; ``component_id`` is the smallest ``doc_id`` in it.
     Rows with equal sets are one class, and classes are compared by their smallest id. A token's
-    classes are first all paired with the smallest of them; pairs of classes that are still apart
-    are then taken from the same prefixes, so a tight group of k classes costs about k pairs, and
-    no link is lost. Rows without words, null texts included, have no shingles and stand alone. A
+    classes are first all paired with the smallest of them. Classes that are still apart are then
+    compared from the same prefixes: pair by pair where a token has few, and in pairs of blocks
+    where it has many, so a group of k classes costs about k rows, and no link between parts is
+    lost. Rows without words, null texts included, have no shingles and stand alone. A
     null ``doc_id`` takes part in nothing and stays alone; rows that share an id are taken for
     one document, whose texts should agree. Other columns are ignored.
     """
@@ -230,14 +331,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = joined.withColumnRenamed("component_id", "part")
     apart = first.join(place, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     apart = stored(apart.select("token", "doc_id", "n", "part"), "apart")
-    mixed_tokens = apart.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    open_rows = stored(apart.join(mixed_tokens.where("lo < hi").select("token"), "token", "left_semi"), "open")
-    left = open_rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    right = open_rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & sizes)
-    more = _verified(rest.select("a", "b").distinct(), prefixes, sets, percent)
-    linked = components(links.unionByName(more))
+    spread = apart.groupBy("token").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("df")
+    )
+    spread = spread.where("lo < hi").select("token", "centre", (F.col("df") > SMALL_LIST).alias("long_list"))
+    open_rows = stored(apart.join(spread, "token"), "open")
+    few = _short_list_pairs(open_rows.where("not long_list"), percent)
+    more = _verified(few, prefixes, sets, percent)
+    many = _long_list_links(open_rows.where("long_list"), prefixes, sets, percent)
+    linked = components(links.unionByName(more).unionByName(many))
 
     by_class = classes.join(linked.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     by_class = by_class.select("digest", F.coalesce("component_id", "class_id").alias("component_id"))
