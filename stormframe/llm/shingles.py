@@ -7,8 +7,8 @@ import functools
 import numpy as np
 
 WORDS = 5
-BLOCK_BYTES = 2_000_000
-BLOCK_TEXTS = 4096
+BLOCK_BYTES = 500_000
+BLOCK_TEXTS = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
