@@ -21,25 +21,27 @@ FIT_STEPS = 300
 FITTED_SHARES = (1.0, 0.75, 0.5, 0.25)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# Splits a text into words before merges; a fixed value of the vocabulary.
+# Fixed values of the vocabulary: its special token, and what splits a text into words before merges.
+SPECIAL = {"<|endoftext|>": 50256}
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class RankEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    ``path`` is a file of ranks. Names of special tokens in a text are ordinary text.
+    ``path`` is a file of ranks. The name of a special token in a text is that token's id, as the
+    tokenizer has it.
     """
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str, pattern: str = PATTERN, special: dict[str, int] = SPECIAL):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
