@@ -22,8 +22,12 @@ UNDETERMINED = "und"
 #: Longer runs of letters are scored in parts of so many, so that products stay above zero.
 RUN_LETTERS = 32
 CACHE_WORDS = 300_000
+#: Runs whose new words are scored together; a longer text is scored by itself.
+RUNS_AT_ONCE = 30_000
 RUNS = re.compile(rf"[^\W\d_]{{1,{RUN_LETTERS}}}")
 WORD_START = "▁"
+#: Enough for any character.
+CHARACTER_BITS = 21
 
 
 def runs_of(text: str) -> list[str]:
@@ -39,27 +43,65 @@ def read_vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in plain]
 
 
+class PieceTrie:
+    """Vocabulary pieces as a table of steps: state and character to the next state."""
+
+    def __init__(self, piece_ids: dict[str, int]):
+        self.unknown = len(piece_ids)
+        steps: dict[int, int] = {}
+        ends = {0: -1}
+        for piece, number in piece_ids.items():
+            state = 0
+            for character in piece:
+                state = steps.setdefault(state << CHARACTER_BITS | ord(character), len(steps) + 1)
+            ends[state] = number
+        keys = np.fromiter(steps, np.int64, len(steps))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.next = np.fromiter(steps.values(), np.int64, len(steps))[order]
+        self.piece = np.full(len(steps) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def step(self, states: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``states`` have a step for their character, and where those lead."""
+        key = states << CHARACTER_BITS | characters
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        there = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        return there, self.next[at[there]]
+
+
 class Lattice:
     """Every way to cut words into vocabulary pieces, as arrays ordered by where a piece ends."""
 
-    def __init__(self, words: list[str], piece_ids: dict[str, int], longest: int):
-        unknown = len(piece_ids)
-        edges: list[tuple[int, int, int, int]] = []
-        get = piece_ids.get
-        for w, word in enumerate(words):
-            marked = WORD_START + word
-            size = len(marked)
-            for start in range(size):
-                alone = get(marked[start], unknown)
-                edges.append((start + 1, w, start, alone))
-                for end in range(start + 2, min(size, start + longest) + 1):
-                    piece = get(marked[start:end])
-                    if piece is not None:
-                        edges.append((end, w, start, piece))
-        table = np.array(edges, np.int64).reshape(-1, 4)
-        self.table = table[np.argsort(table[:, 0], kind="stable")]
+    def __init__(self, words: list[str], pieces: PieceTrie | dict[str, int], longest: int):
+        trie = pieces if isinstance(pieces, PieceTrie) else PieceTrie(pieces)
         self.words = len(words)
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
+        letters = "".join(WORD_START + w for w in words).encode("utf-32-le")
+        letters = np.frombuffer(letters, np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(self.words), self.sizes)
+        start = np.arange(len(letters)) - (np.cumsum(self.sizes) - self.sizes)[word]
+        # All places walk the vocabulary at once; those without a further step drop out.
+        at, state, edges = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for length in range(1, longest + 1):
+            inside = start[at] + length <= self.sizes[word[at]]
+            at, state = at[inside], state[inside]
+            there, reached = trie.step(state, letters[at + length - 1])
+            if length == 1:  # a character is always an edge, known or not
+                piece = np.full(len(at), trie.unknown)
+                known = trie.piece[reached]
+                piece[there] = np.where(known >= 0, known, trie.unknown)
+                edges.append(np.stack([start + 1, word, start, piece], 1))
+            at, state = at[there], reached
+            piece = trie.piece[state]
+            if length > 1:
+                whole = piece >= 0
+                ends = start[at[whole]] + length
+                edges.append(np.stack([ends, word[at[whole]], start[at[whole]], piece[whole]], 1))
+            if not len(at):
+                break
+        table = np.concatenate(edges) if edges else np.zeros((0, 4), np.int64)
+        self.table = table[np.argsort(table[:, 0], kind="stable")]
         steps = int(self.sizes.max()) if len(words) else 0
         self.bounds = np.searchsorted(self.table[:, 0], np.arange(1, steps + 2))
 
@@ -109,7 +151,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel, cache_words: int = CACHE_WORDS):
         self.model = model
-        self.piece_ids = {p: i for i, p in enumerate(model.pieces)}
+        self.trie = PieceTrie({p: i for i, p in enumerate(model.pieces)})
         self.longest = max(map(len, model.pieces), default=1)
         self.cache_words = cache_words
         self.known: dict[str, int] = {}
@@ -118,7 +160,7 @@ class Scorer:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            values = Lattice(part, self.piece_ids, self.longest).log_likelihood(self.model.chances)
+            values = Lattice(part, self.trie, self.longest).log_likelihood(self.model.chances)
             first = len(self.known)
             if first + len(part) > len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values[: first + len(part)])])
@@ -127,24 +169,36 @@ class Scorer:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and its posterior probability per text, for equal priors."""
-        names, scores = [], np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        held: list[tuple[int, list[str]]] = []
+        count = 0
+        for i, text in enumerate(texts if self.model.languages else []):
             runs = runs_of(text)
-            if not runs or not self.model.languages:
-                names.append(UNDETERMINED)
-                continue
-            if len(self.known) > self.cache_words - len(runs):
-                self.known = {}
-            known = self.known
-            new = list(dict.fromkeys(r for r in runs if r not in known))
-            if new:
-                self._learn(new)
-            logs = self.values[[known[r] for r in runs]].sum(0)
-            best = int(np.argmax(logs))  # the first in code point order among equals
-            names.append(self.model.languages[best])
-            scores[i] = 1.0 / np.exp(logs - logs[best]).sum()
+            if runs:
+                held.append((i, runs))
+                count += len(runs)
+            if count >= RUNS_AT_ONCE:
+                self._settle(held, names, scores)
+                held, count = [], 0
+        if held:
+            self._settle(held, names, scores)
         return names, scores
 
+    def _settle(self, held: list[tuple[int, list[str]]], names: list[str], scores: np.ndarray) -> None:
+        """Fill in ``names`` and ``scores`` of some texts, whose new words are scored together."""
+        sizes = [len(runs) for _, runs in held]
+        if len(self.known) > self.cache_words - sum(sizes):
+            self.known = {}
+        known = self.known
+        new = list(dict.fromkeys(r for _, runs in held for r in runs if r not in known))
+        self._learn(new)
+        found = np.fromiter((known[r] for _, runs in held for r in runs), np.int64, sum(sizes))
+        logs = np.add.reduceat(self.values[found], np.cumsum(sizes) - sizes)
+        best = logs.argmax(1)  # the first in code point order among equals
+        for (i, _), k, log in zip(held, best, logs, strict=True):
+            names[i] = self.model.languages[k]
+            scores[i] = 1.0 / np.exp(log - log[k]).sum()
+
 
 def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Fit piece probabilities per language of ``docs``.
@@ -208,7 +262,7 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
     start = docs.sparkSession.sparkContext.broadcast(chances_from(spread.mapInArrow(first_counts, schema)))
 
     def expected(batches):
-        chances = start.value
+        chances, trie = start.value, PieceTrie(piece_ids)
         for batch in batches:
             langs, found, times = (c.to_pylist() for c in batch.columns)
             total = np.zeros_like(chances)
@@ -216,7 +270,7 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
                 weights = np.zeros((len(found[at : at + 2000]), len(languages)))
                 for i, (lang, n) in enumerate(zip(langs[at : at + 2000], times[at : at + 2000], strict=True)):
                     weights[i, languages.index(lang)] = n
-                total += Lattice(found[at : at + 2000], piece_ids, longest).expected_counts(chances, weights)
+                total += Lattice(found[at : at + 2000], trie, longest).expected_counts(chances, weights)
             rows, columns = np.nonzero(total[:-1] > 1e-9)
             yield _as_batch({(languages[c], int(r)): total[r, c] for r, c in zip(rows, columns, strict=True)})
 

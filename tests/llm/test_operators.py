@@ -244,7 +244,7 @@ def test_ranks_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in (" ".join(words(9, 300)), "Émile  said:\n\n 'tis 12%\t ", "", " x ", "日本 語"):
+    for text in (" ".join(words(9, 300)), "Émile  said:\n\n 'tis 12%\t ", "", " x ", "日本 語", "a <|endoftext|>\n b<|end"):
         ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         assert RankEncoder(RANKS).encode(text) == ids.tobytes()
 
@@ -316,6 +316,23 @@ def test_lattice_sums_all_segmentations():
     assert counts[3, 0] == pytest.approx(0.2 * 0.25 / found[0, 0])
 
 
+def test_lattice_holds_every_piece():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "ab", "abc", "▁ab", "c", "bca", "𝒂b"])}
+    found = ["abcab", "", "zabca", "𝒂b", "c"]
+    edges = set()
+    for w, word in enumerate(found):
+        marked = "▁" + word
+        for start in range(len(marked)):
+            edges.add((start + 1, w, start, pieces.get(marked[start], len(pieces))))
+            for end in range(start + 2, min(len(marked), start + 3) + 1):
+                if marked[start:end] in pieces:
+                    edges.add((end, w, start, pieces[marked[start:end]]))
+    lattice = Lattice(found, pieces, 3)
+    assert set(map(tuple, lattice.table.tolist())) == edges and len(lattice.table) == len(edges)
+    assert (np.diff(lattice.table[:, 0]) >= 0).all()
+    assert Lattice([], pieces, 3).log_likelihood(np.ones((9, 2))).shape == (0, 2)
+
+
 def test_language(spark, awkward, nothing):
     rows = [(i, " ".join(words(i, 40)), "x") for i in range(60)]
     rows += [(i, " ".join(words(i, 40)).translate(str.maketrans("abcdefghij", "klmnopqrst")), "y") for i in range(60, 120)]
