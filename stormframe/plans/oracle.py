@@ -196,13 +196,18 @@ GAPS = """count(*) FILTER (h > 1) AS num_gaps,
   coalesce({max_gap}, 0.0::DOUBLE) AS max_gap_hours,
   round_even(count(*) FILTER (h > 1) / count(*)::DOUBLE, 4) AS gap_fraction"""
 
-VALIDATION = with_(WIND, steps()) + "SELECT count(*) AS total_records,\n  " + ",\n  ".join(
-    [f"{pct(ALL_NULLS, '(count(*) * 6)', 2)} AS missing_pct"]
-    + [f"{pct(nulls(c), 'count(*)', 2)} AS {c}_missing_pct" for c in OBSERVED]
-    + [f"{outside(c)} AS {c}_outliers" for c in REPORT_LIMITS]
-    + [f"{pct(outside(c), f'count({c})', 3)} AS {c}_outlier_pct" for c in REPORT_LIMITS]
-    + [GAPS.format(max_gap="max(h) FILTER (h > 1)")]
-) + "\nFROM steps"
+
+def validation(partition: str = "") -> str:
+    longest = "max(h) FILTER (h > 1)"
+    return with_(WIND, steps(partition)) + "SELECT count(*) AS total_records,\n  " + ",\n  ".join(
+        [f"{pct(ALL_NULLS, '(count(*) * 6)', 2)} AS missing_pct"]
+        + [f"{pct(nulls(c), 'count(*)', 2)} AS {c}_missing_pct" for c in OBSERVED]
+        + [f"{outside(c)} AS {c}_outliers" for c in REPORT_LIMITS]
+        + [f"{pct(outside(c), f'count({c})', 3)} AS {c}_outlier_pct" for c in REPORT_LIMITS]
+        + [GAPS.format(max_gap=rnd(longest) if partition else longest)]
+    ) + "\nFROM steps"
+
+
 
 SAMPLES = (
     "sizes AS (SELECT "
@@ -357,7 +362,7 @@ WHERE bt IS NOT NULL AND bz_gsm IS NOT NULL AND speed IS NOT NULL
     + f"SELECT user_id, {GAPS.format(max_gap=rnd('max(h) FILTER (h > 1)'))} FROM steps GROUP BY user_id",
     "missing_report": with_(WIND) + MISSING,
     "outlier_report": with_(WIND) + OUTLIERS,
-    "validation_report": VALIDATION,
+    "validation_report": validation(),
     "run_summary": chain(SPLITS, SAMPLES) + f"""SELECT *, {WINDOW}::BIGINT AS sequence_length,
   4::BIGINT AS n_features, 'bt,bz_gsm,speed,density' AS feature_names,
   'storm_severity_index' AS target_name FROM sizes""",
@@ -394,14 +399,14 @@ FROM splits GROUP BY split, storm_severity_class""",
     "sequence_windows_by_user": with_(
         WIND,
         derived("wind"),
-        f"""placed AS (SELECT user_id, datetime, speed, storm_severity_index AS ssi,
+        f"""placed AS (SELECT *, storm_severity_index AS ssi,
   row_number() OVER (PARTITION BY user_id {ORDER}) - 1 AS rn FROM derived)""",
     )
     + """SELECT t.user_id, t.rn, t.datetime AS target_ts, t.ssi::FLOAT::DOUBLE AS y, s.step::BIGINT AS step,
-  f.speed::FLOAT::DOUBLE AS speed
-FROM placed t CROSS JOIN (SELECT unnest(range(3)) AS step) s
-JOIN placed f ON f.user_id = t.user_id AND f.rn = t.rn - 3 + s.step
-WHERE t.rn >= 3""",
+  """ + ", ".join(f"f.{c}::FLOAT::DOUBLE AS {c}" for c in FEATURES) + f"""
+FROM placed t CROSS JOIN (SELECT unnest(range({WINDOW})) AS step) s
+JOIN placed f ON f.user_id = t.user_id AND f.rn = t.rn - {WINDOW} + s.step
+WHERE t.rn >= {WINDOW}""",
     "align_features_target": UNFILLED + """SELECT x.datetime, x.event_id, x.bt, x.bz_gsm, x.speed, x.density,
   y.storm_severity_index FROM derived x JOIN derived y USING (datetime, event_id)""",
     "persistence_forecast": chain(UNFILLED, NAIVE) + "SELECT datetime, event_id, y_true, y_pred FROM naive",
@@ -424,7 +429,7 @@ GROUP BY model""",
     + f"SELECT {OBSERVATION}, event_id, year FROM parsed WHERE year BETWEEN 2020 AND 2022",
     "stored_split": SPLITS + f"""SELECT datetime, event_id, {", ".join(FEATURES)}, storm_severity_index
 FROM splits WHERE split = 'val'""",
-    "stored_sequences": windows(f"{inside_split(3)} AND t.split = 'test'", 3, keep_split=False),
+    "stored_sequences": windows(f"{inside_split(WINDOW)} AND t.split = 'test'", keep_split=False),
     "stored_predictions": chain(UNFILLED, NAIVE, TWO_INDEX) + f"""SELECT model, {METRICS} FROM (
   SELECT model, y_true, y_pred FROM naive UNION ALL SELECT model, y_true, y_pred FROM two_index)
 GROUP BY model""",
@@ -435,6 +440,48 @@ GROUP BY model""",
     + f"""SELECT 'linear_regression' AS model, datetime, event_id,
   {rnd("storm_severity_index")} AS y_true, {rnd(fitted(BASELINE, "storm_severity_index"))} AS y_pred
 FROM splits, fit WHERE split = 'test'""",
+    "landed_years": with_(PARSED) + f"""SELECT {OBSERVATION}, year::VARCHAR || '.dat' AS file_name, year
+FROM parsed WHERE year BETWEEN 2020 AND 2023""",
+    "landed_twice": with_(PARSED)
+    + f"SELECT {OBSERVATION}, year::VARCHAR || '.dat' AS file_name, year FROM parsed",
+    "rejected_payloads": """SELECT event_id,
+  CASE WHEN event_id % 11 = 0 THEN 'not json' ELSE '{"bt": 1}' END AS payload
+FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0""",
+    "run_summary_by_user": with_(
+        WIND,
+        filled("PARTITION BY user_id"),
+        limited("filled"),
+        """counted AS (SELECT user_id, count(*) AS n, floor(count(*) * 0.15::DOUBLE)::BIGINT AS part
+  FROM limited GROUP BY user_id)""",
+    )
+    + """SELECT sum(greatest(n - 2 * part - 3, 0))::BIGINT AS train_samples,
+  sum(greatest(part - 3, 0))::BIGINT AS val_samples, sum(greatest(part - 3, 0))::BIGINT AS test_samples,
+  3::BIGINT AS sequence_length, 4::BIGINT AS n_features,
+  'bt,bz_gsm,speed,density' AS feature_names, 'storm_severity_index' AS target_name FROM counted""",
+    "validation_report_by_user": validation("PARTITION BY user_id"),
+    "prepared_summary": chain(SPLITS, SAMPLES) + f"""SELECT *, {WINDOW}::BIGINT AS sequence_length,
+  4::BIGINT AS n_features, (SELECT count(*) FROM splits) AS tabular_rows,
+  train_samples + val_samples + test_samples AS sequence_rows FROM sizes""",
+    "test_split_metrics": chain(
+        SPLITS,
+        SCALER,
+        least_squares("splits", BASELINE, "storm_severity_index", det3),
+        f"""tested AS (
+  SELECT storm_severity_index AS y, {fitted(BASELINE, "storm_severity_index")} AS linear,
+    lag(storm_severity_index) OVER ({ORDER}) AS naive, storm_severity_index_mean AS m, storm_severity_index_scale AS s
+  FROM splits, fit, scaler WHERE split = 'test')""",
+    )
+    + f"""SELECT model, {METRICS} FROM (
+  SELECT 'linear_regression' AS model, (y - m) / s AS y_true, (linear - m) / s AS y_pred FROM tested
+  UNION ALL SELECT 'persistence', (y - m) / s, (naive - m) / s FROM tested WHERE naive IS NOT NULL)
+GROUP BY model""",
+    "tree_cell_means": SPLITS + f"""SELECT datetime, event_id, {rnd('''avg(storm_severity_index) OVER (PARTITION BY
+    least(floor((10.0::DOUBLE - bz_gsm) / 4.0::DOUBLE), 3),
+    least(floor((speed - 300.0::DOUBLE) / 50.0::DOUBLE), 3),
+    least(floor(density / 5.0::DOUBLE), 3))''')} AS y_pred
+FROM splits WHERE split = 'train'""",
+    "linear_on_all_windows": f"""SELECT step, {", ".join(f"{rnd(f'avg(y * {c})', 5)} AS {c}" for c in FEATURES)}
+FROM ({windows(inside_split(WINDOW))}) WHERE split = 'train' GROUP BY step""",
     "linear_on_window": chain(SPLITS, PAIRS, least_squares("pairs", ("x1", "x2"), "y", det2))
     + f"""SELECT target_ts, {rnd("y")} AS y_true, {rnd(fitted(("x1", "x2"), "y"))} AS y_pred
 FROM pairs, fit WHERE split = 'test'""",

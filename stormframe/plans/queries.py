@@ -329,18 +329,18 @@ def sequence_windows_by_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequence_windows_by_user(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of 3 rows that stay inside one user's series."""
-    table = with_derived_features(solar_wind(spark, folder)).select("user_id", *KEYS, "speed", TARGET)
+    """Windows that stay inside one user's series."""
+    table = with_derived_features(solar_wind(spark, folder)).select("user_id", *KEYS, *FEATURES, TARGET)
     plan = plan_blocks(table, BY_USER)
     positioned = plan.clean(with_position(plan.assign(table), plan))
-    windows = sequence_windows(positioned, ["speed"], TARGET, 3, by=["user_id"])
-    return _as_doubles(flatten_windows(windows, ["speed"]))
+    windows = sequence_windows(positioned, FEATURES, TARGET, WINDOW, by=["user_id"])
+    return _as_doubles(flatten_windows(windows, FEATURES))
 
 
 def align_features_target_query(spark: SparkSession, folder: str) -> DataFrame:
     table = derived(spark, folder)
     return align_features_target(
-        table.select(*KEYS, *FEATURES), table.select(*KEYS, TARGET), KEYS, check=False
+        table.select(*KEYS, *FEATURES), table.select(*KEYS, TARGET), KEYS
     )
 
 
@@ -423,8 +423,8 @@ def stored_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_sequences(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{shared_folder(spark)}/sequences"
-    windows = preparation.split_windows(splits(spark, folder), Settings(window=3))
-    tables.write_sequences(windows, target, 3)
+    windows = preparation.split_windows(splits(spark, folder), Settings(window=WINDOW))
+    tables.write_sequences(windows, target, WINDOW)
     stored = tables.read_sequences(spark, target, "test").drop("split", "window")
     return _as_doubles(flatten_windows(stored, FEATURES))
 

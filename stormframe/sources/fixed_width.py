@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import FIXED_WIDTH_FIELDS, REQUIRED_COLUMNS, SENTINELS
 from stormframe.functions.numeric import drop_sentinels, hour_timestamp, lenient_double
 
 TIME_PARTS = ("year", "doy", "hour")
+# A yearly file, or a folder of its parts.
+NAME_IN_PATH = r"([^/]*\d{4}\.[^/.]+)(?:/[^/]*)?$"
 YEAR_IN_NAME = r"(\d{4})\.[^.]+$"
 
 #: Keys of a manifest that are broadcast, at most.
@@ -58,25 +60,31 @@ def read_years(
 ) -> DataFrame:
     """Observations of the files whose name ends in a year of the range, ends included.
 
-    One scan over the folder; the test on the file name prunes files before they are opened,
-    and absent years are simply not there. A file that vanishes before it is read raises. ``line_id`` tells lines apart and serves as tiebreak
-    once the observations are written.
+    A year may also be a folder of parts, ``2020.dat/part-...``. One scan over all of them; the
+    test on the name prunes files before they are opened, and absent years are simply not there.
+    A file that vanishes before it is read raises, and so does a folder without any match.
+    ``line_id`` tells lines apart and serves as tiebreak once the observations are written.
     """
     if start_year > end_year:
         raise ValueError(f"start year {start_year} is after end year {end_year}")
-    reader = spark.read.option("pathGlobFilter", name_glob)
+    reader = spark.read
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
-    name = F.col("_metadata.file_name")
+    name = landed_name()
     year = F.regexp_extract(name, YEAR_IN_NAME, 1).try_cast("int")
     lines = (
-        reader.text(folder)
+        reader.text(f"{folder}/{name_glob}")
         .where(year.between(start_year, end_year))
         .select("value", name.alias("file_name"), F.monotonically_increasing_id().alias("line_id"))
     )
     return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
 
 
+def landed_name() -> Column:
+    """Name of the yearly file, or of the folder of parts, that a line comes from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), NAME_IN_PATH, 1)
+
+
 def years_between(start: str, end: str) -> tuple[int, int]:
     """Years of two ISO dates; the start must lie before the end."""
     first, last = date.fromisoformat(start), date.fromisoformat(end)

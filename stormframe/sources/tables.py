@@ -78,12 +78,18 @@ def read_scaler(spark: SparkSession, path: str) -> Scaler:
 # --- writers ------------------------------------------------------------------------
 
 
-def write_observations(df: DataFrame, path: str, mode: str = "append") -> bool:
-    """Write by year; an empty table is skipped. Returns whether anything was written."""
+def write_observations(df: DataFrame, path: str, append: bool = False) -> bool:
+    """Write by year; an empty table is skipped. Returns whether anything was written.
+
+    Years of ``df`` replace those stored, so a repeated load leaves no row twice; ``append`` adds.
+    """
     if df.isEmpty():
         return False
     table = df.withColumn("year", F.year("datetime"))
-    table.write.mode(mode).partitionBy("year").parquet(path)
+    if append:
+        table.write.mode("append").partitionBy("year").parquet(path)
+    else:
+        _replace_partitions(table, path, ["year"])
     return True
 
 

@@ -10,19 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stormframe.sources.fixed_width import parse_lines
+from stormframe.sources.fixed_width import landed_name, parse_lines
 
 
 def landed_observations(
     spark: SparkSession, folder: str, name_glob: str = "*.dat", files_per_batch: int = 1000
 ) -> DataFrame:
-    """Streaming observations of the fixed-width files in ``folder``."""
+    """Streaming observations of the yearly files, or folders of parts, in ``folder``."""
     lines = (
         spark.readStream.format("text")
-        .option("pathGlobFilter", name_glob)
         .option("maxFilesPerTrigger", str(files_per_batch))
-        .load(folder)
-        .select("value", F.col("_metadata.file_name").alias("file_name"))
+        .load(f"{folder}/{name_glob}")
+        .select("value", landed_name().alias("file_name"))
         .withColumn("line_id", F.xxhash64("file_name", "value"))
     )
     return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))

@@ -20,10 +20,11 @@ def measure(spark, y_true, y_pred):
 
 
 def test_metrics_of_known_points(spark):
-    row = measure(spark, np.linspace(0, 1, 200), np.linspace(0.05, 0.95, 200))
-    assert row["rmse"] == pytest.approx(0.0290122137, abs=1e-9)
-    assert row["mae"] == pytest.approx(0.0251256281, abs=1e-9)
-    assert row["r2"] == pytest.approx(0.99, abs=1e-9)
+    # Errors 1, -1, 2, 0 and a variance of 5.
+    row = measure(spark, [1, 3, 5, 7], [0, 4, 3, 7])
+    assert row["rmse"] == pytest.approx(1.5**0.5)
+    assert row["mae"] == pytest.approx(1.0)
+    assert row["r2"] == pytest.approx(1 - 6 / 20)
 
 
 def test_r2_corner_cases(spark):
@@ -72,15 +73,14 @@ def test_scaler(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def tabular(spark):
-    rng = np.random.default_rng(0)
-    n = 140
+    i = np.arange(175)
     table = pd.DataFrame(
         {
-            "bz_gsm": rng.normal(size=n), "speed": rng.uniform(300, 800, n), "density": rng.uniform(1, 30, n),
-            "split": ["train"] * 100 + ["test"] * 40,
+            "bz_gsm": 6 * np.cos(0.7 * i), "speed": 380.0 + 2 * i, "density": 2.0 + (i * i) % 23,
+            "split": np.where(i % 7 < 5, "train", "test"),
         }
     )
-    table["storm_severity_index"] = rng.uniform(size=n) + 0.1 * table["bz_gsm"]
+    table["storm_severity_index"] = 0.4 - 0.02 * table["bz_gsm"] + 0.1 * np.sin(1.9 * i)
     return table
 
 

@@ -208,13 +208,13 @@ def test_split_sizes(spark, n):
 
 
 def test_persistence_example(spark):
-    values = [0.1, 0.2, 0.4, 0.3]
+    values = [7.0, 5.5, 5.5, 9.0, -1.0]
     rows = [(datetime(2020, 1, 1, i), i, v) for i, v in enumerate(values)]
     frame = spark.createDataFrame(rows, "datetime timestamp_ntz, event_id long, y double")
     plan = plan_blocks(frame, block_rows=2)
     out = persistence_forecast(plan.assign(frame), plan, "y").orderBy("datetime").toPandas()
-    assert out["y_true"].tolist() == [0.2, 0.4, 0.3]
-    assert out["y_pred"].tolist() == [0.1, 0.2, 0.4]
+    assert out["y_true"].tolist() == values[1:]
+    assert out["y_pred"].tolist() == values[:-1]
 
 
 def test_persistence_needs_two_rows(spark):

@@ -9,7 +9,7 @@ from stormframe.operators.conditioning import model_columns, within_limits
 from stormframe.operators.ordered import fill_missing, with_position
 from stormframe.plans.oracle import ORACLE
 from stormframe.plans.prepare import condition, split_table
-from stormframe.plans.queries import QUERIES
+from stormframe.plans.workflows import QUERIES
 from stormframe.sources.events import solar_wind
 
 WITHOUT_SQL = {"random_forest_metrics"}

@@ -222,6 +222,10 @@ def test_empty_table_is_not_written(spark, tmp_path):
     frame = spark.createDataFrame([(datetime(2020, 5, 1), 1.0)], "datetime timestamp_ntz, bt double")
     assert write_observations(frame, str(tmp_path / "t"))
     assert not write_observations(frame.limit(0), str(tmp_path / "none"))
+    assert write_observations(frame, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert write_observations(frame, str(tmp_path / "t"), append=True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert not (tmp_path / "none").exists()
     assert spark.read.parquet(str(tmp_path / "t")).first()["year"] == 2020
 
