@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import defaultdict
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class RankEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    ``path`` is a file of ranks. The name of a special token in a text is that token's id, as the
-    tokenizer has it.
+    ``path`` is a file of ranks; beside it lies the tokenizer's own JSON file of the same name. The
+    name of a special token in a text is that token's id, as the tokenizer has it. A text that the
+    encoder of ranks refuses, as it does a run of a million spaces, is encoded by the tokenizer.
     """
 
     def __init__(self, path: str, pattern: str = PATTERN, special: dict[str, int] = SPECIAL):
@@ -38,16 +41,28 @@ class RankEncoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.path = path
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(str(Path(self.path).with_suffix(".json")))
+
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        try:
+            ids = self.encoding.encode(text, allowed_special="all")
+        except ValueError:  # its regex ran out of stack
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """``PIECES`` of every row: its ids and ``end_id``, cut if there are more than ``limit``.
 
-    ``tokenizer`` is the file of ranks, which every executor must have at that path.
+    ``tokenizer`` is the file of ranks, which every executor must have at that path, with the JSON
+    file beside it.
 
     All pieces of a cut document hold ``limit`` ids but the first, which may hold fewer.
     """

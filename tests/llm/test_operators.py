@@ -249,6 +249,24 @@ def test_ranks_equal_the_tokenizer():
         assert RankEncoder(RANKS).encode(text) == ids.tobytes()
 
 
+def test_packing_encodes_long_runs_of_whitespace(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["x" + " " * 1_100_000 + "a", "é <|endoftext|>" + "\n" * 1_500_000 + "b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows_of(pack(docs, RANKS))}
+    want = {}
+    for doc_id, text in enumerate(texts):
+        code = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        stops = range(len(code) % 2048 or 2048, len(code) + 1, 2048)
+        for piece, stop in enumerate(stops):
+            start = max(0, stop - 2048) if piece else 0
+            want[doc_id, piece] = (start, stop - start, zlib.crc32(code[start:stop].tobytes()))
+    assert found == want
+
+
 def test_plan_packing_uses_every_piece():
     histogram = np.random.default_rng(1).integers(0, 40, 129)
     histogram[0] = 0
