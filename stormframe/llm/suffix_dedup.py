@@ -4,7 +4,8 @@ Texts are cut into runs of neighbouring starting points that share an anchor: th
 hash inside the string that begins there. Equal strings share their anchor, so an anchor that
 occurs once, or always in the same surroundings, settles its starting points at once. Runs with
 one anchor in different surroundings meet in blocks of text whose Burrows-Wheeler transform tells
-which starting points share a common prefix of the full length.
+which starting points share a common prefix of the full length. The starting points of anchors that
+are too common for one block are told apart by their own strings.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import partitions, whole_text
+from stormframe.llm.common import join_groups, partitions, sha256, whole_text
 from stormframe.llm.shingles import mixed
 from stormframe.session import stored
 
 LENGTH = 100
 #: Bytes of texts that a task looks at together; longer texts are cut, with overlap.
 BLOCK_BYTES = 2_000_000
-#: Bytes of runs in one transform, about.
+#: Bytes of runs in one transform, about; no anchor with more comes to a transform.
 TRANSFORM_BYTES = 1_000_000
 POSITION_BITS = 23
 
@@ -278,6 +279,26 @@ def _settle_open(runs: DataFrame, length: int) -> DataFrame:
     return blocked.groupBy("block").applyInPandas(transform, "doc_id long, start long, n long")
 
 
+def _settle_common(runs: DataFrame, length: int) -> DataFrame:
+    """What ``_settle_open`` gives, for anchors whose runs do not fit one transform.
+
+    Every starting point goes by the digest of its own string. Firsts are aggregated before they
+    are shuffled and common strings are joined apart, so no task holds all places of a string.
+    """
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at")
+    points = runs.select("doc_id", "start", "piece", at).select(
+        "doc_id", (F.col("start") + F.col("at")).alias("start"),
+        F.substring("piece", (F.col("at") + 1).cast("int"), F.lit(length)).alias("string"),
+    )
+    points = points.where(F.length("string") == length).withColumn("string", sha256(F.col("string")))
+    firsts = points.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(firsts.where(F.col("n") > 1), "firsts")
+    later = join_groups(points, firsts, "string", "n").where(
+        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
+    )
+    return later.select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+
+
 def _pieces(rows: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     """``hash, doc_id, start, n, piece`` of open runs, stored; piece is their bytes."""
     per_doc = opened.groupBy("doc_id").agg(
@@ -312,7 +333,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     found = stored(_settle_runs(rows.where(F.col("doc_id").isNotNull()), length), "runs")
     pieces = _pieces(rows, found.where("open").select("hash", "doc_id", "start", "n"), length)
-    more = _settle_open(pieces, length)
+    # One number for each TRANSFORM_BYTES of pieces at most.
+    sizes = pieces.groupBy("hash").agg(F.sum(F.length("piece")).alias("size"))
+    common = stored(sizes.where(F.col("size") > TRANSFORM_BYTES).select("hash"), "common")
+    more = _settle_open(pieces.join(F.broadcast(common), "hash", "left_anti"), length)
+    if not common.isEmpty():
+        more = more.unionByName(_settle_common(pieces.join(F.broadcast(common), "hash", "left_semi"), length))
     covered = found.where("not open").select("doc_id", "start", "n").unionByName(more)
     per_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import words
 from pyspark.sql import functions as F
 
-from stormframe.llm import ngram_join, sharding
+from stormframe.llm import ngram_join, sharding, suffix_dedup
 from stormframe.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from stormframe.llm.hnsw import search, usable_vectors
 from stormframe.llm.language import Lattice, fit_language, with_language
@@ -79,6 +79,24 @@ def test_remove_repeats(spark, length):
     assert found == plain_repeats(enumerate(texts), length)
 
 
+@pytest.mark.parametrize("size", [60, 99])
+def test_remove_repeats_of_a_common_line(spark, monkeypatch, size):
+    """A line that stands in many surroundings, some of them alike, does not meet in one transform."""
+    line = "\n" + " ".join(words(11, 60))[:size] + "\n"
+    texts = [" ".join(words(100 + i, 40)) + " ".join(words(900 + i % 7, 4)) + line + " ".join(words(500 + i % 90, 40)) for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    plain = suffix_dedup.long_prefix_classes
+
+    def guarded(symbols, length):
+        assert len(symbols) < 12_000
+        return plain(symbols, length)
+
+    monkeypatch.setattr(suffix_dedup, "TRANSFORM_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "long_prefix_classes", guarded)
+    found = {r["doc_id"]: (sum(s["length"] for s in r["spans"]), bytes(r["kept"])) for r in remove_repeats(frame).collect()}
+    assert found == plain_repeats(enumerate(texts), 100)
+
+
 def test_remove_repeats_awkward(awkward, nothing):
     found = rows_of(remove_repeats(awkward))
     assert len(found) == awkward.count()
