@@ -400,3 +400,39 @@ def test_license_scan(spark, awkward, nothing):
     scanned = rows_of(license_scan(awkward, F.col("source")))
     assert len(scanned) == awkward.count() and {r["license"] for r in scanned if r["doc_id"] == 14} == {"mit"}
     assert license_scan(nothing, F.col("source")).count() == 0
+
+
+def test_license_scan_of_headers_and_files(spark):
+    """Wrapped headers in comments, full licence files, SPDX identifiers, and versions."""
+    import textwrap
+
+    from stormframe.llm.license_headers import HEADERS
+    from stormframe.llm.licenses import TEXTS
+
+    def comment(text, first, mark, last):
+        lines = [line for part in text.split("\n\n") for line in (*textwrap.wrap(part, 60), "")]
+        return first + "".join(f"{mark}{line}".rstrip() + "\n" for line in lines) + last + "int main() { return 0; }\n"
+
+    rows, want = [], []
+    for license, text in HEADERS:
+        holder = "Copyright 2020 Some Body\n\n" + text
+        for style in (("/*\n", " * ", " */\n"), ("", "# ", ""), ("", "", "\n"), ("/*\n", "", "*/\n")):
+            rows.append(comment(holder, *style))
+            want.append(license)
+    mit = (TEXTS / "mit.txt").read_text().replace("MIT License\n", "MIT License\n\nCopyright (c) 2021 A. Person")
+    for license, text in [("mit", comment(mit, "/*\n", " * ", " */\n")), ("mit", "SPDX-License-Identifier: MIT"),
+                          ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\nx"),
+                          ("gpl-2.0", "# SPDX-License-Identifier: GPL-2.0-only"), ("mit", "MIT License"), ("apache-2.0", "Apache License"),
+                          ("mit", " ".join(mit[mit.index("Permission") :].split("\n\n")[0].split())),
+                          (None, HEADERS[3][1].replace("version 2", "version 1")), (None, "We sell a licence for parking.")]:
+        rows.append(text)
+        want.append(license)
+    paths = [f"d{i}/x.c" for i in range(len(rows))]
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = mit if file.stem == "mit" else file.read_text()
+        rows += [text, "\n".join(textwrap.fill(part, 50) for part in text.split("\n\n"))]
+        want += [file.stem] * 2
+        paths += [f"{file.stem}/LICENSE", f"{file.stem}/wrapped/COPYING.txt"]
+    docs = spark.createDataFrame(list(zip(range(len(rows)), paths, rows, strict=True)), "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["license"] for r in rows_of(license_scan(docs, F.col("path")))}
+    assert [(paths[i], rows[i][:80], want[i], found[i]) for i in range(len(rows)) if want[i] != found[i]] == []
