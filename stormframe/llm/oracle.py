@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stormframe.llm.licenses import CUES, LICENSE_FILE, TEMPLATES, TERM, THRESHOLD
 from stormframe.llm.mixing import SEED
+from stormframe.llm.phrases import COVERED_PERCENT, MINIMUM, SCALE, TOP, UNKNOWN
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,9 +120,48 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{UNKNOWN}') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, size, words[i:i + size - 1] AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(words) >= size)),
+counts AS (
+  SELECT lang, size, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= {MINIMUM}),
+cuts AS (
+  SELECT lang, size, phrase, a, unnest(range(1, size)) AS k FROM counts WHERE size > 1),
+marks AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r,
+    ({SCALE}::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1:k]
+    JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:]),
+lowest AS (
+  SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, a, phrase[i:i + m - 1] AS phrase
+  FROM (SELECT lang, a, phrase, m, unnest(range(1, size - m + 2)) AS i
+        FROM counts, (SELECT unnest([2, 3]) AS m) WHERE size > m)),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM lowest o LEFT JOIN longest g ON g.lang = o.lang AND g.phrase = o.phrase
+  WHERE longer IS NULL OR 100 * longer < {COVERED_PERCENT} * o.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
+  array_to_string(phrase, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= {TOP}
+"""
+
 ORACLE: dict[str, str] = {
     "op2_license_scan": OP2,
     "op4_mixing": OP4,
     "op5_ngram_join": OP5,
     "op8_exact_dedup": OP8,
+    "op13_phrases": OP13,
 }

@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormframe.llm.bpe import decode, encode
 from stormframe.llm.common import learnable
 from stormframe.llm.exact_dedup import exact_duplicates
+from stormframe.llm.fill_middle import restore, transform
 from stormframe.llm.hnsw import search, usable_vectors
 from stormframe.llm.language import fit_language, with_language
 from stormframe.llm.licenses import license_scan
 from stormframe.llm.mixing import mix_rates
 from stormframe.llm.ngram_join import near_duplicates
 from stormframe.llm.packing import pack
+from stormframe.llm.phrases import collocations
 from stormframe.llm.quality import THRESHOLD, fit_quality, with_quality
 from stormframe.llm.sharding import shard_by_bytes
 from stormframe.llm.suffix_dedup import remove_repeats
@@ -24,6 +27,7 @@ from stormframe.session import stored
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -105,6 +109,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), RANKS)
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = decode(encode(documents(spark, folder), WORD_BPE), WORD_BPE)
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return restore(transform(documents(spark, folder))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hnsw": op1_hnsw,
     "op2_license_scan": op2_license_scan,
@@ -116,4 +138,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_bpe": op11_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_phrases": op13_phrases,
 }
