@@ -444,6 +444,11 @@ FROM splits, fit WHERE split = 'test'""",
 FROM parsed WHERE year BETWEEN 2020 AND 2023""",
     "landed_twice": with_(PARSED)
     + f"SELECT {OBSERVATION}, year::VARCHAR || '.dat' AS file_name, year FROM parsed",
+    "landed_with_failures": with_(PARSED) + """SELECT year::VARCHAR || '.dat' AS file_name, count(*) AS n_rows,
+  count(*) AS line_ids, min(datetime) AS first_time, max(datetime) AS last_time,
+  CASE year WHEN 2021 THEN 'rejected,taken' ELSE 'taken' END AS tried, 'taken' AS status,
+  count(*) AS ledger_rows
+FROM parsed WHERE year BETWEEN 2019 AND 2021 GROUP BY year""",
     "rejected_payloads": """SELECT event_id,
   CASE WHEN event_id % 11 = 0 THEN 'not json' ELSE '{"bt": 1}' END AS payload
 FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0""",

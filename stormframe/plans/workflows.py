@@ -27,9 +27,10 @@ from stormframe.plans.queries import (
 )
 from stormframe.session import shared_folder, stored
 from stormframe.sources.events import solar_wind
+from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.header_json import rejected_payloads
-from stormframe.streaming.ingest import ingest_new_files
+from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
 OBSERVED = ("datetime", *MEASUREMENTS, "file_name", "year")
 
@@ -61,8 +62,43 @@ def landed_twice(spark: SparkSession, folder: str) -> DataFrame:
     lines = stored(yearly_lines(spark, folder), "lines")
     for years in (range(2019, 2022), range(2022, 2026)):
         land(lines, f"{base}/landing", years)
-        ingest_new_files(spark, f"{base}/landing", f"{base}/table", f"{base}/progress").awaitTermination()
-    return _observed(spark.read.parquet(f"{base}/table"))
+        ingest_landed(spark, f"{base}/landing", f"{base}/table", f"{base}/progress")
+    return _observed(read_landed(spark, f"{base}/table"))
+
+
+def landed_with_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Three years land, the file of one of them broken; it is mended, and all is ingested again.
+
+    One row per year: the observations and line numbers taken, and what the ledger tells about
+    the year's files, first and in the end.
+    """
+    base, storage = shared_folder(spark), Storage(spark)
+    landing, table, progress = (f"{base}/{name}" for name in ("landing", "table", "progress"))
+    lines = stored(yearly_lines(spark, folder), "lines")
+    land(lines, landing, (2019, 2020))
+    broken = f"{landing}/2021.dat/part.txt.gz"
+    storage.publish(broken, "cut off on the way")
+    ingest_landed(spark, landing, table, progress)
+
+    of_year = lines.where("file_name = '2021.dat'").select("value")
+    of_year.coalesce(1).write.option("compression", "gzip").text(f"{base}/mended")
+    (mended,) = (name for name in storage.names(f"{base}/mended") if name.endswith(".gz"))
+    storage.remove(broken)
+    storage.move(f"{base}/mended/{mended}", broken)
+    ingest_landed(spark, landing, table, progress)
+
+    name = F.regexp_extract("path", r"([^/]+\.dat)/", 1).alias("file_name")
+    tries = read_ledger(spark, table).groupBy(name).agg(
+        F.array_join(F.sort_array(F.collect_set("status")), ",").alias("tried")
+    )
+    states = file_states(spark, table).groupBy(name).agg(
+        F.array_join(F.sort_array(F.collect_set("status")), ",").alias("status"), F.sum("n_rows").alias("ledger_rows")
+    )
+    taken = read_landed(spark, table).groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("line_id").alias("line_ids"),
+        F.min("datetime").alias("first_time"), F.max("datetime").alias("last_time"),
+    )
+    return taken.join(tries, "file_name", "full").join(states, "file_name", "full")
 
 
 def rejected_payloads_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,6 +192,7 @@ QUERIES: dict[str, Query] = {
     **SINGLE_QUERIES,
     "landed_years": landed_years,
     "landed_twice": landed_twice,
+    "landed_with_failures": landed_with_failures,
     "rejected_payloads": rejected_payloads_query,
     "run_summary_by_user": run_summary_by_user,
     "validation_report_by_user": validation_report_by_user,

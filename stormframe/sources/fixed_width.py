@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ TIME_PARTS = ("year", "doy", "hour")
 NAME_IN_PATH = r"([^/]*\d{4}\.[^/.]+)(?:/[^/]*)?$"
 YEAR_IN_NAME = r"(\d{4})\.[^.]+$"
 
+#: A line's id holds its file's number above its place, which fits these bits.
+FILE_BITS = 40
+#: Names of files that are broadcast with their numbers, at most.
+BROADCAST_URL_BYTES = 16_000_000
 #: Keys of a manifest that are broadcast, at most.
 BROADCAST_KEYS = 100_000
 
@@ -56,28 +63,59 @@ def read_years(
     start_year: int,
     end_year: int,
     name_glob: str = "*.dat",
-    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Observations of the files whose name ends in a year of the range, ends included.
 
     A year may also be a folder of parts, ``2020.dat/part-...``. One scan over all of them; the
     test on the name prunes files before they are opened, and absent years are simply not there.
     A file that vanishes before it is read raises, and so does a folder without any match.
-    ``line_id`` tells lines apart and serves as tiebreak once the observations are written.
+    ``line_id`` is made of the file's number among all files of the folder and the line's place in
+    it; it serves as tiebreak once the observations are written.
     """
     if start_year > end_year:
         raise ValueError(f"start year {start_year} is after end year {end_year}")
-    reader = spark.read
-    if skip_corrupt:
-        reader = reader.option("ignoreCorruptFiles", "true")
-    name = landed_name()
-    year = F.regexp_extract(name, YEAR_IN_NAME, 1).try_cast("int")
-    lines = (
-        reader.text(f"{folder}/{name_glob}")
-        .where(year.between(start_year, end_year))
-        .select("value", name.alias("file_name"), F.monotonically_increasing_id().alias("line_id"))
+    year = F.regexp_extract(landed_name(), YEAR_IN_NAME, 1).try_cast("int")
+    lines = spark.read.text(f"{folder}/{name_glob}")
+    urls = sorted(url.replace(":///", ":/") for url in lines.inputFiles())  # as row metadata spells them
+    files = spark.createDataFrame([(url, i) for i, url in enumerate(urls)], "url string, file long")
+    if sum(map(len, urls)) <= BROADCAST_URL_BYTES:
+        files = F.broadcast(files)
+    numbered = numbered_lines(lines.where(year.between(start_year, end_year)), files)
+    return parse_lines(numbered, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
+
+
+def numbered_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``value, file_name, line_id`` of lines as the text source reads them.
+
+    ``files`` gives each ``url`` its number. A line's place is the first byte of its split plus its
+    number in the split: a line has a byte at least, so places are unique in a file, and they grow
+    along it. Splits are read from front to back, so counting needs no shuffle.
+    """
+    split = F.struct(
+        F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("start")
+    )
+    columns = ["value", "file_name", "url", "start", "place"]
+    placed = lines.select("value", landed_name().alias("file_name"), split.alias("_split")).select(
+        "value", "file_name", "_split.*"
     )
-    return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
+
+    def count(batches):
+        last, counted = None, 0
+        for batch in batches:
+            url, start = batch.column(2), batch.column(3)
+            edge = pc.or_(pc.not_equal(url[1:], url[:-1]), pc.not_equal(start[1:], start[:-1]))
+            firsts = np.flatnonzero(np.concatenate([[True], edge.to_numpy(zero_copy_only=False)])[: len(batch)])
+            sizes = np.diff(np.append(firsts, len(batch)))
+            place = np.arange(len(batch)) - np.repeat(firsts, sizes)
+            if len(batch):
+                if (url[0], start[0]) == last:
+                    place[: sizes[0]] += counted
+                last, counted = (url[-1], start[-1]), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], columns)
+
+    schema = "value string, file_name string, url string, start long, place long"
+    line_id = F.shiftleft("file", FILE_BITS) + F.col("start") + F.col("place")
+    return placed.mapInArrow(count, schema).join(files, "url").select("value", "file_name", line_id.alias("line_id"))
 
 
 def landed_name() -> Column:

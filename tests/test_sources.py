@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from stormframe.functions.numeric import (
     lenient_double,
     name_from_file,
 )
+from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import (
     in_years,
     new_rows,
@@ -27,7 +29,8 @@ from stormframe.sources.tables import (
     read_predictions,
     write_observations,
 )
-from stormframe.streaming.ingest import ingest_new_files
+
+from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
 FIELDS = {"year": (0, 4), "doy": (4, 8), "hour": (8, 11), "bt": (36, 42), "bz": (78, 84),
           "density": (123, 129), "speed": (129, 135), "dst": (225, 231)}
@@ -150,20 +153,106 @@ def test_new_rows(spark):
     assert sorted(r["v"] for r in new_rows(landed, manifest).collect()) == [2, 3]
 
 
-def test_incremental_ingest_takes_each_file_once(spark, tmp_path):
-    landing, table, progress = (tmp_path / n for n in ("landing", "table", "progress"))
-    landing.mkdir()
-    land(landing, 2020)
+class Landing:
+    """A landing folder with its table, and what ingesting leaves in them."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.table, self.progress = spark, *(folder / n for n in ("landing", "table", "progress"))
+        self.folder.mkdir()
+
+    def ingest(self, progress=None):
+        ingest_landed(self.spark, str(self.folder), str(self.table), str(progress or self.progress), files_per_batch=2)
+
+    def years(self):
+        rows = read_landed(self.spark, str(self.table)).groupBy("year").count().collect()
+        return {r["year"]: r["count"] for r in rows}
+
+    def states(self):
+        rows = file_states(self.spark, str(self.table)).collect()
+        return {r["path"].rsplit("/", 1)[1]: r["status"] for r in rows}
+
+
+@pytest.fixture()
+def landing(spark, tmp_path):
+    return Landing(spark, tmp_path)
+
+
+def test_incremental_ingest_takes_each_file_once(spark, landing):
+    land(landing.folder, 2020)
+    landing.ingest()
+    assert landing.years() == {2020: 72}
+    landing.ingest()
+    assert landing.years() == {2020: 72}
+    land(landing.folder, 2021)
+    landing.ingest()
+    assert landing.years() == {2020: 72, 2021: 72}
+    landing.ingest(progress=landing.progress.with_name("lost"))  # every file is handed on again
+    assert landing.years() == {2020: 72, 2021: 72}
+    assert read_ledger(spark, str(landing.table)).count() == 2
+
+
+def test_broken_files_do_not_hold_up_others(spark, landing):
+    for year in (2020, 2021):
+        land(landing.folder, year)
+    (landing.folder / "2022.dat").mkdir()
+    broken = landing.folder / "2022.dat" / "part.gz"
+    broken.write_bytes(b"not compressed at all")
+    (landing.folder / "2023.dat").write_text("no\ndata\n")
+    (landing.folder / "2024.dat").write_text("")
+    landing.ingest()
+    assert landing.years() == {2020: 72, 2021: 72}
+    assert landing.states() == {
+        "2020.dat": "taken", "2021.dat": "taken", "part.gz": "rejected", "2023.dat": "rejected", "2024.dat": "rejected",
+    }
+    reasons = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in file_states(spark, str(landing.table)).collect()}
+    assert "FAILED_READ_FILE" in reasons["part.gz"]
+    assert reasons["2023.dat"] == "no observation in 2 lines"
+    assert reasons["2024.dat"] == "no observation in 0 lines"
+
+    landing.ingest()
+    assert read_ledger(spark, str(landing.table)).count() == 5  # what has not changed is not tried again
+    text = "\n".join(line(2022, 1, h) for h in range(24)) + "\n"
+    broken.write_bytes(gzip.compress(text.encode()))
+    (landing.folder / "2024.dat").write_text(line(2024, 5, 5))
+    landing.ingest()
+    assert landing.years() == {2020: 72, 2021: 72, 2022: 24, 2024: 1}
+    assert landing.states()["part.gz"] == "taken"
+    ids = read_landed(spark, str(landing.table)).agg(F.count(F.lit(1)), F.count_distinct("line_id")).first()
+    assert ids[0] == ids[1] == 169
+
+
+def test_uncommitted_batches_are_not_seen(spark, landing, monkeypatch):
+    land(landing.folder, 2020)
+    monkeypatch.setattr(Storage, "publish", lambda *_: (_ for _ in ()).throw(OSError("the driver died")))
+    with pytest.raises(Exception, match="the driver died"):
+        landing.ingest()
+    with pytest.raises(FileNotFoundError):
+        landing.years()
+    monkeypatch.undo()
+    landing.ingest()
+    assert landing.years() == {2020: 72}
+
 
-    def run():
-        query = ingest_new_files(spark, str(landing), str(table), str(progress))
-        assert query.awaitTermination(120)
-        return {r["year"]: r["count"] for r in spark.read.parquet(str(table)).groupBy("year").count().collect()}
+def test_an_error_that_names_no_file_is_raised(spark, landing, monkeypatch):
+    land(landing.folder, 2020)
+    monkeypatch.setattr("stormframe.streaming.ingest.parse_lines", lambda lines, **_: lines.select(F.raise_error(F.lit("odd")).alias("datetime")))
+    with pytest.raises(Exception, match="odd"):
+        landing.ingest()
+    assert not landing.table.joinpath("ledger").exists()
 
-    assert run() == {2020: 72}
-    assert run() == {2020: 72}
-    land(landing, 2021)
-    assert run() == {2020: 72, 2021: 72}
+
+def test_line_ids_hold_file_and_place(spark, tmp_path):
+    land(tmp_path, 2020)
+    (tmp_path / "2021.dat").write_text((line(2021, 1, 1) + "\n") * 5000)  # equal lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = read_years(spark, str(tmp_path), 2020, 2021)
+        found = rows.agg(F.count(F.lit(1)), F.count_distinct("line_id")).first()
+        assert found[0] == found[1] == 5072
+        again = read_years(spark, str(tmp_path), 2021, 2021)
+        assert again.exceptAll(rows).isEmpty() and again.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 # --- JSON ---------------------------------------------------------------------------
