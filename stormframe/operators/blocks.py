@@ -29,6 +29,7 @@ from stormframe.config import SeriesOrder
 from stormframe.functions.numeric import epoch_seconds
 
 BLOCK = "_block"
+PART = "_part"
 SERIES = "_series"
 BLOCK_ROWS = 4_000_000
 SMALLEST_BLOCK = 1_000
@@ -73,14 +74,30 @@ class BlockPlan:
 
     def window(self) -> WindowSpec:
         """Rows of one block of one series, in order."""
-        return Window.partitionBy(*self.group).orderBy(*self.sequence())
+        part = [PART] if self.divided else []
+        return Window.partitionBy(*part, *self.group).orderBy(*self.sequence())
+
+    def partitions(self, df: DataFrame) -> int:
+        """One partition a block, or as many as the session asks for if blocks are twice as many."""
+        wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self.blocks if self.blocks < 2 * wanted else wanted
+
+    def place(self, blocked: DataFrame) -> DataFrame:
+        """Shuffle rows for :meth:`window`, with blocks dealt out by number.
+
+        Hashing a handful of blocks to as many partitions would leave some of them empty and
+        others with two or three.
+        """
+        if not self.divided:
+            return blocked
+        return blocked.repartitionById(self.partitions(blocked), F.col(PART))
 
     def across_blocks(self) -> WindowSpec:
         """Block summaries of one series, in order; one row per block."""
         return Window.partitionBy(*self.group[:-1]).orderBy(BLOCK)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the block (and series) columns."""
+        """Add the columns that tell a row's block (and series) and its part of the shuffle."""
         out = df
         if self.order.by:
             out = out.withColumn(SERIES, F.struct(*self.order.by))
@@ -97,6 +114,10 @@ class BlockPlan:
             out = out.withColumn("_tie", F.col("_bucket") + tie)
             out = _bucketize(out.drop("_bucket"), "_tie", "_bucket", self.tie_cuts)
         out = out.withColumn(BLOCK, F.coalesce(F.col("_bucket").cast("long"), F.lit(-1)))
+        parts, part = self.partitions(df), F.col(BLOCK)
+        if self.order.by:  # series that are not cut have no block number to go by
+            part = F.when(part >= 0, part).otherwise(F.xxhash64(SERIES))
+        out = out.withColumn(PART, F.pmod(part, F.lit(parts)).cast("int"))
         return out.drop("_code", "_tie", "_bucket", "_lead")
 
     def summarise(self, blocked: DataFrame, *aggregates: Column) -> DataFrame:
@@ -109,15 +130,14 @@ class BlockPlan:
         """Bring per-block values to the rows.
 
         The summary holds one row per block, so its size is known before it is built: up to
-        ``BROADCAST_BYTES`` it is broadcast. Beyond that it is joined on the block, which is
-        how the windows have partitioned and sorted the rows already.
+        ``BROADCAST_BYTES`` it is broadcast. Beyond that it is joined on the block.
         """
         if self.blocks * len(summary.columns) * 24 <= BROADCAST_BYTES:
             summary = F.broadcast(summary)
         return blocked.join(summary, self.group, "left")
 
     def clean(self, df: DataFrame) -> DataFrame:
-        return df.drop(SERIES, BLOCK)
+        return df.drop(SERIES, BLOCK, PART)
 
 
 def plan_blocks(

@@ -57,7 +57,8 @@ def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) ->
         for c in columns
     }
     helpers = [*windows, *(f"_{part}_{c}" for part in ("prev", "start") for c in columns)]
-    return plan.attach(blocked.withColumns(windows), carry).withColumns(filled).drop(*helpers)
+    placed = plan.place(blocked).withColumns(windows)
+    return plan.attach(placed, carry).withColumns(filled).drop(*helpers)
 
 
 def _edges(columns: Sequence[str], plan: BlockPlan) -> list[Column]:
@@ -74,8 +75,12 @@ def with_position(blocked: DataFrame, plan: BlockPlan) -> DataFrame:
     return with_series_position(with_block_position(blocked, plan), plan)
 
 
-def with_block_position(blocked: DataFrame, plan: BlockPlan) -> DataFrame:
-    """Position inside the block: the part that needs the rows in order."""
+def with_block_position(blocked: DataFrame, plan: BlockPlan, placed: bool = False) -> DataFrame:
+    """Position inside the block: the part that needs the rows in order.
+
+    ``placed`` tells that rows are shuffled by block already, as ``fill_missing`` leaves them.
+    """
+    blocked = blocked if placed else plan.place(blocked)
     return blocked.withColumn(POSITION, F.row_number().over(plan.window()).cast("long") - 1)
 
 
@@ -120,7 +125,7 @@ def with_previous(blocked: DataFrame, plan: BlockPlan, column: str, name: str) -
     edges = plan.summarise(blocked, last.alias("_edge"))
     carry = edges.select(*plan.group, F.lag("_edge").over(plan.across_blocks()).alias("_before"))
     return (
-        plan.attach(blocked.withColumn(name, local), carry)
+        plan.attach(plan.place(blocked).withColumn(name, local), carry)
         .withColumn(name, F.coalesce(F.col(name), F.col("_before")))
         .drop("_before")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from stormframe.config import MEASUREMENTS, SeriesOrder, Settings
 from stormframe.functions.numeric import with_missing_as_null
 from stormframe.functions.severity import with_derived_features
-from stormframe.operators.blocks import BlockPlan, plan_blocks
+from stormframe.operators.blocks import PART, BlockPlan, plan_blocks
 from stormframe.operators.conditioning import (
     drop_missing,
     model_columns,
@@ -62,7 +62,7 @@ def condition(
     filled = fill_missing(plan.assign(table), plan, MEASUREMENTS)
     kept = within_limits(drop_missing(filled, MEASUREMENTS), settings.limits)
     derived = with_derived_features(kept, settings.weights)
-    return Conditioned(with_block_position(derived, plan), plan)
+    return Conditioned(with_block_position(derived, plan, placed=True).drop(PART), plan)
 
 
 def split_table(conditioned: Conditioned, settings: Settings = Settings()) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stormframe.config import SeriesOrder
 from stormframe.operators.blocks import BLOCK, plan_blocks
@@ -15,6 +16,7 @@ from stormframe.operators.ordered import (
     chronological_split,
     fill_missing,
     persistence_forecast,
+    with_block_position,
     with_position,
     with_step_hours,
 )
@@ -224,3 +226,25 @@ def test_persistence_needs_two_rows(spark):
     plan = plan_blocks(frame)
     with pytest.raises(ValueError):
         persistence_forecast(plan.assign(frame), plan, "y")
+
+
+@pytest.mark.parametrize(("by", "block_rows"), [(BY_SENSOR, 200), (SeriesOrder(), 400), (SeriesOrder(), 150), (SeriesOrder(), None)])
+def test_blocks_are_dealt_evenly(spark, by, block_rows):
+    table = observations(8000, hot_instant=False, sensors=4)
+    frame = to_spark(spark, table)
+    plan = plan_blocks(frame, by, block_rows)
+    filled = fill_missing(plan.assign(frame), plan, COLUMNS)
+    sizes = [r["count"] for r in filled.groupBy(F.spark_partition_id()).count().collect()]
+    parts = plan.partitions(frame)
+    assert len(sizes) == parts
+    assert max(sizes) < 1.5 * len(table) / parts
+
+
+def test_rows_are_shuffled_once(spark, table):
+    frame = to_spark(spark, table)
+    plan = plan_blocks(frame, block_rows=300)
+    both = with_block_position(fill_missing(plan.assign(frame), plan, COLUMNS), plan, placed=True)
+    text = both._jdf.queryExecution().toString()
+    physical = text[text.index("== Physical Plan ==") :]
+    assert physical.count("shufflepartitionidpassthrough") == 1
+    assert physical.count("Exchange hashpartitioning(_part") == 0
