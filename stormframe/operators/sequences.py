@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,21 @@ def sequence_windows(
     )
 
 
+def require_windows(rows: int | Mapping[str, int], window: int) -> None:
+    """Raise unless every series, by its known row count, gives a window.
+
+    Lengths of features and target are compared where they are paired: ``read_aligned`` and
+    ``align_features_target``.
+    """
+    if window < 1:
+        raise ValueError("window must be >= 1")
+    counts = rows if isinstance(rows, Mapping) else {"": rows}
+    short = {name: n for name, n in counts.items() if n <= window}
+    if short:
+        told = ", ".join(f"{n} in {name}" if name else str(n) for name, n in short.items())
+        raise ValueError(f"insufficient rows ({told}) for window length {window}")
+
+
 def flatten_windows(sequences: DataFrame, features: Sequence[str]) -> DataFrame:
     """Sequence table in long form: one row per window step, features as columns."""
     kept = [c for c in sequences.columns if c != "x"]

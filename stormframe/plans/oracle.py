@@ -452,6 +452,10 @@ FROM parsed WHERE year BETWEEN 2019 AND 2021 GROUP BY year""",
     "rejected_payloads": """SELECT event_id,
   CASE WHEN event_id % 11 = 0 THEN 'not json' ELSE '{"bt": 1}' END AS payload
 FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0""",
+    "aligned_files": SPLITS + f"""SELECT split, datetime, {", ".join(FEATURES)}, storm_severity_index,
+  row_number() OVER (PARTITION BY split ORDER BY rn) - 1 AS rn FROM splits""",
+    "aligned_windows": f"""SELECT * REPLACE (rn - min(rn) OVER (PARTITION BY split) + {WINDOW} AS rn)
+FROM ({windows(inside_split(WINDOW))})""",
     "run_summary_by_user": with_(
         WIND,
         filled("PARTITION BY user_id"),
@@ -459,9 +463,9 @@ FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0""",
         """counted AS (SELECT user_id, count(*) AS n, floor(count(*) * 0.15::DOUBLE)::BIGINT AS part
   FROM limited GROUP BY user_id)""",
     )
-    + """SELECT sum(greatest(n - 2 * part - 3, 0))::BIGINT AS train_samples,
-  sum(greatest(part - 3, 0))::BIGINT AS val_samples, sum(greatest(part - 3, 0))::BIGINT AS test_samples,
-  3::BIGINT AS sequence_length, 4::BIGINT AS n_features,
+    + f"""SELECT sum(greatest(n - 2 * part - {WINDOW}, 0))::BIGINT AS train_samples,
+  sum(greatest(part - {WINDOW}, 0))::BIGINT AS val_samples, sum(greatest(part - {WINDOW}, 0))::BIGINT AS test_samples,
+  {WINDOW}::BIGINT AS sequence_length, 4::BIGINT AS n_features,
   'bt,bz_gsm,speed,density' AS feature_names, 'storm_severity_index' AS target_name FROM counted""",
     "validation_report_by_user": validation("PARTITION BY user_id"),
     "prepared_summary": chain(SPLITS, SAMPLES) + f"""SELECT *, {WINDOW}::BIGINT AS sequence_length,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stormframe.config import MEASUREMENTS, SeriesOrder, Settings
+from stormframe.config import MEASUREMENTS, SPLITS, TARGET, SeriesOrder, Settings
 from stormframe.functions.numeric import with_missing_as_null
 from stormframe.functions.severity import with_derived_features
 from stormframe.operators.blocks import PART, BlockPlan, plan_blocks
@@ -32,8 +34,8 @@ from stormframe.operators.quality import (
     validation_report,
 )
 from stormframe.operators.scaling import Scaler
-from stormframe.operators.sequences import sequence_windows
-from stormframe.sources.tables import write_scaler, write_sequences, write_splits
+from stormframe.operators.sequences import require_windows, sequence_windows
+from stormframe.sources.tables import read_aligned, write_scaler, write_sequences, write_splits
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,26 @@ def split_windows(
     )
 
 
+def aligned_windows(
+    spark: SparkSession,
+    folder: str,
+    window: int,
+    features: Sequence[str],
+    target: str = TARGET,
+    **options: str,
+) -> DataFrame:
+    """Windows of all splits from aligned files, with a column ``split``.
+
+    Strict: raises if a pair of files differs in length, or a split is too short for one window.
+    """
+    tables, counts = [], {}
+    for split in SPLITS:
+        table, counts[split] = read_aligned(spark, folder, split, features, target, **options)
+        tables.append(table.withColumn("split", F.lit(split)))
+    require_windows(counts, window)
+    return sequence_windows(reduce(DataFrame.unionByName, tables), features, target, window, by=["split"])
+
+
 def prepare(
     observations: DataFrame,
     folder: str,

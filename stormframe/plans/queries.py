@@ -310,7 +310,7 @@ def unscale(spark: SparkSession, folder: str) -> DataFrame:
 # --- windows ------------------------------------------------------------------------
 
 
-def _as_doubles(windows: DataFrame) -> DataFrame:
+def as_doubles(windows: DataFrame) -> DataFrame:
     floats = [name for name, kind in windows.dtypes if kind == "float"]
     return windows.withColumns({c: F.col(c).cast("double") for c in floats}).withColumn(
         "step", F.col("step").cast("long")
@@ -320,12 +320,12 @@ def _as_doubles(windows: DataFrame) -> DataFrame:
 def sequence_windows_query(spark: SparkSession, folder: str) -> DataFrame:
     table = splits(spark, folder)
     windows = sequence_windows(table, FEATURES, TARGET, WINDOW)
-    return _as_doubles(flatten_windows(windows, FEATURES))
+    return as_doubles(flatten_windows(windows, FEATURES))
 
 
 def sequence_windows_by_split(spark: SparkSession, folder: str) -> DataFrame:
     windows = preparation.split_windows(splits(spark, folder))
-    return _as_doubles(flatten_windows(windows, FEATURES))
+    return as_doubles(flatten_windows(windows, FEATURES))
 
 
 def sequence_windows_by_user(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,7 +334,7 @@ def sequence_windows_by_user(spark: SparkSession, folder: str) -> DataFrame:
     plan = plan_blocks(table, BY_USER)
     positioned = plan.clean(with_position(plan.assign(table), plan))
     windows = sequence_windows(positioned, FEATURES, TARGET, WINDOW, by=["user_id"])
-    return _as_doubles(flatten_windows(windows, FEATURES))
+    return as_doubles(flatten_windows(windows, FEATURES))
 
 
 def align_features_target_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -426,7 +426,7 @@ def stored_sequences(spark: SparkSession, folder: str) -> DataFrame:
     windows = preparation.split_windows(splits(spark, folder), Settings(window=WINDOW))
     tables.write_sequences(windows, target, WINDOW)
     stored = tables.read_sequences(spark, target, "test").drop("split", "window")
-    return _as_doubles(flatten_windows(stored, FEATURES))
+    return as_doubles(flatten_windows(stored, FEATURES))
 
 
 def stored_predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormframe.config import BASELINE_FEATURES, FEATURES, MEASUREMENTS, TARGET
+from stormframe.config import BASELINE_FEATURES, FEATURES, MEASUREMENTS, SPLITS, TARGET
 from stormframe.operators import quality, regression
 from stormframe.operators.sequences import check_sequences, flatten_windows
 from stormframe.plans import prepare as preparation
@@ -21,6 +22,7 @@ from stormframe.plans.queries import (
     QUERIES as SINGLE_QUERIES,
     WINDOW,
     Query,
+    as_doubles,
     rounded,
     splits,
     yearly_lines,
@@ -30,6 +32,7 @@ from stormframe.sources.events import solar_wind
 from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.header_json import rejected_payloads
+from stormframe.sources.tables import read_aligned
 from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
 OBSERVED = ("datetime", *MEASUREMENTS, "file_name", "year")
@@ -113,13 +116,48 @@ def rejected_payloads_query(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_payloads(events)
 
 
+# --- aligned files ------------------------------------------------------------------
+
+
+STAMPS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
+def write_aligned(table: DataFrame, target: str) -> None:
+    """``X_<split>.csv`` and ``y_<split>.csv`` with parts in row order, cut at different rows."""
+    for split in SPLITS:
+        of_split = table.where(F.col("split") == split)
+        for name, columns, parts in (("X", FEATURES, 4), ("y", (TARGET,), 3)):
+            ordered = of_split.repartitionByRange(parts, "rn").sortWithinPartitions("rn")
+            ordered.select("datetime", *columns).write.option("header", "true").options(**STAMPS).csv(
+                f"{target}/{name}_{split}.csv"
+            )
+
+
+def aligned_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Features and targets of two files each, paired by their row numbers."""
+    target = shared_folder(spark)
+    write_aligned(stored(splits(spark, folder), "splits"), target)
+    tables = [
+        read_aligned(spark, target, split, FEATURES, **STAMPS)[0].withColumn("split", F.lit(split)) for split in SPLITS
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def aligned_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows built from aligned files; each split has rows enough, or this raises."""
+    target = shared_folder(spark)
+    write_aligned(stored(splits(spark, folder), "splits"), target)
+    windows = preparation.aligned_windows(spark, target, WINDOW, FEATURES, **STAMPS)
+    return as_doubles(flatten_windows(windows, FEATURES))
+
+
 # --- several series -----------------------------------------------------------------
 
 
 def run_summary_by_user(spark: SparkSession, folder: str) -> DataFrame:
     conditioned = preparation.condition(solar_wind(spark, folder), order=BY_USER)
     rows = preparation.Conditioned(stored(conditioned.rows, "conditioned"), conditioned.plan)
-    summary = quality.run_summary(preparation.split_table(rows), 3, by=BY_USER.by)
+    summary = quality.run_summary(preparation.split_table(rows), WINDOW, by=BY_USER.by)
     return summary.withColumn("feature_names", F.array_join("feature_names", ","))
 
 
@@ -194,6 +232,8 @@ QUERIES: dict[str, Query] = {
     "landed_twice": landed_twice,
     "landed_with_failures": landed_with_failures,
     "rejected_payloads": rejected_payloads_query,
+    "aligned_files": aligned_files,
+    "aligned_windows": aligned_windows,
     "run_summary_by_user": run_summary_by_user,
     "validation_report_by_user": validation_report_by_user,
     "prepared_summary": prepared_summary,

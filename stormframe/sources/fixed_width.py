@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import FIXED_WIDTH_FIELDS, REQUIRED_COLUMNS, SENTINELS
 from stormframe.functions.numeric import drop_sentinels, hour_timestamp, lenient_double
+from stormframe.sources.places import PLACE, START, URL, with_place, with_split
 
 TIME_PARTS = ("year", "doy", "hour")
 # A yearly file, or a folder of its parts.
@@ -91,36 +89,14 @@ def numbered_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     number in the split: a line has a byte at least, so places are unique in a file, and they grow
     along it. Splits are read from front to back, so counting needs no shuffle.
     """
-    split = F.struct(
-        F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("start")
-    )
-    columns = ["value", "file_name", "url", "start", "place"]
-    placed = lines.select("value", landed_name().alias("file_name"), split.alias("_split")).select(
-        "value", "file_name", "_split.*"
-    )
+    placed = with_place(with_split(lines).withColumn("file_name", landed_name(F.col(URL))))
+    line_id = F.shiftleft("file", FILE_BITS) + F.col(START) + F.col(PLACE)
+    return placed.join(files, placed[URL] == files["url"]).select("value", "file_name", line_id.alias("line_id"))
+
 
-    def count(batches):
-        last, counted = None, 0
-        for batch in batches:
-            url, start = batch.column(2), batch.column(3)
-            edge = pc.or_(pc.not_equal(url[1:], url[:-1]), pc.not_equal(start[1:], start[:-1]))
-            firsts = np.flatnonzero(np.concatenate([[True], edge.to_numpy(zero_copy_only=False)])[: len(batch)])
-            sizes = np.diff(np.append(firsts, len(batch)))
-            place = np.arange(len(batch)) - np.repeat(firsts, sizes)
-            if len(batch):
-                if (url[0], start[0]) == last:
-                    place[: sizes[0]] += counted
-                last, counted = (url[-1], start[-1]), int(place[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], columns)
-
-    schema = "value string, file_name string, url string, start long, place long"
-    line_id = F.shiftleft("file", FILE_BITS) + F.col("start") + F.col("place")
-    return placed.mapInArrow(count, schema).join(files, "url").select("value", "file_name", line_id.alias("line_id"))
-
-
-def landed_name() -> Column:
+def landed_name(url: Column | None = None) -> Column:
     """Name of the yearly file, or of the folder of parts, that a line comes from."""
-    return F.regexp_extract(F.col("_metadata.file_path"), NAME_IN_PATH, 1)
+    return F.regexp_extract(F.col("_metadata.file_path") if url is None else url, NAME_IN_PATH, 1)
 
 
 def years_between(start: str, end: str) -> tuple[int, int]:

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from stormframe.config import TARGET
 from stormframe.functions.numeric import name_from_file, nan_to_null
+from stormframe.operators.ordered import POSITION
 from stormframe.operators.scaling import Scaler
+from stormframe.sources.places import numbered_rows
 
 OBSERVATION_SCHEMA = T.StructType(
     [T.StructField("datetime", T.TimestampNTZType())]
@@ -46,6 +48,38 @@ def read_split(
     return table.select(*keys, *features, target)
 
 
+def read_aligned(
+    spark: SparkSession,
+    folder: str,
+    split: str,
+    features: Sequence[str],
+    target: str = TARGET,
+    index: str = "datetime",
+    **options: str,
+) -> tuple[DataFrame, int]:
+    """Features of ``X_<split>.csv`` next to the target of ``y_<split>.csv``, row by row, and their number.
+
+    Both are CSV with a header, a time column first, as a file or a folder of ordered parts. The k-th
+    row of one belongs to the k-th row of the other, whatever their times say; the time is that of
+    the target. Columns: ``index, features, target, rn``. Raises if one side has more rows.
+    """
+
+    def numbered(name: str, columns: Sequence[str]) -> tuple[DataFrame, int]:
+        fields = [T.StructField(index, T.TimestampNTZType()), *(T.StructField(c, T.DoubleType()) for c in columns)]
+        place = f"{folder}/{name}_{split}.csv"
+        rows, n = numbered_rows(
+            spark.read.schema(T.StructType(fields)).option("header", "true").options(**options).csv(place), POSITION
+        )
+        return rows.withColumns({c: nan_to_null(F.col(c)) for c in columns}), n
+
+    x, x_rows = numbered("X", features)
+    y, y_rows = numbered("y", [target])
+    if x_rows != y_rows:
+        raise ValueError(f"X and y must have the same length: {x_rows} and {y_rows} rows in split {split!r}")
+    both = x.drop(index).join(y, POSITION)
+    return both.select(index, *features, target, POSITION), x_rows
+
+
 def read_sequences(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     table = spark.read.parquet(path)
     return table.where(F.col("split") == split) if split else table
