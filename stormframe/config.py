@@ -82,6 +82,12 @@ LATITUDE_BOUNDS = (45.0, 67.0)
 # Longest step between neighbours, in hours, that is not a gap.
 MAX_STEP_HOURS = 1.0
 
+# What the summary of a prepared table must hold.
+GATE_COLUMNS = (
+    "train_samples", "val_samples", "test_samples", "sequence_length",
+    "n_features", "feature_names", "target_name",
+)
+
 # Smallest sequence counts accepted for training.
 MIN_SEQUENCES = {"train": 1000, "val": 200, "test": 200}
 # ------------------------------------------------------------------------------------

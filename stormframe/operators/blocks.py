@@ -16,12 +16,13 @@ a lost task can be replayed.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,10 @@ BLOCK_ROWS = 4_000_000
 SMALLEST_BLOCK = 1_000
 SAMPLE_LIMIT = 2_000_000
 HOT_SERIES_LIMIT = 500_000
+#: Quantiles of the time that one scan takes, how exactly, and for how many blocks they do.
+QUANTILES = 2_048
+QUANTILE_ACCURACY = 20_000
+QUANTILE_BLOCKS = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -49,6 +54,7 @@ class BlockPlan:
     time_cuts: tuple[float, ...]
     tie_cuts: tuple[float, ...]
     hot: DataFrame | None = None
+    measured: dict[str, int] = field(default_factory=dict)
 
     @property
     def divided(self) -> bool:
@@ -141,20 +147,25 @@ class BlockPlan:
 
 
 def plan_blocks(
-    df: DataFrame, order: SeriesOrder = SeriesOrder(), block_rows: int | None = None
+    df: DataFrame,
+    order: SeriesOrder = SeriesOrder(),
+    block_rows: int | None = None,
+    counts: Mapping[str, Column] | None = None,
 ) -> BlockPlan:
-    """Choose the cuts for ``df``: one narrow scan for counts, one for a sample of keys.
+    """Choose the cuts for ``df`` in one scan, which also takes ``counts`` for ``BlockPlan.measured``.
+
+    Row count and quantiles of the time come from the same aggregate. Only more than ``QUANTILE_BLOCKS``
+    blocks, or an instant that fills a block, take a second narrow scan for a sample of the keys.
+    ``counts`` are aggregates that may be added up.
 
     With ``order.by`` set, only series larger than ``block_rows`` are cut; the others are
     already spread by their own key. ``block_rows`` defaults to a size that keeps one
     block within a task and uses every core on small inputs.
     """
     _require_integral(df, order.tiebreak)
-    keys = df.select(
-        *([F.struct(*order.by).alias(SERIES)] if order.by else []),
-        _seconds(order).alias("_s"),
-        F.col(order.tiebreak).alias("_t"),
-    )
+    series = {SERIES: F.struct(*order.by)} if order.by else {}
+    keys = df.withColumns({**series, "_s": _seconds(order), "_t": F.col(order.tiebreak)})
+    measures = [column.alias(name) for name, column in (counts or {}).items()]
     stats = [
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_s").isNull() | F.col("_t").isNull()).alias("unplaced"),
@@ -164,25 +175,45 @@ def plan_blocks(
         F.max("_t").alias("t1"),
     ]
     if order.by:
-        return _plan_series(df, keys, stats, order, block_rows or BLOCK_ROWS)
-    total = keys.agg(*stats).first()
-    _require_placed(total["unplaced"], order)
-    blocks = _block_count(df, total["n"], block_rows)
-    return _cut(keys.withColumn("_lead", F.lit(0.0)), order, total, blocks, leads=1)
-
-
-def _plan_series(df, keys, stats, order, block_rows) -> BlockPlan:
+        plan, total = _plan_series(df, keys, [*stats, *measures], order, block_rows or BLOCK_ROWS, list(counts or {}))
+    else:
+        shares = F.array(*(F.lit(i / QUANTILES) for i in range(1, QUANTILES)))
+        quantiles = F.percentile_approx("_s", shares, F.lit(QUANTILE_ACCURACY)).alias("quantiles")
+        total = keys.agg(*stats, *measures, quantiles).first()
+        _require_placed(total["unplaced"], order)
+        blocks = _block_count(df, total["n"], block_rows)
+        plan = _cut_at_quantiles(order, total, blocks)
+        plan = plan or _cut(keys.withColumn("_lead", F.lit(0.0)), order, total, blocks, leads=1)
+    return replace(plan, measured={"n": total["n"] or 0} | {name: total[name] or 0 for name in counts or {}})
+
+
+def _cut_at_quantiles(order, total, blocks) -> BlockPlan | None:
+    """Cuts on time alone, or nothing if they would leave blocks uneven."""
+    time_range = (total["s0"] or 0.0, total["s1"] or 0.0)
+    tie_range = (total["t0"] or 0, total["t1"] or 0)
+    if blocks <= 1:
+        return BlockPlan(order, total["n"] or 0, time_range, tie_range, (), ())
+    if blocks > QUANTILE_BLOCKS:
+        return None
+    times = np.array(total["quantiles"])[np.arange(1, blocks) * QUANTILES // blocks - 1]
+    if len(np.unique(times)) < len(times):
+        return None
+    span = max(time_range[1] - time_range[0], 1e-6)
+    cuts = (times - time_range[0]) * 0.5 / span  # as _fraction has it
+    return BlockPlan(order, total["n"], time_range, tie_range, tuple(cuts.tolist()), ())
+
+
+def _plan_series(df, keys, stats, order, block_rows, measured) -> tuple[BlockPlan, Row]:
     sizes = keys.groupBy(SERIES).agg(*stats)
     overall = sizes.agg(
-        F.sum("n").alias("n"),
-        F.sum("unplaced").alias("unplaced"),
+        *(F.sum(c).alias(c) for c in ("n", "unplaced", *measured)),
         *(F.min(c).alias(c) for c in ("s0", "t0")),
         *(F.max(c).alias(c) for c in ("s1", "t1")),
         F.count_if(F.col("n") > block_rows).alias("large"),
     ).first()
     _require_placed(overall["unplaced"] or 0, order)
     if not overall["large"]:
-        return _cut(keys, order, overall, 0, leads=0)
+        return _cut(keys, order, overall, 0, leads=0), overall
     # At most rows / block_rows series can be this large, which bounds what is collected and
     # what is broadcast; a very long list is left to a plain join.
     large = sizes.where(F.col("n") > block_rows).select(SERIES, "n").toArrow()
@@ -193,9 +224,10 @@ def _plan_series(df, keys, stats, order, block_rows) -> BlockPlan:
     if len(counts) <= HOT_SERIES_LIMIT:
         hot = F.broadcast(hot)
     blocks = int(np.ceil(counts / block_rows).sum())
-    return _cut(
+    plan = _cut(
         keys.join(hot, SERIES), order, overall, blocks, len(counts), hot, int(counts.sum())
     )
+    return plan, overall
 
 
 def _cut(keys, order, total, blocks, leads, hot=None, sampled_rows=None) -> BlockPlan:

@@ -18,20 +18,27 @@ _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) -> DataFrame:
+def fill_missing(
+    blocked: DataFrame, plan: BlockPlan, columns: Sequence[str], step: str | None = None
+) -> DataFrame:
     """Forward fill of any length, then backward fill of the head that is still missing.
 
     After a forward fill only rows before the first value of a series are missing, and they
-    all take that first value, so no backward pass over the rows is needed.
+    all take that first value, so no backward pass over the rows is needed. ``step`` adds the hours
+    since the row before, in the same passes.
     """
+    time = plan.order.time
     here = plan.window().rowsBetween(*_UP_TO_HERE)
     whole = plan.window().rowsBetween(*_WHOLE)
     past = {c: F.last(c, ignorenulls=True).over(here) for c in columns}
     head = {c: F.first(c, ignorenulls=True).over(whole) for c in columns}
+    steps = {"_time_before": F.lag(time).over(plan.window())} if step else {}
     if not plan.divided:
-        return blocked.withColumns({c: F.coalesce(past[c], head[c]) for c in columns})
+        filled = blocked.withColumns({**{c: F.coalesce(past[c], head[c]) for c in columns}, **steps})
+        return _with_step(filled, step, time, F.col("_time_before")) if step else filled
 
-    edges = plan.summarise(blocked, *_edges(columns, plan))
+    last_time = [F.max(time).alias("_last_time")] if step else []
+    edges = plan.summarise(blocked, *_edges(columns, plan), *last_time)
     before = plan.across_blocks().rowsBetween(Window.unboundedPreceding, -1)
     whole_series = plan.across_blocks().rowsBetween(*_WHOLE)
     carry = edges.select(
@@ -41,6 +48,7 @@ def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) ->
             F.first(f"_first_{c}", ignorenulls=True).over(whole_series).alias(f"_start_{c}")
             for c in columns
         ),
+        *([F.lag("_last_time").over(plan.across_blocks()).alias("_block_before")] if step else []),
     )
     # The carry joins after the windows, so it is not shuffled along with the rows. Series in
     # one block have no carry and look for their first value inside it.
@@ -57,8 +65,15 @@ def fill_missing(blocked: DataFrame, plan: BlockPlan, columns: Sequence[str]) ->
         for c in columns
     }
     helpers = [*windows, *(f"_{part}_{c}" for part in ("prev", "start") for c in columns)]
-    placed = plan.place(blocked).withColumns(windows)
-    return plan.attach(placed, carry).withColumns(filled).drop(*helpers)
+    placed = plan.place(blocked).withColumns({**windows, **steps})
+    out = plan.attach(placed, carry).withColumns(filled).drop(*helpers)
+    if not step:
+        return out
+    return _with_step(out, step, time, F.coalesce("_time_before", "_block_before")).drop("_block_before")
+
+
+def _with_step(rows: DataFrame, step: str, time: str, before: Column) -> DataFrame:
+    return rows.withColumn(step, hours_between(F.col(time), before)).drop("_time_before")
 
 
 def _edges(columns: Sequence[str], plan: BlockPlan) -> list[Column]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import (
     FEATURES,
+    GATE_COLUMNS,
     MAX_STEP_HOURS,
     MIN_SEQUENCES,
     REPORT_LIMITS,
@@ -69,11 +70,11 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 # --- values out of range ------------------------------------------------------------
 
 
-def _outlier_counts(limits: Mapping[str, tuple[float, float]]) -> list[Column]:
-    counts = []
+def _outlier_counts(limits: Mapping[str, tuple[float, float]]) -> dict[str, Column]:
+    counts = {}
     for c, (low, high) in limits.items():
         outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high))
-        counts += [F.count_if(outside).alias(f"_out_{c}"), F.count(c).alias(f"_values_{c}")]
+        counts |= {f"_out_{c}": F.count_if(outside), f"_values_{c}": F.count(c)}
     return counts
 
 
@@ -86,7 +87,7 @@ def outlier_report(
 ) -> DataFrame:
     """``(column_name, outliers, outlier_pct)``; the share is of values that are present."""
     limits = _present(df, limits)
-    counts = with_missing_as_null(df).agg(*_outlier_counts(limits))
+    counts = with_missing_as_null(df).agg(*(a.alias(name) for name, a in _outlier_counts(limits).items()))
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -117,38 +118,54 @@ def continuity_report(
     plan = plan or plan_blocks(keys, order, block_rows)
     steps = with_step_hours(plan.assign(keys), plan)
     gap = F.col("step_hours") > F.lit(max_step_hours)
-    report = (
-        F.count_if(gap).alias("num_gaps"),
-        F.coalesce(F.max(F.when(gap, F.col("step_hours"))), F.lit(0.0)).alias("max_gap_hours"),
-        F.bround(F.try_divide(F.count_if(gap), F.count(F.lit(1))), 4).alias("gap_fraction"),
-    )
+    share = F.bround(F.try_divide(F.count_if(gap), F.count(F.lit(1))), 4).alias("gap_fraction")
+    report = [*gap_measures("step_hours", max_step_hours), share]
     return steps.groupBy(*order.by).agg(*report) if order.by else steps.agg(*report)
 
 
 # --- all reports together -----------------------------------------------------------
 
 
-def validation_report(
+def report_counts(
     df: DataFrame,
-    columns: Sequence[str] = REQUIRED_COLUMNS,
+    columns: Sequence[str] | None = None,
     limits: Mapping[str, tuple[float, float]] = REPORT_LIMITS,
-    order: SeriesOrder = SeriesOrder(),
-    block_rows: int | None = None,
-    plan: BlockPlan | None = None,
-) -> DataFrame:
-    """Every check in one row: a single aggregate over the table next to the gap report.
+) -> dict[str, Column]:
+    """The aggregates that the reports on cells are made from; they may be added up.
 
-    Gaps are counted inside each series of ``order.by`` and added up; the longest is taken.
+    ``df`` has NULL for what is missing.
     """
-    check_schema(df)
-    limits = _present(df, limits)
-    counts = with_missing_as_null(df).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        *_null_counts(columns),
-        *_outlier_counts(limits),
-    )
-    cells = counts.select(
-        "total_records",
+    return {
+        **{f"_null_{c}": F.count_if(F.col(c).isNull()) for c in columns or df.columns},
+        **_outlier_counts(_present(df, limits)),
+    }
+
+
+def gap_measures(step: str = "step_hours", max_step_hours: float = MAX_STEP_HOURS) -> list[Column]:
+    """Number and longest of the gaps among rows with ``step``."""
+    gap = F.col(step) > F.lit(max_step_hours)
+    return [
+        F.count_if(gap).alias("num_gaps"),
+        F.coalesce(F.max(F.when(gap, F.col(step))), F.lit(0.0)).alias("max_gap_hours"),
+    ]
+
+
+def measured_report(spark: SparkSession, counts: Mapping[str, int], gaps: Mapping[str, float]) -> DataFrame:
+    """``validation_report`` from what was measured in passing: ``n`` with ``report_counts``, and ``gap_measures``."""
+    values = {"total_records": int(counts["n"]), **{c: int(v) for c, v in counts.items() if c != "n"}}
+    row = {**values, "num_gaps": int(gaps["num_gaps"]), "max_gap_hours": float(gaps["max_gap_hours"])}
+    kinds = ", ".join(f"`{c}` {'double' if c == 'max_gap_hours' else 'long'}" for c in row)
+    measured = spark.createDataFrame([tuple(row.values())], kinds)
+    columns = [c.removeprefix("_null_") for c in counts if c.startswith("_null_")]
+    limits = [c.removeprefix("_out_") for c in counts if c.startswith("_out_")]
+    share = F.bround(F.try_divide("num_gaps", "total_records"), 4).alias("gap_fraction")
+    return measured.select(*_cells(columns, limits), "num_gaps", "max_gap_hours", share)
+
+
+def _cells(columns: Sequence[str], limits: Sequence[str]) -> list[Column]:
+    """The report's columns on missing values and outliers, from their counts."""
+    return [
+        F.col("total_records"),
         _overall_missing(columns).alias("missing_pct"),
         *(
             percentage(F.col(f"_null_{c}"), F.col("total_records"), 2).alias(f"{c}_missing_pct")
@@ -159,7 +176,27 @@ def validation_report(
             percentage(F.col(f"_out_{c}"), F.col(f"_values_{c}"), 3).alias(f"{c}_outlier_pct")
             for c in limits
         ),
-    )
+    ]
+
+
+def validation_report(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    limits: Mapping[str, tuple[float, float]] = REPORT_LIMITS,
+    order: SeriesOrder = SeriesOrder(),
+    block_rows: int | None = None,
+    plan: BlockPlan | None = None,
+) -> DataFrame:
+    """Every check in one row: a single aggregate over the table next to the gap report.
+
+    Missing values are counted in all columns of the table, or in ``columns``.
+    Gaps are counted inside each series of ``order.by`` and added up; the longest is taken.
+    """
+    check_schema(df)
+    table, columns = with_missing_as_null(df), list(columns or df.columns)
+    aggregates = [a.alias(name) for name, a in report_counts(table, columns, limits).items()]
+    counts = table.agg(F.count(F.lit(1)).alias("total_records"), *aggregates)
+    cells = counts.select(*_cells(columns, list(_present(df, limits))))
     gaps = continuity_report(df, order, block_rows=block_rows, plan=plan)
     if order.by:
         gaps = gaps.agg(
@@ -210,12 +247,6 @@ def run_summary(
     )
 
 
-GATE_COLUMNS = (
-    "train_samples", "val_samples", "test_samples", "sequence_length",
-    "n_features", "feature_names", "target_name",
-)
-
-
 def gate_checks(summary: DataFrame) -> DataFrame:
     """``(check, passed)`` rows of the pre-training gate."""
     missing = [c for c in GATE_COLUMNS if c not in summary.columns]

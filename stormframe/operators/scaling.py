@@ -33,8 +33,9 @@ class Scaler:
     @classmethod
     def fit(cls, split_table: DataFrame, columns: Sequence[str]) -> Scaler:
         row = scaler_statistics(split_table, columns).first()
-        if row[f"{columns[0]}_mean"] is None:
-            raise ValueError("no training rows to fit the scaler on")
+        empty = [c for c in columns if row[f"{c}_mean"] is None]
+        if empty:
+            raise ValueError(f"no training values to fit the scaler on in {empty}")
         return cls(
             {c: row[f"{c}_mean"] for c in columns},
             # A constant column keeps its scale, as there is nothing to divide by.

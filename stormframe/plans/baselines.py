@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from stormframe.operators.ordered import persistence_forecast
 from stormframe.operators.regression import baseline_models, fit_models, predict
 from stormframe.operators.scaling import Scaler
 from stormframe.sources.tables import read_split, write_metrics, write_predictions
+from stormframe.sources.versions import Versions, latest, read_parts, read_whole
 
 PREDICTION_COLUMNS = ("model", "y_true", "y_pred")
 
@@ -28,7 +29,7 @@ def run_baselines(
     target: str = TARGET,
     keys: Sequence[str] = ("datetime", "event_id"),
 ) -> dict[str, dict[str, float]]:
-    """Fit on train, predict test, and store models and predictions below ``folder``.
+    """Fit on train, store the models, predict test with what was stored, and store the predictions.
 
     The validation split is not used. Returns the metrics per model.
     """
@@ -36,13 +37,19 @@ def run_baselines(
     test = read_split(spark, tabular, "test", features, target, keys)
     fitted = fit_models(models or baseline_models(features, target), train)
     for name, model in fitted.items():
-        model.write().overwrite().save(f"{folder}/models/{name}")
-    write_predictions(predict(fitted, test, target, keys), f"{folder}/predictions")
-    stored = spark.read.parquet(f"{folder}/predictions")
+        Versions(spark, f"{folder}/models/{name}").replace(model.save)
+    kept = {name: load_model(spark, folder, name) for name in fitted}
+    write_predictions(predict(kept, test, target, keys), f"{folder}/predictions")
+    stored = read_parts(spark, f"{folder}/predictions")
     rows = model_comparison(stored.where(F.col("model").isin(list(fitted)))).collect()
     return {r["model"]: {m: r[m] for m in ("rmse", "mae", "r2")} for r in rows}
 
 
+def load_model(spark: SparkSession, folder: str, name: str) -> PipelineModel:
+    """A model that ``run_baselines`` has stored."""
+    return PipelineModel.load(latest(spark, f"{folder}/models/{name}"))
+
+
 def persistence_predictions(
     table: DataFrame,
     order: SeriesOrder = SeriesOrder(),
@@ -87,10 +94,10 @@ def run_evaluation(
 
     Persistence replaces its own earlier rows, so a repeated run compares each model once.
     """
-    test = spark.read.parquet(tabular).where(F.col("split") == "test")
+    test = read_parts(spark, tabular).where(F.col("split") == "test")
     write_predictions(
         persistence_predictions(test, order, target), f"{folder}/predictions"
     )
-    stored = spark.read.parquet(f"{folder}/predictions")
+    stored = read_parts(spark, f"{folder}/predictions")
     write_metrics(evaluate(stored, scaler=scaler, target=target), f"{folder}/metrics")
-    return spark.read.parquet(f"{folder}/metrics").orderBy("model")
+    return read_whole(spark, f"{folder}/metrics").orderBy("model")

@@ -170,6 +170,8 @@ def outside(c: str) -> str:
 
 OBSERVED = ("datetime", *MEASURES)
 ALL_NULLS = "(" + " + ".join(nulls(c) for c in OBSERVED) + ")"
+ALL_COLUMNS = ("datetime", "event_id", "user_id", *MEASURES)
+ALL_COLUMNS_NULLS = "(" + " + ".join(nulls(c) for c in ALL_COLUMNS) + ")"
 
 MISSING = "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, {nulls(c)} AS null_count, "
@@ -200,8 +202,8 @@ GAPS = """count(*) FILTER (h > 1) AS num_gaps,
 def validation(partition: str = "") -> str:
     longest = "max(h) FILTER (h > 1)"
     return with_(WIND, steps(partition)) + "SELECT count(*) AS total_records,\n  " + ",\n  ".join(
-        [f"{pct(ALL_NULLS, '(count(*) * 6)', 2)} AS missing_pct"]
-        + [f"{pct(nulls(c), 'count(*)', 2)} AS {c}_missing_pct" for c in OBSERVED]
+        [f"{pct(ALL_COLUMNS_NULLS, f'(count(*) * {len(ALL_COLUMNS)})', 2)} AS missing_pct"]
+        + [f"{pct(nulls(c), 'count(*)', 2)} AS {c}_missing_pct" for c in ALL_COLUMNS]
         + [f"{outside(c)} AS {c}_outliers" for c in REPORT_LIMITS]
         + [f"{pct(outside(c), f'count({c})', 3)} AS {c}_outlier_pct" for c in REPORT_LIMITS]
         + [GAPS.format(max_gap=rnd(longest) if partition else longest)]
@@ -468,6 +470,7 @@ FROM ({windows(inside_split(WINDOW))})""",
   {WINDOW}::BIGINT AS sequence_length, 4::BIGINT AS n_features,
   'bt,bz_gsm,speed,density' AS feature_names, 'storm_severity_index' AS target_name FROM counted""",
     "validation_report_by_user": validation("PARTITION BY user_id"),
+    "prepared_validation": validation("PARTITION BY user_id"),
     "prepared_summary": chain(SPLITS, SAMPLES) + f"""SELECT *, {WINDOW}::BIGINT AS sequence_length,
   4::BIGINT AS n_features, (SELECT count(*) FROM splits) AS tabular_rows,
   train_samples + val_samples + test_samples AS sequence_rows FROM sizes""",

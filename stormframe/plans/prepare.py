@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import MEASUREMENTS, SPLITS, TARGET, SeriesOrder, Settings
@@ -16,7 +16,6 @@ from stormframe.operators.blocks import PART, BlockPlan, plan_blocks
 from stormframe.operators.conditioning import (
     drop_missing,
     model_columns,
-    require_complete,
     within_limits,
 )
 from stormframe.operators.ordered import (
@@ -28,14 +27,18 @@ from stormframe.operators.ordered import (
 )
 from stormframe.operators.quality import (
     check_schema,
+    gap_measures,
+    measured_report,
+    report_counts,
     require_trainable,
-    require_valid,
     run_summary,
-    validation_report,
 )
 from stormframe.operators.scaling import Scaler
 from stormframe.operators.sequences import require_windows, sequence_windows
-from stormframe.sources.tables import read_aligned, write_scaler, write_sequences, write_splits
+from stormframe.sources.tables import read_aligned
+from stormframe.sources.versions import Versions
+
+STEP = "_step_hours"
 
 
 @dataclass(frozen=True)
@@ -52,19 +55,28 @@ def condition(
     order: SeriesOrder = SeriesOrder(),
     block_rows: int | None = None,
     plan: BlockPlan | None = None,
+    gaps: Observation | None = None,
+    incomplete: Observation | None = None,
 ) -> Conditioned:
     """Fill, drop what cannot be filled, remove implausible rows, derive the target.
 
     Rows are shuffled and sorted once. Positions are counted after the filter and in the same
-    pass, since splits and windows count the rows that are left.
+    pass, since splits and windows count the rows that are left. ``gaps`` observes the steps of all
+    rows and ``incomplete`` missing values of those left, while the result is written.
     """
     check_schema(observations)
     table = with_missing_as_null(model_columns(observations, [order.tiebreak, *order.by]))
     plan = plan or plan_blocks(table, order, block_rows)
-    filled = fill_missing(plan.assign(table), plan, MEASUREMENTS)
+    filled = fill_missing(plan.assign(table), plan, MEASUREMENTS, step=STEP if gaps else None)
+    if gaps:
+        filled = filled.observe(gaps, *gap_measures(STEP)).drop(STEP)
     kept = within_limits(drop_missing(filled, MEASUREMENTS), settings.limits)
     derived = with_derived_features(kept, settings.weights)
-    return Conditioned(with_block_position(derived, plan, placed=True).drop(PART), plan)
+    rows = with_block_position(derived, plan, placed=True).drop(PART)
+    if incomplete:
+        needed = [*settings.features, settings.target]
+        rows = rows.observe(incomplete, *(F.count_if(F.col(c).isNull()).alias(c) for c in needed))
+    return Conditioned(rows, plan)
 
 
 def split_table(conditioned: Conditioned, settings: Settings = Settings()) -> DataFrame:
@@ -120,31 +132,44 @@ def prepare(
     gate: bool = True,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Write ``conditioned``, ``tabular``, ``sequences`` and ``scaler`` below ``folder``.
+    """Write ``conditioned``, ``tabular``, ``sequences``, ``scaler``, ``validation`` and ``summary``.
+
+    They become the current version of ``folder`` together, once all are complete; ``latest`` names the
+    place. A run that fails leaves the earlier version as it was.
 
-    The conditioned table is stored first and everything later starts from it: positions
-    then take one count per block, and lost executors do not replay the fill. Returns the
-    one-row summary; ``gate`` raises when it is too small to train on.
+    The observations are read three times: for the block plan, which counts what the validation
+    report needs on the way, for the edges of the blocks, and for the rows. Gaps and missing values
+    are observed while the conditioned rows are written. Everything later starts from that table:
+    positions then take one count per block, and lost executors do not replay the fill. Returns the
+    stored one-row summary; ``gate`` raises when it is too small to train on.
     """
     spark = observations.sparkSession
     check_schema(observations)
-    plan = plan_blocks(observations, order, block_rows)
-    require_valid(validation_report(observations, order=order, block_rows=block_rows, plan=plan))
-    conditioned = condition(observations, settings, order, plan=plan)
-    conditioned.rows.write.mode("overwrite").parquet(f"{folder}/conditioned")
-    stored = Conditioned(spark.read.parquet(f"{folder}/conditioned"), conditioned.plan)
-    require_complete(stored.rows, [*settings.features, settings.target])
-
-    table = split_table(stored, settings)
-    summary = run_summary(table, settings.window, settings.features, settings.target, order.by)
-    if gate:
-        require_trainable(summary)
-    scaler = Scaler.fit(table, [*settings.features, settings.target])
-    scaled = scaler.transform(table)
-    write_splits(scaled, f"{folder}/tabular")
-    write_scaler(spark, scaler, f"{folder}/scaler")
-    tabular = spark.read.parquet(f"{folder}/tabular")
-    write_sequences(
-        split_windows(tabular, settings, order), f"{folder}/sequences", settings.window
-    )
-    return summary
+
+    def write(target: str) -> None:
+        table = with_missing_as_null(observations)
+        plan = plan_blocks(table, order, block_rows, report_counts(table))
+        if not plan.rows:
+            raise ValueError("validation failed: the table is empty")
+        gaps, incomplete = Observation(), Observation()
+        conditioned = condition(observations, settings, order, plan=plan, gaps=gaps, incomplete=incomplete)
+        conditioned.rows.write.parquet(f"{target}/conditioned")
+        measured_report(spark, plan.measured, gaps.get).coalesce(1).write.parquet(f"{target}/validation")
+        holes = {c: n for c, n in incomplete.get.items() if n}
+        if holes:
+            raise ValueError(f"missing values after conditioning: {holes}")
+
+        stored = Conditioned(spark.read.parquet(f"{target}/conditioned"), plan)
+        labelled = split_table(stored, settings)
+        scaler = Scaler.fit(labelled, [*settings.features, settings.target])
+        scaler.to_frame(spark).coalesce(1).write.parquet(f"{target}/scaler")
+        scaler.transform(labelled).write.partitionBy("split").parquet(f"{target}/tabular")
+        tabular = spark.read.parquet(f"{target}/tabular")
+        summary = run_summary(tabular, settings.window, settings.features, settings.target, order.by)
+        summary.coalesce(1).write.parquet(f"{target}/summary")
+        if gate:
+            require_trainable(spark.read.parquet(f"{target}/summary"))
+        windows = split_windows(tabular, settings, order).withColumn("window", F.lit(settings.window))
+        windows.write.option("compression", "zstd").partitionBy("window", "split").parquet(f"{target}/sequences")
+
+    return spark.read.parquet(f"{Versions(spark, folder).replace(write)}/summary")

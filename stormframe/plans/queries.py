@@ -410,7 +410,7 @@ def stored_observations(spark: SparkSession, folder: str) -> DataFrame:
     """Observations written by year; the filter prunes the other years."""
     target = f"{shared_folder(spark)}/observations"
     tables.write_observations(parsed_lines(spark, folder).drop("file_name"), target)
-    stored = spark.read.parquet(target).where(F.col("year").between(2020, 2022))
+    stored = tables.read_parts(spark, target).where(F.col("year").between(2020, 2022))
     return stored.withColumn("year", F.col("year").cast("long"))
 
 

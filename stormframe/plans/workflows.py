@@ -33,6 +33,7 @@ from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.header_json import rejected_payloads
 from stormframe.sources.tables import read_aligned
+from stormframe.sources.versions import latest
 from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
 OBSERVED = ("datetime", *MEASUREMENTS, "file_name", "year")
@@ -172,8 +173,9 @@ def prepared_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The summary of a whole preparation next to the rows of the tables that it stored."""
     target = shared_folder(spark)
     summary = preparation.prepare(solar_wind(spark, folder), target, gate=False)
-    tabular = spark.read.parquet(f"{target}/tabular").agg(F.count(F.lit(1)).alias("tabular_rows"))
-    sequences = spark.read.parquet(f"{target}/sequences")
+    place = latest(spark, target)
+    tabular = spark.read.parquet(f"{place}/tabular").agg(F.count(F.lit(1)).alias("tabular_rows"))
+    sequences = spark.read.parquet(f"{place}/sequences")
     check_sequences(sequences)
     samples = sequences.agg(F.count(F.lit(1)).alias("sequence_rows"))
     both = tabular.unionByName(samples, allowMissingColumns=True)
@@ -181,13 +183,21 @@ def prepared_summary(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
+def prepared_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The validation report that a preparation measures in passing; seen by user, so that there are gaps."""
+    target = shared_folder(spark)
+    preparation.prepare(solar_wind(spark, folder), target, order=BY_USER, gate=False)
+    return rounded(spark.read.parquet(f"{latest(spark, target)}/validation"), "max_gap_hours")
+
+
 def test_split_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Prepare, fit on train, predict and store test, and compare with the naive forecast."""
     target = shared_folder(spark)
     preparation.prepare(solar_wind(spark, folder), target, gate=False)
+    tabular = f"{latest(spark, target)}/tabular"
     models = {"linear_regression": regression.baseline_models()["linear_regression"]}
-    run_baselines(spark, f"{target}/tabular", target, models)
-    return rounded(run_evaluation(spark, f"{target}/tabular", target), "rmse", "mae", "r2")
+    run_baselines(spark, tabular, target, models)
+    return rounded(run_evaluation(spark, tabular, target), "rmse", "mae", "r2")
 
 
 def tree_cell_means(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,6 +247,7 @@ QUERIES: dict[str, Query] = {
     "run_summary_by_user": run_summary_by_user,
     "validation_report_by_user": validation_report_by_user,
     "prepared_summary": prepared_summary,
+    "prepared_validation": prepared_validation,
     "test_split_metrics": test_split_metrics,
     "tree_cell_means": tree_cell_means,
     "linear_on_all_windows": linear_on_window,

@@ -68,6 +68,12 @@ class Storage:
             files.delete(draft, False)
             raise FileExistsError(path)
 
+    def remove_on_exit(self, folder: str) -> None:
+        """Create a folder that goes, with all it holds, when the driver ends."""
+        files, place = self._open(folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+
     def move(self, source: str, target: str) -> None:
         """Give a file another name; raise if that is taken."""
         files, place = self._open(target)

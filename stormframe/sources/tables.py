@@ -18,6 +18,7 @@ from stormframe.functions.numeric import name_from_file, nan_to_null
 from stormframe.operators.ordered import POSITION
 from stormframe.operators.scaling import Scaler
 from stormframe.sources.places import numbered_rows
+from stormframe.sources.versions import read_parts, read_whole, write_parts, write_whole
 
 OBSERVATION_SCHEMA = T.StructType(
     [T.StructField("datetime", T.TimestampNTZType())]
@@ -44,7 +45,7 @@ def read_split(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """One split, projected to features and target: a pruned partition and few columns."""
-    table = spark.read.parquet(path).where(F.col("split") == split)
+    table = read_parts(spark, path).where(F.col("split") == split)
     return table.select(*keys, *features, target)
 
 
@@ -81,7 +82,7 @@ def read_aligned(
 
 
 def read_sequences(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    table = spark.read.parquet(path)
+    table = read_parts(spark, path)
     return table.where(F.col("split") == split) if split else table
 
 
@@ -106,7 +107,7 @@ def read_predictions(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
 
 
 def read_scaler(spark: SparkSession, path: str) -> Scaler:
-    return Scaler.from_frame(spark.read.parquet(path))
+    return Scaler.from_frame(read_whole(spark, path))
 
 
 # --- writers ------------------------------------------------------------------------
@@ -116,43 +117,29 @@ def write_observations(df: DataFrame, path: str, append: bool = False) -> bool:
     """Write by year; an empty table is skipped. Returns whether anything was written.
 
     Years of ``df`` replace those stored, so a repeated load leaves no row twice; ``append`` adds.
+    ``read_parts`` reads the table.
     """
-    if df.isEmpty():
-        return False
-    table = df.withColumn("year", F.year("datetime"))
-    if append:
-        table.write.mode("append").partitionBy("year").parquet(path)
-    else:
-        _replace_partitions(table, path, ["year"])
-    return True
+    return write_parts(df.withColumn("year", F.year("datetime")), path, ["year"], append)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    write_parts(df, path, ["split"])
 
 
 def write_sequences(df: DataFrame, path: str, window: int) -> None:
     """Sequence table below ``window=<w>/split=<s>``; other window lengths stay in place."""
-    table = df.withColumn("window", F.lit(window))
-    _replace_partitions(table, path, ["window", "split"], compression="zstd")
+    write_parts(df.withColumn("window", F.lit(window)), path, ["window", "split"], compression="zstd")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Predictions by model; writing a model again replaces its rows and no others."""
-    _replace_partitions(df, path, ["model"])
+    write_parts(df, path, ["model"])
 
 
 def write_scaler(spark: SparkSession, scaler: Scaler, path: str) -> None:
-    scaler.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+    write_whole(scaler.to_frame(spark).coalesce(1), path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One row per model, sorted by model, in one file."""
-    metrics.orderBy("model").coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def _replace_partitions(df: DataFrame, path: str, by: Sequence[str], **options: str) -> None:
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.options(**options).partitionBy(*by).parquet(path)
-
-
+    write_whole(metrics.orderBy("model").coalesce(1), path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from stormframe.config import FEATURES, SPLITS
 from stormframe.functions.numeric import (
     drop_sentinels,
     epoch_seconds,
@@ -14,6 +15,7 @@ from stormframe.functions.numeric import (
     lenient_double,
     name_from_file,
 )
+from stormframe.plans.prepare import aligned_windows
 from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import (
     in_years,
@@ -26,9 +28,11 @@ from stormframe.sources.fixed_width import (
 from stormframe.sources.header_json import header_columns, parse_payloads, read_payloads
 from stormframe.sources.tables import (
     read_observations_csv,
+    read_aligned,
     read_predictions,
     write_observations,
 )
+from stormframe.sources.versions import read_parts
 
 from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
@@ -312,11 +316,11 @@ def test_empty_table_is_not_written(spark, tmp_path):
     assert write_observations(frame, str(tmp_path / "t"))
     assert not write_observations(frame.limit(0), str(tmp_path / "none"))
     assert write_observations(frame, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert read_parts(spark, str(tmp_path / "t")).count() == 1
     assert write_observations(frame, str(tmp_path / "t"), append=True)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-    assert not (tmp_path / "none").exists()
-    assert spark.read.parquet(str(tmp_path / "t")).first()["year"] == 2020
+    assert read_parts(spark, str(tmp_path / "t")).count() == 2
+    assert not list((tmp_path / "none").glob("version*"))
+    assert read_parts(spark, str(tmp_path / "t")).first()["year"] == 2020
 
 
 def test_prediction_files_of_two_folders(spark, tmp_path):
@@ -332,3 +336,46 @@ def test_prediction_files_of_two_folders(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         read_predictions(spark, [str(tmp_path / "empty")])
+
+
+def write_pair(folder, split, x_rows, y_rows):
+    """Aligned files in two and three parts; times of the two sides differ on purpose."""
+    for name, n, columns, cuts in (("X", x_rows, FEATURES, 2), ("y", y_rows, ("target",), 3)):
+        (folder / f"{name}_{split}.csv").mkdir(parents=True)
+        edges = [n * i // cuts for i in range(cuts + 1)]
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            rows = [f"2020-01-0{1 if name == 'y' else 2} {i // 60:02d}:{i % 60:02d}:00," + ",".join([str(i)] * len(columns)) for i in range(a, b)]
+            (folder / f"{name}_{split}.csv" / f"part-{part}.csv").write_text("\n".join([",".join(["datetime", *columns]), *rows]) + "\n")
+
+
+def test_aligned_files_are_paired_by_row(spark, tmp_path):
+    write_pair(tmp_path, "train", 700, 700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        table, rows = read_aligned(spark, str(tmp_path), "train", FEATURES, "target")
+        found = table.orderBy("rn").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == len(found) == 700
+    assert all(r["rn"] == r["target"] == r["bt"] == r["density"] == i for i, r in enumerate(found))
+    assert found[0]["datetime"] == datetime(2020, 1, 1)
+
+
+def test_aligned_files_of_unequal_length_raise(spark, tmp_path):
+    write_pair(tmp_path, "val", 10, 9)
+    with pytest.raises(ValueError, match="same length: 10 and 9 rows"):
+        read_aligned(spark, str(tmp_path), "val", FEATURES, "target")
+
+
+def test_strict_windows(spark, tmp_path):
+    for split, rows in zip(SPLITS, (20, 12, 11)):
+        write_pair(tmp_path, split, rows, rows)
+    windows = aligned_windows(spark, str(tmp_path), 10, FEATURES, "target")
+    sizes = {r["split"]: r["count"] for r in windows.groupBy("split").count().collect()}
+    assert sizes == {"train": 10, "val": 2, "test": 1}
+    first = windows.where("split = 'val'").orderBy("rn").first()
+    assert [step[0] for step in first["x"]] == list(range(10)) and first["y"] == 10.0
+    with pytest.raises(ValueError, match=r"insufficient rows \(11 in test\) for window length 11"):
+        aligned_windows(spark, str(tmp_path), 11, FEATURES, "target")
+    with pytest.raises(ValueError, match="window must be >= 1"):
+        aligned_windows(spark, str(tmp_path), 0, FEATURES, "target")

@@ -1,6 +1,7 @@
 """The whole way from observations to metrics, against the same steps in pandas."""
 
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,10 @@ from test_sources import line
 from stormframe.config import MEASUREMENTS, ForestSettings, SeriesOrder, Settings
 from stormframe.operators.regression import baseline_models
 from stormframe.operators.sequences import check_sequences
-from stormframe.plans.baselines import evaluate, run_baselines, run_evaluation
+from stormframe.plans.baselines import evaluate, load_model, run_baselines, run_evaluation
 from stormframe.plans.prepare import condition, prepare, split_table
-from stormframe.session import shared_folder, stored
+from stormframe.operators.quality import validation_report
+from stormframe.session import drop_stages, shared_folder, stored
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.tables import (
     read_scaler,
@@ -24,6 +26,7 @@ from stormframe.sources.tables import (
     write_observations,
     write_predictions,
 )
+from stormframe.sources.versions import Versions, latest, read_parts, write_parts
 
 SETTINGS = Settings(window=6, limits={"bt": (0.0, 12.0), "speed": (200.0, 1200.0)})
 
@@ -71,7 +74,7 @@ def prepared(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("prepared"))
     frame = spark.createDataFrame(pa.Table.from_pandas(random_hours(), preserve_index=False)).repartition(5)
     summary = prepare(frame, folder, SETTINGS, block_rows=150)
-    return folder, summary.first()
+    return latest(spark, folder), summary.first()
 
 
 @pytest.fixture(scope="module")
@@ -133,11 +136,12 @@ def test_from_landed_files_to_metrics(spark, tmp_path):
     order, folder = SeriesOrder(tiebreak="line_id"), str(tmp_path / "out")
     table = str(tmp_path / "observations")
     write_observations(read_years(spark, str(landing), 2000, 2026), table)
-    summary = prepare(spark.read.parquet(table), folder, order=order).first()
+    summary = prepare(read_parts(spark, table), folder, order=order).first()
     assert sum(summary[f"{s}_samples"] for s in ("train", "val", "test")) == 2 * 90 * 24 - 3 * 24
     models = {"linear_regression": baseline_models()["linear_regression"]}
-    run_baselines(spark, f"{folder}/tabular", folder, models, keys=["datetime", "line_id"])
-    metrics = run_evaluation(spark, f"{folder}/tabular", folder, order=order).collect()
+    tabular = f"{latest(spark, folder)}/tabular"
+    run_baselines(spark, tabular, folder, models, keys=["datetime", "line_id"])
+    metrics = run_evaluation(spark, tabular, folder, order=order).collect()
     assert [r["model"] for r in metrics] == ["linear_regression", "persistence"]
     assert metrics[0]["rmse"] < metrics[1]["rmse"]
 
@@ -164,8 +168,11 @@ def test_baselines_and_evaluation(spark, prepared, expected, tmp_path):
     results = run_baselines(spark, f"{folder}/tabular", out, models)
     assert set(results) == {"linear_regression", "random_forest"}
     assert results["linear_regression"]["r2"] > 0
+    test_rows = read_split(spark, f"{folder}/tabular", "test", ["bz_gsm", "speed", "density"], keys=["event_id"])
     for model in results:
-        assert (tmp_path / "models" / model).exists()
+        again = load_model(spark, out, model).transform(test_rows).select("event_id", F.col("y_pred").alias("loaded"))
+        kept = read_parts(spark, f"{out}/predictions").where(F.col("model") == model).join(again, "event_id")
+        assert kept.count() == test_rows.count() and kept.where("y_pred != loaded").isEmpty()
 
     first = run_evaluation(spark, f"{folder}/tabular", out).collect()
     again = run_evaluation(spark, f"{folder}/tabular", out).collect()
@@ -186,7 +193,7 @@ def test_predictions_replace_only_their_model(spark, tmp_path):
 
     for model, n in (("a", 2), ("b", 3), ("a", 1)):
         write_predictions(rows(model, n), str(tmp_path / "p"))
-    counts = spark.read.parquet(str(tmp_path / "p")).groupBy("model").count().collect()
+    counts = read_parts(spark, str(tmp_path / "p")).groupBy("model").count().collect()
     assert {r["model"]: r["count"] for r in counts} == {"a": 1, "b": 3}
 
 
@@ -210,7 +217,103 @@ def test_a_cluster_must_name_the_folder():
 
     class Cluster:
         conf = Conf()
-        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "a"})
+        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "a", "getCheckpointDir": lambda: None})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Cluster())
+
+
+class Counted:
+    """Observations whose rows are counted each time that they are read."""
+
+    def __init__(self, spark, table):
+        read = self.read = spark.sparkContext.accumulator(0)
+        frame = spark.createDataFrame(pa.Table.from_pandas(table, preserve_index=False)).repartition(3)
+
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        self.frame, self.rows = frame.mapInArrow(count, frame.schema), len(table)
+
+    def scans(self):
+        return self.read.value / self.rows
+
+
+@pytest.mark.parametrize("block_rows", [None, 300])
+def test_prepare_reads_the_observations_three_times(spark, tmp_path, block_rows):
+    counted = Counted(spark, random_hours())
+    prepare(counted.frame, str(tmp_path), SETTINGS, block_rows=block_rows)
+    assert counted.scans() <= 3
+
+
+@pytest.mark.parametrize(("by", "block_rows"), [((), 200), ((), None), (("sensor",), 200)])
+def test_the_report_measured_in_passing_is_the_report(spark, tmp_path, by, block_rows):
+    table = random_hours().drop(index=[5, 6, 700, 1500])
+    table["sensor"] = table["event_id"] % 3 // 2
+    table.loc[20:90, "speed"] = 2500.0
+    frame, order = spark.createDataFrame(pa.Table.from_pandas(table, preserve_index=False)), SeriesOrder(by=by)
+    prepare(frame, str(tmp_path), SETTINGS, order, gate=False, block_rows=block_rows)
+    measured = spark.read.parquet(f"{latest(spark, str(tmp_path))}/validation").first().asDict()
+    assert measured == validation_report(frame, order=order).first().asDict()
+    assert measured["num_gaps"] > 0 and measured["speed_outliers"] == 71
+
+
+def test_a_run_that_fails_leaves_the_earlier_version(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame(pa.Table.from_pandas(random_hours(), preserve_index=False))
+    folder = str(tmp_path)
+    prepare(frame, folder, SETTINGS)
+    place = latest(spark, folder)
+    rows = spark.read.parquet(f"{place}/tabular").count()
+
+    def broken(*_):
+        raise OSError("lost half-way")
+
+    monkeypatch.setattr("stormframe.plans.prepare.split_windows", broken)
+    with pytest.raises(OSError, match="half-way"):
+        prepare(frame.limit(2000), folder, SETTINGS)
+    assert latest(spark, folder) == place
+    assert spark.read.parquet(f"{place}/tabular").count() == rows
+    monkeypatch.undo()
+    for _ in range(3):
+        prepare(frame, folder, SETTINGS)
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("version=")]) == 2
+
+
+def test_parts_keep_the_versions_they_need(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame(pairs, "k long, v long")
+
+    path = str(tmp_path / "t")
+    assert not write_parts(rows((1, 1)).where("false"), path, ["k"])
+    with pytest.raises(FileNotFoundError):
+        Versions(spark, path).parts()
+    write_parts(rows((1, 10), (2, 20)), path, ["k"])
+    write_parts(rows((2, 21), (3, 30)), path, ["k"])
+    write_parts(rows((3, 31)), path, ["k"], append=True)
+    held = sorted((r["k"], r["v"]) for r in read_parts(spark, path).collect())
+    assert held == [(1, 10), (2, 21), (3, 30), (3, 31)]
+    for _ in range(3):
+        write_parts(rows((1, 11), (2, 22), (3, 33)), path, ["k"])
+    assert len(list((tmp_path / "t").glob("version=*"))) == 2
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_path):
+    first, second = (Versions(spark, str(tmp_path)) for _ in range(2))
+    first.replace(spark.range(1).write.parquet)
+
+    def write(place):
+        first.replace(spark.range(2).write.parquet)
+        spark.range(3).write.mode("overwrite").parquet(place)
+
+    with pytest.raises(FileExistsError):
+        second.replace(write)
+
+
+def test_stages_go(spark):
+    kept = stored(spark.range(3), "kept")
+    place = kept.inputFiles()[0].removeprefix("file://")
+    assert Path(place).exists()
+    drop_stages(spark)
+    assert not Path(place).exists()
