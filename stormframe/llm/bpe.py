@@ -24,8 +24,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from stormframe.llm.common import whole_text
 
 #: Bytes of text that are encoded together, and words whose ids a task remembers.
-BLOCK_BYTES = 4_000_000
-CACHED_WORDS = 400_000
+BLOCK_BYTES = 1_000_000
+CACHED_WORDS = 100_000
 #: Failing words of up to so many bytes are merged together, longer ones one by one.
 SHORT_WORD = 64
 #: Symbols of a word: its bytes, the last one apart because it carries the word's end.
@@ -63,6 +63,18 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(SIMPLE) if unicodedata.category(chr(c))[0] == kind)
 
 
+def _names(spec: dict) -> dict[int, bytes]:
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {i: t.encode() for t, i in (spec["model"]["vocab"] | special).items()}
+
+
+@functools.lru_cache(2)
+def token_names(path: str) -> dict[int, bytes]:
+    """The name of each id of a tokenizer file, all that decoding needs."""
+    with open(path, encoding="utf-8") as file:
+        return _names(json.load(file))
+
+
 class WordBpe:
     """The vocabulary of one tokenizer file, as arrays."""
 
@@ -79,7 +91,7 @@ class WordBpe:
             raise ValueError(f"{path} is not a word vocabulary with {END}")
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t.encode() for t, i in (vocab | self.special).items()}
+        self.names = _names(spec)
         self.size = max(self.names) + 1
         letters = byte_letters()
         self.base = np.array([vocab[c] for c in letters] + [vocab[c + END] for c in letters], np.int64)
@@ -388,10 +400,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(run, ENCODED)
 
 
-def decode_ids(bpe: WordBpe, ids: bytes) -> bytes:
+def decode_ids(names: dict[int, bytes], ids: bytes) -> bytes:
     """Tokens' names with a space between; numbers that the vocabulary lacks are left out."""
-    names = map(bpe.names.get, np.frombuffer(ids, "<u4").tolist())
-    return b" ".join(n for n in names if n is not None)
+    found = map(names.get, np.frombuffer(ids, "<u4").tolist())
+    return b" ".join(n for n in found if n is not None)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -404,10 +416,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     at = rows.columns.index("ids")
 
     def run(batches):
-        bpe = word_bpe(tokenizer)
+        names = token_names(tokenizer)
         for batch in batches:
             found = (i.as_py() for i in batch.column(at))
-            texts = [None if i is None else decode_ids(bpe, i) for i in found]
+            texts = [None if i is None else decode_ids(names, i) for i in found]
             decoded = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], schema.names)
 
