@@ -114,6 +114,9 @@ class SeriesOrder:
 
 @dataclass(frozen=True)
 class ForestSettings:
+    """``partitions`` is how many parts the rows are dealt to; what each tree samples depends on it."""
+
+    partitions: int = 16
     trees: int = 100
     depth: int = 10
     seed: int = 42

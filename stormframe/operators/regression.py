@@ -10,7 +10,7 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import BASELINE_FEATURES, TARGET, ForestSettings
@@ -67,9 +67,61 @@ def baseline_models(
     }
 
 
-def fit_models(models: Mapping[str, Pipeline], train: DataFrame) -> dict[str, Model]:
-    """Fit each model; every fit is a distributed job over ``train``."""
-    return {name: model.fit(train) for name, model in models.items()}
+def in_fixed_parts(
+    train: DataFrame, keys: Sequence[str], partitions: int = ForestSettings().partitions
+) -> DataFrame:
+    """Rows dealt out by their keys and sorted: the same parts whatever files and cores they come from.
+
+    A tree draws its sample part by part and row by row, so the forest depends on both.
+    """
+    return train.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
+def fit_models(
+    models: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str] = ()
+) -> dict[str, Model]:
+    """Fit each model; every fit is a distributed job over ``train``, in fixed parts if it has ``keys``."""
+    rows = in_fixed_parts(train, keys) if keys else train
+    return {name: model.fit(rows) for name, model in models.items()}
+
+
+def stored_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of a stored pipeline's forest: ``tree, node, left, right, feature, threshold, value``.
+
+    A leaf has no children. Features are numbered as the pipeline assembles them.
+    """
+    split = F.col("nodeData.split")
+    inner = F.col("nodeData.leftChild") >= 0
+
+    def when_inner(column: Column) -> Column:
+        return F.when(inner, column)
+
+    return spark.read.parquet(f"{folder}/stages/*_RandomForestRegressor_*/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"),
+        when_inner(F.col("nodeData.leftChild")).alias("left"), when_inner(F.col("nodeData.rightChild")).alias("right"),
+        when_inner(split["featureIndex"]).alias("feature"),
+        when_inner(F.get(split["leftCategoriesOrThreshold"], 0)).alias("threshold"),
+        F.col("nodeData.prediction").alias("value"),
+    )
+
+
+def walk_trees(
+    trees: DataFrame, rows: DataFrame, features: Sequence[str], keys: Sequence[str], settings: ForestSettings
+) -> DataFrame:
+    """``keys, walked, trees``: the mean of the leaves that each row reaches, one level of all trees at a time.
+
+    The node table is broadcast: it has no more than ``2 ** (depth + 1)`` rows a tree.
+    """
+    place = F.struct(*(F.col(c).cast("double").alias(c) for c in features))
+    each = F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
+    at = rows.select(*keys, F.array(*(place[c] for c in features)).alias("_x"), each).withColumn("node", F.lit(0))
+    for _ in range(settings.depth):
+        found = at.join(F.broadcast(trees.select("tree", "node", "left", "right", "feature", "threshold")), ["tree", "node"])
+        goes_left = F.get("_x", F.col("feature")) <= F.col("threshold")
+        step = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
+        at = found.select(*keys, "_x", "tree", step.alias("node"))
+    leaves = at.join(F.broadcast(trees.select("tree", "node", "value")), ["tree", "node"])
+    return leaves.groupBy(*keys).agg(F.avg("value").alias("walked"), F.count(F.lit(1)).alias("trees"))
 
 
 def predict(

@@ -31,11 +31,12 @@ def run_baselines(
 ) -> dict[str, dict[str, float]]:
     """Fit on train, store the models, predict test with what was stored, and store the predictions.
 
-    The validation split is not used. Returns the metrics per model.
+    ``keys`` tell rows apart; rows are dealt out by them, so that a rerun fits the same forest. The
+    validation split is not used. Returns the metrics per model.
     """
-    train = read_split(spark, tabular, "train", features, target)
+    train = read_split(spark, tabular, "train", features, target, keys)
     test = read_split(spark, tabular, "test", features, target, keys)
-    fitted = fit_models(models or baseline_models(features, target), train)
+    fitted = fit_models(models or baseline_models(features, target), train, keys)
     for name, model in fitted.items():
         Versions(spark, f"{folder}/models/{name}").replace(model.save)
     kept = {name: load_model(spark, folder, name) for name in fitted}

@@ -279,10 +279,6 @@ def det3(m) -> str:
     )
 
 
-def det2(m) -> str:
-    return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
-
-
 def least_squares(source: str, xs, y: str, det) -> str:
     """CTEs ending in ``fit``: one row with the means ``m_*`` and coefficients ``b_*``."""
     cov = {(a, b): f"c_{min(a, b)}_{max(a, b)}" for a in xs for b in (*xs, y)}
@@ -308,12 +304,42 @@ def fitted(xs, y: str) -> str:
 
 
 BASELINE = ("bz_gsm", "speed", "density")
-PAIRS = f"""pairs AS (
-  SELECT t.split, t.datetime AS target_ts, t.storm_severity_index::FLOAT::DOUBLE AS y,
-    a.speed::FLOAT::DOUBLE AS x1, b.speed::FLOAT::DOUBLE AS x2
-  FROM splits t
-  JOIN splits a ON a.rn = t.rn - 2 AND a.split = t.split
-  JOIN splits b ON b.rn = t.rn - 1 AND b.split = t.split)"""
+
+def window_least_squares(window: int) -> str:
+    """CTEs for a linear model on all steps: moments of the windows, solved by Gauss-Jordan elimination.
+
+    Column ``0`` of ``inputs`` is the target, ``1`` and so on are the inputs, oldest step first.
+    """
+    width = len(FEATURES) * window
+    values = " UNION ALL ".join(
+        f"SELECT rn, split, {i} AS f, {c}::FLOAT::DOUBLE AS v FROM splits" for i, c in enumerate(FEATURES)
+    )
+    return f"""long AS ({values}),
+samples AS (
+  SELECT t.rn, t.split, t.datetime AS target_ts, t.storm_severity_index::FLOAT::DOUBLE AS y FROM splits t
+  WHERE EXISTS (SELECT 1 FROM splits e WHERE e.rn = t.rn - {window} AND e.split = t.split)),
+inputs AS (
+  SELECT s.split, s.rn, (v.rn - s.rn + {window}) * {len(FEATURES)} + v.f + 1 AS i, v.v
+  FROM samples s JOIN long v ON v.split = s.split AND v.rn BETWEEN s.rn - {window} AND s.rn - 1
+  UNION ALL SELECT split, rn, 0, y FROM samples),
+centre AS (SELECT i, avg(v) AS m FROM inputs WHERE split = 'train' GROUP BY i),
+centred AS (SELECT rn, i, v - m AS v FROM inputs JOIN centre USING (i) WHERE split = 'train'),
+products AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS p FROM centred a JOIN centred b USING (rn)
+  WHERE a.i > 0 GROUP BY ALL),
+matrix AS (
+  SELECT list(line ORDER BY i) AS m
+  FROM (SELECT i, list(p ORDER BY CASE WHEN j = 0 THEN {width + 1} ELSE j END) AS line FROM products GROUP BY i)),
+solving AS (
+  SELECT 1 AS k, m FROM matrix
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, {width + 1}), lambda i: list_transform(range(1, {width + 2}), lambda j:
+    CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))
+  FROM solving WHERE k <= {width}),
+solved AS (
+  SELECT i, m[i][{width + 1}] AS b FROM (SELECT m FROM solving WHERE k = {width + 1}), range(1, {width + 1}) AS r(i)),
+scored AS (
+  SELECT rn, (SELECT m FROM centre WHERE i = 0) + sum(b * (v - m)) AS y_pred
+  FROM inputs JOIN solved USING (i) JOIN centre USING (i) WHERE split = 'test' GROUP BY rn)"""
 
 
 def chain(prefix: str, *parts: str) -> str:
@@ -487,6 +513,9 @@ FROM ({windows(inside_split(WINDOW))})""",
   SELECT 'linear_regression' AS model, (y - m) / s AS y_true, (linear - m) / s AS y_pred FROM tested
   UNION ALL SELECT 'persistence', (y - m) / s, (naive - m) / s FROM tested WHERE naive IS NOT NULL)
 GROUP BY model""",
+    "stored_forest": chain(SPLITS, SCALER) + f"""SELECT datetime, event_id,
+  {rnd("(storm_severity_index - storm_severity_index_mean) / storm_severity_index_scale")} AS y_true,
+  100::BIGINT AS trees, true AS same FROM splits, scaler WHERE split = 'test'""",
     "tree_cell_means": SPLITS + f"""SELECT datetime, event_id, {rnd('''avg(storm_severity_index) OVER (PARTITION BY
     least(floor((10.0::DOUBLE - bz_gsm) / 4.0::DOUBLE), 3),
     least(floor((speed - 300.0::DOUBLE) / 50.0::DOUBLE), 3),
@@ -494,7 +523,6 @@ GROUP BY model""",
 FROM splits WHERE split = 'train'""",
     "linear_on_all_windows": f"""SELECT step, {", ".join(f"{rnd(f'avg(y * {c})', 5)} AS {c}" for c in FEATURES)}
 FROM ({windows(inside_split(WINDOW))}) WHERE split = 'train' GROUP BY step""",
-    "linear_on_window": chain(SPLITS, PAIRS, least_squares("pairs", ("x1", "x2"), "y", det2))
-    + f"""SELECT target_ts, {rnd("y")} AS y_true, {rnd(fitted(("x1", "x2"), "y"))} AS y_pred
-FROM pairs, fit WHERE split = 'test'""",
+    "linear_on_window": chain(SPLITS, window_least_squares(WINDOW)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT target_ts, {rnd("y")} AS y_true, {rnd("y_pred")} AS y_pred FROM samples JOIN scored USING (rn)""",
 }

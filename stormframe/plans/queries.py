@@ -35,6 +35,7 @@ from stormframe.operators.sequences import (
     flatten_windows,
     sequence_windows,
 )
+from stormframe.operators.window_regression import fit_on_windows, predict_on_windows
 from stormframe.plans import prepare as preparation
 from stormframe.plans.baselines import evaluate, persistence_predictions
 from stormframe.session import shared_folder, stored
@@ -453,7 +454,7 @@ def gram_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def _fit_and_predict(spark, folder, names, keys=KEYS) -> DataFrame:
     table = splits(spark, folder).select(*KEYS, "split", *BASELINE_FEATURES, TARGET)
     models = {n: m for n, m in regression.baseline_models().items() if n in names}
-    fitted = regression.fit_models(models, table.where(F.col("split") == "train"))
+    fitted = regression.fit_models(models, table.where(F.col("split") == "train"), KEYS)
     return regression.predict(fitted, table.where(F.col("split") == "test"), keys=keys)
 
 
@@ -467,13 +468,11 @@ def random_forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def linear_on_window(spark: SparkSession, folder: str) -> DataFrame:
+    """A linear model on 24 steps of all features, fitted on train and scored on every test window."""
     table = splits(spark, folder)
-    windows = sequence_windows(table, ["speed"], TARGET, 2, by=["split"])
-    model = regression.fit_linear_on_window(windows.where(F.col("split") == "train"))
-    predictions = regression.predict_linear_on_window(
-        model, windows.where(F.col("split") == "test")
-    )
-    return rounded(predictions, "y_true", "y_pred")
+    train, test = (table.where(F.col("split") == s) for s in ("train", "test"))
+    model = fit_on_windows(train, FEATURES, TARGET, WINDOW)
+    return rounded(predict_on_windows(model, test), "y_true", "y_pred")
 
 
 QUERIES: dict[str, Query] = {

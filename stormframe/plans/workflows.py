@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormframe.config import BASELINE_FEATURES, FEATURES, MEASUREMENTS, SPLITS, TARGET
+from stormframe.config import BASELINE_FEATURES, FEATURES, MEASUREMENTS, SPLITS, TARGET, ForestSettings
 from stormframe.operators import quality, regression
 from stormframe.operators.sequences import check_sequences, flatten_windows
 from stormframe.plans import prepare as preparation
@@ -32,8 +32,8 @@ from stormframe.sources.events import solar_wind
 from stormframe.sources.files import Storage
 from stormframe.sources.fixed_width import read_years
 from stormframe.sources.header_json import rejected_payloads
-from stormframe.sources.tables import read_aligned
-from stormframe.sources.versions import latest
+from stormframe.sources.tables import read_aligned, read_split
+from stormframe.sources.versions import latest, read_parts
 from stormframe.streaming.ingest import file_states, ingest_landed, read_landed, read_ledger
 
 OBSERVED = ("datetime", *MEASUREMENTS, "file_name", "year")
@@ -200,6 +200,22 @@ def test_split_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(run_evaluation(spark, tabular, target), "rmse", "mae", "r2")
 
 
+def stored_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The forest of the stored experiment: its stored trees, walked by joins, give its stored predictions."""
+    target, name = shared_folder(spark), "random_forest"
+    preparation.prepare(solar_wind(spark, folder), target, gate=False)
+    tabular = f"{latest(spark, target)}/tabular"
+    run_baselines(spark, tabular, target)
+    trees = stored(regression.stored_trees(spark, latest(spark, f"{target}/models/{name}")), "trees")
+    test = read_split(spark, tabular, "test", BASELINE_FEATURES, keys=KEYS)
+    walked = regression.walk_trees(trees, test, BASELINE_FEATURES, KEYS, ForestSettings())
+    predicted = read_parts(spark, f"{target}/predictions").where(F.col("model") == name)
+    return predicted.join(walked, list(KEYS)).select(
+        *KEYS, F.round("y_true", 6).alias("y_true"), "trees",
+        (F.abs(F.col("walked") - F.col("y_pred")) < 1e-9).alias("same"),
+    )
+
+
 def tree_cell_means(spark: SparkSession, folder: str) -> DataFrame:
     """One deep tree without sampling on features of four levels: it predicts the mean of a cell."""
     levels = {
@@ -249,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "prepared_summary": prepared_summary,
     "prepared_validation": prepared_validation,
     "test_split_metrics": test_split_metrics,
+    "stored_forest": stored_forest,
     "tree_cell_means": tree_cell_means,
     "linear_on_all_windows": linear_on_window,
 }
