@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Bytes of text whose suffixes a task sorts together.
 BLOCK_BYTES = 6_000_000
 #: Suffixes of a group, about: 24 bytes each, and some ten times as much while they are sorted.
-GROUP_SUFFIXES = 500_000
+GROUP_SUFFIXES = 1_000_000
 #: Counters of prefixes per number of words: prefixes of one counter are extended together.
 COUNTERS = 1 << 16
 #: Bits of the filter that tells rare words; with more frequent words than bits it tells fewer of them.
@@ -49,7 +49,7 @@ _NEXT_WORDS = re.compile(rb"(?: +[^ \n]+){0,%d}" % (WORDS - 1))
 
 #: Level 0 counts words per language, level 1 each word, levels 2 and 3 the prefixes of a counter.
 _LEVELS = "level int, lang string, word string, counter int, n long"
-_SENT = "group long, langs array<string>, words array<string>, leaves binary, counts binary, depths binary"
+_SENT = "group long, leaves int, raw int, langs array<string>, packed binary"
 _COUNTED = "lang string, phrase string, size int, n long, whole boolean"
 #: Stands for the depth of a suffix that ends inside heavy prefixes.
 _NEVER = WORDS + 1
@@ -61,8 +61,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hashes(values: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(v.encode()) for v in values], np.uint64)
+def _hashes(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, values), np.uint64, len(values))
 
 
 def _extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -105,11 +105,11 @@ class Block:
         spaced = [t.replace(b"\n", b" \n ") + b" \n" for t in texts]
         joined = pa.array([b" ".join(spaced)], pa.large_binary()).cast(pa.large_string())
         coded = pc.split_pattern(joined, " ").flatten().dictionary_encode()
-        self.words = coded.dictionary.to_pylist()
+        self.words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         codes = coded.indices.to_numpy().astype(np.int64)
-        if "" in self.words:
-            codes = codes[codes != self.words.index("")]
-        self.codes, self.breaks = codes, codes == self.words.index("\n")
+        if b"" in self.words:
+            codes = codes[codes != self.words.index(b"")]
+        self.codes, self.breaks = codes, codes == self.words.index(b"\n")
         # A text has the breaks of its piece ends and one more.
         ends = np.cumsum([t.count(b"\n") for t in spaced])
         at = np.flatnonzero(self.breaks)[ends - 1]
@@ -117,7 +117,7 @@ class Block:
         self.own = ~self.breaks
         for stop, count in zip(at.tolist(), borrowed, strict=True):
             self.own[stop - count : stop] = False
-        self.word_hash, self.lang_hash = _hashes(self.words), _hashes(self.langs)
+        self.word_hash, self.lang_hash = _hashes(self.words), _hashes([x.encode() for x in self.langs])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (language, word), their hashes, and the pair at each place."""
@@ -132,7 +132,7 @@ class Block:
         other. A row is a language and ``WORDS`` words, -1 after the end.
         """
         size = len(self.codes)
-        rows = np.full((size, WORDS + 1), -1, np.int64)
+        rows = np.full((size, WORDS + 1), -1)
         rows[:, 0] = self.lang_of
         going = self.own.copy()
         for k in range(WORDS):
@@ -182,7 +182,7 @@ def read_blocks(batches, size: int = BLOCK_BYTES) -> Iterator[Block]:
         yield Block(langs, texts, borrowed)
 
 
-def _rows(level: int, lang: list, word: list, counter: list, n: np.ndarray) -> pa.RecordBatch:
+def _rows(level: int, lang: list, word: list | pa.Array, counter: list, n: np.ndarray) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64()]
     columns = [[level] * len(n), lang, word, counter, n]
     return pa.RecordBatch.from_arrays(
@@ -198,16 +198,18 @@ def count_words(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches):
         counters = np.zeros((WORDS, size), np.int64)
         for block in read_blocks(batches, block_bytes):
-            lang, word, _, which = block.pairs()
+            lang, word, hashes, which = block.pairs()
             n = np.bincount(which[block.own], minlength=len(lang))
             lang, word, n = lang[n > 0], word[n > 0], n[n > 0]
             names = pa.array(block.langs).take(pa.array(lang)).to_pylist()
-            yield _rows(1, names, pa.array(block.words).take(pa.array(word)).to_pylist(), [None] * len(n), n)
+            yield _rows(1, names, pa.array(block.words, pa.string()).take(pa.array(word)), [None] * len(n), n)
             total = np.bincount(lang, n, len(block.langs)).astype(np.int64)
             yield _rows(0, block.langs, [None] * len(total), [None] * len(total), total)
-            for k, (prefix, there) in enumerate(block.prefixes(block.suffixes(~block.breaks)), 1):
-                if 1 < k < WORDS:
-                    counters[k] += np.bincount(_place(prefix[there], size), minlength=size)
+            prefix, going = hashes[which], block.own
+            for k in range(2, WORDS):
+                going = going[: len(prefix) - 1] & ~block.breaks[k - 1 :]
+                prefix = _extended(prefix[:-1], block.word_hash[block.codes[k - 1 :]])
+                counters[k] += np.bincount(_place(prefix[going], size), minlength=size)
         for k in range(2, WORDS):
             at = np.flatnonzero(counters[k])
             yield _rows(k, [None] * len(at), [None] * len(at), at.tolist(), counters[k][at])
@@ -223,7 +225,7 @@ def _heavy(counted: DataFrame, suffixes: int) -> np.ndarray:
     def add_up(frames):
         total = np.zeros(size, np.int64)
         for frame in frames:
-            prefix = _extended(_hashes(frame["lang"].tolist()), _hashes(frame["word"].tolist()))
+            prefix = _extended(*(_hashes([x.encode() for x in frame[c]]) for c in ("lang", "word")))
             np.add.at(total, _place(prefix, size), frame["n"].to_numpy())
         at = np.flatnonzero(total)
         yield pd.DataFrame({"level": np.ones(len(at), np.int32), "counter": at.astype(np.int32), "n": total[at]})
@@ -244,7 +246,7 @@ def _frequent_bits(words: DataFrame) -> np.ndarray:
 
     def place(frames):
         for frame in frames:
-            prefix = _extended(_hashes(frame["lang"].tolist()), _hashes(frame["word"].tolist()))
+            prefix = _extended(*(_hashes([x.encode() for x in frame[c]]) for c in ("lang", "word")))
             bit = _place(prefix, size)
             yield pd.DataFrame({"chunk": bit // chunk, "bit": (bit % chunk).astype(np.int32)}).drop_duplicates()
 
@@ -261,8 +263,27 @@ def _frequent_bits(words: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype("<i2" if values.size == 0 or values.max() < 1 << 15 else "<i4")
+def pack_leaves(leaves: np.ndarray, times: np.ndarray, depth: np.ndarray, names: list[str], words: np.ndarray):
+    """A row of ``_SENT`` without its group: suffixes, counts, depths and the words they use, compressed.
+
+    Suffixes are sorted and lie column by column, so that equal prefixes are runs.
+    """
+    used, codes = np.unique(leaves[:, 1:], return_inverse=True)
+    langs, lang = np.unique(leaves[:, 0], return_inverse=True)
+    ended = int(used[0] == -1)  # the end of a suffix, which is 0 among the codes
+    codes = np.column_stack([lang, codes.reshape(len(leaves), WORDS) + 1 - ended]).astype("<i4")
+    raw = codes.T.tobytes() + times.astype("<i8").tobytes() + depth.tobytes() + b"\n".join(words[used[ended:]])
+    return len(leaves), len(raw), [names[i] for i in langs], pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_leaves(leaves: int, raw: int, packed: bytes):
+    """Codes, counts, depths and words of ``pack_leaves``."""
+    data = pa.decompress(packed, raw, "zstd", asbytes=True)
+    wide = 4 * (WORDS + 1) * leaves
+    codes = np.frombuffer(data, "<i4", (WORDS + 1) * leaves).reshape(WORDS + 1, leaves).T
+    counts = np.frombuffer(data, "<i8", leaves, wide)
+    depths = np.frombuffer(data, np.int8, leaves, wide + 8 * leaves)
+    return codes, counts, depths, data[wide + 9 * leaves :].split(b"\n")
 
 
 def _send(rows: DataFrame, bits: np.ndarray, heavy: np.ndarray, groups: int, block_bytes: int) -> DataFrame:
@@ -287,24 +308,15 @@ def _send(rows: DataFrame, bits: np.ndarray, heavy: np.ndarray, groups: int, blo
             order = np.argsort(group, kind="stable")
             edges = np.append(np.flatnonzero(np.diff(group[order], prepend=np.uint64(groups))), len(order))
             words = np.array(block.words, object)
-            out: list[tuple] = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                at = order[a:b]
-                used, codes = np.unique(leaves[at, 1:], return_inverse=True)
-                langs, lang = np.unique(leaves[at, 0], return_inverse=True)
-                # The end of a suffix, -1, is always or never the first of the used words; 0 stands for it.
-                ended = int(used[0] == -1)
-                codes = np.column_stack([lang, codes.reshape(len(at), WORDS) + 1 - ended])
-                out.append((
-                    int(group[at[0]]), [block.langs[i] for i in langs], words[used[ended:]].tolist(),
-                    _narrow(codes).tobytes(), times[at].astype("<i8" if times[at].max() >= 1 << 31 else "<i4").tobytes(),
-                    depth[at].tobytes(),
-                ))
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+            out = [
+                (int(group[order[a]]), *pack_leaves(leaves[order[a:b]], times[order[a:b]], depth[order[a:b]], block.langs, words))
+                for a, b in zip(edges[:-1], edges[1:], strict=True)
+            ]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary()]
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["group", "langs", "words", "leaves", "counts", "depths"],
+                ["group", "leaves", "raw", "langs", "packed"],
             )
 
     return rows.mapInArrow(run, _SENT)
@@ -313,18 +325,17 @@ def _send(rows: DataFrame, bits: np.ndarray, heavy: np.ndarray, groups: int, blo
 def _unpacked(frame: pd.DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, words, and the leaves of all rows with one numbering: 0 for no word."""
     langs: dict[str, int] = {}
-    words: dict[str, int] = {}
+    words: dict[bytes, int] = {}
     leaves, counts, depths = [], [], []
     for row in frame.itertuples(index=False):
-        depth = np.frombuffer(row.depths, np.int8)
-        wide = len(row.leaves) // (len(depth) * (WORDS + 1))
-        leaf = np.frombuffer(row.leaves, f"<i{wide}").reshape(-1, WORDS + 1)
+        codes, count, depth, used = unpack_leaves(row.leaves, row.raw, row.packed)
         lang_of = np.array([langs.setdefault(x, len(langs)) for x in row.langs])
-        word_of = np.array([0, *(words.setdefault(w, len(words) + 1) for w in row.words)])
-        leaves.append(np.column_stack([lang_of[leaf[:, 0]], word_of[leaf[:, 1:]]]))
-        counts.append(np.frombuffer(row.counts, f"<i{len(row.counts) // len(depth)}").astype(np.int64))
+        word_of = np.array([0, *(words.setdefault(w, len(words) + 1) for w in used)])
+        leaves.append(np.column_stack([lang_of[codes[:, 0]], word_of[codes[:, 1:]]]))
+        counts.append(count)
         depths.append(depth)
-    return list(langs), ["", *words], np.concatenate(leaves), np.concatenate(counts), np.concatenate(depths)
+    names = ["", *(w.decode() for w in words)]
+    return list(langs), names, np.concatenate(leaves), np.concatenate(counts), np.concatenate(depths)
 
 
 def subtree_counts(frame: pd.DataFrame, minimum: int) -> pd.DataFrame:
@@ -334,7 +345,8 @@ def subtree_counts(frame: pd.DataFrame, minimum: int) -> pd.DataFrame:
     group's prefix is whole and left out below ``minimum``; one above it is counted in part.
     """
     langs, words, leaves, counts, depths = _unpacked(frame)
-    order = np.lexsort(leaves.T[::-1])
+    base = len(words)
+    order = np.lexsort((leaves[:, 3] * base + leaves[:, 4], (leaves[:, 0] * base + leaves[:, 1]) * base + leaves[:, 2]))
     leaves, counts, depths = leaves[order], counts[order], depths[order]
     out = []
     border = np.ones(len(leaves), bool)
