@@ -24,6 +24,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sha256(text: Column) -> Column:
     """32 bytes; half the size of the digest in hexadecimal."""
     return F.unhex(F.sha2(text.cast("binary"), 256))

@@ -34,14 +34,19 @@ TEMPLATES = [
 CUES = ["licen", "copyright", "spdx", "permission is hereby", "redistribution and use", "public domain"]
 THRESHOLD = 0.7
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: The same for Java, whose regular expressions recurse into a repeated group unless it is possessive. Here and
+#: below a repeated group is always followed by what it cannot hold, so giving nothing back changes no match.
+JAVA_TERM = TERM.replace(")*", ")*+")
 LICENSE_FILE = r"^(?:licen[sc]e|copying|notice|unlicense)(?:[.-].*)?$"
 #: Full texts, named by their licence.
 TEXTS = Path(__file__).with_name("license_texts")
 MARK = r"""(?:/\*+!?|\*+/?|//+!?|#+!?|--+>?|;+|%+|<!--|\"\"\"|'''|dnl\b|rem\b)"""
+#: The end of a comment at the end of a line. Runs of blanks and stars are tried from their first sign only.
+COMMENT_END = r"(?m)(?:(?<![ \t])[ \t]++(?:\*++/|-->)|(?<!\*)\*++/|-->)[ \t]*+$"
 #: Lines that name a holder, not a licence.
 HOLDER = r"(?m)^[ \t]*(?:(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|\[|<)|\(c\)|©).*|all rights reserved\.?[ \t]*)$"
-VERSION = r"(?:\bv(?:ersion|\.)?|\bcc[ -]by(?:-[a-z]{2})*|\battribution(?:-[a-z]+)*|\bcc0)[ ,\n-]*([0-9]+(?:\.[0-9]+)?)"
-NAME = r"\bgnu (?:[a-z]+ )?general public|\battribution(?:-[a-z]+)*|\bcc[ -]by(?:-[a-z]{2})*"
+VERSION = r"(?:\bv(?:ersion|\.)?|\bcc[ -]by(?:-[a-z]{2})*+|\battribution(?:-[a-z]+)*+|\bcc0)[ ,\n-]*+([0-9]+(?:\.[0-9]+)?)"
+NAME = r"\bgnu (?:[a-z]+ )?general public|\battribution(?:-[a-z]+)*+|\bcc[ -]by(?:-[a-z]{2})*+"
 #: What ``NAME`` finds first in texts of licences whose wordings are close.
 NAMES = {
     "gpl": ["gnu general public"],
@@ -76,7 +81,7 @@ def _unmarked(text: Column) -> Column:
     """
     text = F.regexp_replace(text, "\r\n?", "\n")
     text = F.regexp_replace(text, rf"(?m)^[ \t]*{MARK}[ \t]*", "\x01")
-    text = F.regexp_replace(text, r"(?m)[ \t]*(?:\*+/|-->)[ \t]*$", "")
+    text = F.regexp_replace(text, COMMENT_END, "")
     text = F.regexp_replace(text, r"(?m)^(\x01.*)\n(?!\x01)", "$1\n\n")
     text = F.regexp_replace(text, r"(?m)^((?!\x01).*)\n(?=\x01)", "$1\n\n")
     text = F.regexp_replace(text, r"\n[ \t]*(?=\n)", "\n")
@@ -96,7 +101,7 @@ def notice_units(docs: DataFrame, path: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("named"), F.lower(whole_text()).alias("text"))
     rows = rows.where(_has_cue(F.col("text"))).withColumn("text", _unmarked(F.col("text")))
     files = rows.where("named").select("doc_id", F.lit(True).alias("file"), _joined(F.col("text")).alias("unit"))
-    blocks = rows.select("doc_id", F.explode(F.split("text", r"\n(?: *\n)+")).alias("block"))
+    blocks = rows.select("doc_id", F.explode(F.split("text", r"\n(?: *+\n)++")).alias("block"))
     blocks = blocks.where(_has_cue(F.col("block"))).select("doc_id", _joined(F.col("block")).alias("block"))
     sentences = F.split(F.regexp_replace("block", r"([.!?]) ", "$1\n"), "\n")
     units = F.explode(F.array_distinct(F.array_append(sentences, F.col("block"))))
@@ -116,7 +121,7 @@ def spdx_licenses(docs: DataFrame, licenses: list[str]) -> DataFrame:
 
 
 def _terms(rows: DataFrame, key: str) -> DataFrame:
-    term = F.explode(F.regexp_extract_all(key, F.lit(TERM), F.lit(0))).alias("term")
+    term = F.explode(F.regexp_extract_all(key, F.lit(JAVA_TERM), F.lit(0))).alias("term")
     return rows.select(key, term).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -198,7 +203,7 @@ def match_whole(units: DataFrame, templates: DataFrame, threshold: float = THRES
         F.xxhash64("template", "license").alias("template"), "license", "several", "term",
         F.col("weight").alias("t_weight"), F.col("norm").alias("t_norm"),
     )
-    term = F.explode(F.regexp_extract_all("unit", F.lit(TERM), F.lit(0))).alias("term")
+    term = F.explode(F.regexp_extract_all("unit", F.lit(JAVA_TERM), F.lit(0))).alias("term")
     terms = counted.select("digest", term).groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
     products = (
         _weighted(stored(terms, "terms"), idf, total, "digest").join(F.broadcast(wanted), "term")
@@ -234,7 +239,7 @@ def license_scan(docs: DataFrame, path: Column, templates: DataFrame | None = No
     ``doc_id`` of them. The nearest directory at or above a file passes its licence down;
     ``inherited_from`` is that directory and is given for files with an own licence too. Null texts
     have no notice, a null path lies in the top directory, rows that share a ``doc_id`` share their
-    notices, and empty tables give an empty result. Other columns are ignored.
+    notices, a row without one has no notice of its own and passes none down, and empty tables give an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     whole = whole_templates(spark) if templates is None else templates
@@ -270,7 +275,10 @@ def license_scan(docs: DataFrame, path: Column, templates: DataFrame | None = No
     parts = F.split("directory", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     climbed = folders.select("directory", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = climbed.join(given, "above").groupBy("directory").agg(
+    # The top directory stands above all others; how many a directory stands above is counted first.
+    below = stored(climbed.groupBy("above").agg(F.count(F.lit(1)).alias("below")).join(given, "above"), "given")
+    met = join_groups(climbed, below, "above", "below").where(F.col("inherited_license").isNotNull())
+    nearest = met.groupBy("directory").agg(
         F.max(F.struct(F.length("above").alias("depth"), "above", "inherited_license")).alias("near")
     )
     passed = folders.join(nearest, "directory", "left").select(
