@@ -10,13 +10,15 @@ are too common for one block are told apart by their own strings.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import join_groups, partitions, sha256, whole_text
+from stormframe.llm.common import join_groups, numbered, partitions, sha256, whole_text
 from stormframe.llm.shingles import mixed
 from stormframe.session import stored
 
@@ -58,8 +60,9 @@ class _Sums:
 def anchored_runs(parts: list[bytes], length: int, powers: _Sums):
     """Runs of starting points with one anchor, over several texts at once.
 
-    Returns, per run, its text's number, first start, number of starts, the anchor's hash and the
-    hash of everything from the first start to the end of the last string.
+    Returns, per run, its text's number, first start, number of starts, the anchor's hash and a
+    digest of 16 bytes (two numbers) of everything from the first start to the end of the last string.
+    Only the digest is taken for equality; anchors with one hash merely meet.
     """
     k = max(1, length // 3)
     window = length - k + 1
@@ -86,9 +89,10 @@ def anchored_runs(parts: list[bytes], length: int, powers: _Sums):
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(starts)))
     first, run_owner, place = starts[at], owner[at], anchor[at]
-    digest = (sums[first + n - 1 + length] - sums[first]) * powers.down[first]
-    digest = mixed(digest + n.astype(np.uint64) * np.uint64(_BASE) + (place - first).astype(np.uint64))
-    return run_owner, first - firsts[run_owner], n, grams[place], digest
+    view = memoryview(data)
+    ends = (first + n - 1 + length).tolist()
+    digests = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), ends, strict=True)])
+    return run_owner, first - firsts[run_owner], n, grams[place], np.frombuffer(digests, "<u8").reshape(-1, 2)
 
 
 def _parts(batches, length: int):
@@ -112,10 +116,10 @@ def _parts(batches, length: int):
 
 def _earliest(hashes, digests, ids, starts):
     """Order by hash, digest and place; the first of each pair, and rows that repeat it later."""
-    order = np.lexsort((starts, ids, digests, hashes))
+    order = np.lexsort((starts, ids, digests[:, 1], digests[:, 0], hashes))
     h, d, i, s = hashes[order], digests[order], ids[order], starts[order]
     new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]).any(1)
     group = np.cumsum(new) - 1
     later = (i != i[new][group]) | (s != s[new][group])
     return order, new, later
@@ -159,7 +163,7 @@ def _settle_runs(rows: DataFrame, length: int) -> DataFrame:
         passed = frame["hash"].map(len) == 0
         done, runs = frame[passed], frame[~passed]
         out = [_found(False, np.zeros(len(flat(done, "doc_id", np.int64))), flat(done, "doc_id", np.int64), flat(done, "start", np.int64), flat(done, "n", width))]
-        hashes, digests = flat(runs, "hash", np.uint64), flat(runs, "digest", np.uint64)
+        hashes, digests = flat(runs, "hash", np.uint64), flat(runs, "digest", np.uint64).reshape(-1, 2)
         ids, start, n = flat(runs, "doc_id", np.int64), flat(runs, "start", np.int64), flat(runs, "n", width)
         if len(hashes):
             order, new, later = _earliest(hashes, digests, ids, start)
@@ -327,10 +331,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     in a document of smaller ``doc_id``, or before in the same one. Overlaps count, and strings are
     judged on the input. ``spans`` are the maximal removed runs as (start, length) in bytes, and
     ``kept`` the other bytes, which need not be valid UTF-8. Null text is empty. Rows with a null
-    ``doc_id`` match nothing and stay whole. Rows that share an id count as one document and are
-    not each other's repeats. Other columns are ignored.
+    ``doc_id`` match nothing and stay whole. Rows that share an id are separate documents, in the order
+    of their texts. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    shared = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if shared.isEmpty():
+        return _remove(docs.withColumn("row", F.col("doc_id")), length)
+    # Then rows go by their place in the order, which is a number of their own.
+    placed = numbered(docs.where(F.col("doc_id").isNotNull()), ["doc_id", "text"], "row")
+    others = docs.where(F.col("doc_id").isNull()).withColumn("row", F.lit(None).cast("long"))
+    return _remove(stored(placed.unionByName(others), "rows"), length)
+
+
+def _remove(docs: DataFrame, length: int) -> DataFrame:
+    """``remove_repeats`` of ``doc_id, text, row``; no two rows have one ``row``."""
+    rows = docs.select(F.col("row").alias("doc_id"), "text")
     found = stored(_settle_runs(rows.where(F.col("doc_id").isNotNull()), length), "runs")
     pieces = _pieces(rows, found.where("open").select("hash", "doc_id", "start", "n"), length)
     # One number for each TRANSFORM_BYTES of pieces at most.
@@ -367,5 +383,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    joined = rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "starts")
+    joined = docs.join(per_doc.withColumnRenamed("doc_id", "row"), "row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
