@@ -136,10 +136,14 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [pa.array(ids_of, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "n", "tokens"]
             )
 
+    def compared(found: DataFrame) -> DataFrame:
+        """One set per id: of several texts with one id that with the least set, so that reruns agree."""
+        return found.groupBy("doc_id").agg(F.min(F.struct("n", "tokens")).alias("set")).select("doc_id", "set.*")
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     few = ids.count() <= BROADCAST_IDS
     picked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return stored(picked.mapInArrow(sets, _SETS).dropDuplicates(["doc_id"]), "sets")
+    return stored(compared(picked.mapInArrow(sets, _SETS)), "sets")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -312,8 +316,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compared from the same prefixes: pair by pair where a token has few, and in pairs of blocks
     where it has many, so a group of k classes costs about k rows, and no link between parts is
     lost. Rows without words, null texts included, have no shingles and stand alone. A
-    null ``doc_id`` takes part in nothing and stays alone; rows that share an id are taken for
-    one document, whose texts should agree. Other columns are ignored.
+    null ``doc_id`` takes part in nothing and stays alone. Rows that share an id are one document: if
+    their texts differ, the one with the least set is compared, and the others follow it. Other
+    columns are ignored.
     """
     profile = stored(_profiles(docs), "profiles")
     kept = F.floor((F.col("n_shingles") * percent + 99) / 100)

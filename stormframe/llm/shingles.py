@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 WORDS = 5
@@ -11,10 +9,10 @@ BLOCK_BYTES = 500_000
 BLOCK_TEXTS = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The lowest 0 to 8 bytes of a number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PLACES = np.random.default_rng(21).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -25,27 +23,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << bits
-    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word; ASCII letters count as lower case, white space as ASCII's."""
-    joined = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    space = _SPACE[joined]
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    up, down = _powers(max(16, len(joined).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[joined] * up[: len(joined)])])
-    values = (sums[ends] - sums[starts]) * down[starts]
+    """Hash and text number of each word; ASCII letters count as lower case, white space as ASCII's.
+
+    A word's bytes are taken eight at a time, and what came before is spread over all bits and
+    multiplied before the next eight are added. A word of up to eight bytes has a hash of its own.
+    """
+    joined = b"\n".join(texts).lower() + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    # Eight bytes from each place on; the numbers overlap and are not aligned.
+    eights = np.ndarray(len(data), "<u8", joined + bytes(8), strides=(1,))
+    sizes = ends - starts
+    values = mixed(eights[starts] & _MASKS[np.minimum(sizes, 8)]) + mixed(sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > 8)
+    done = 8
+    while len(long):
+        left = np.minimum(sizes[long] - done, 8)
+        values[long] = mixed(values[long]) * _BASE + (eights[starts[long] + done] & _MASKS[left])
+        done += 8
+        long = long[sizes[long] > done]
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
     owner = np.searchsorted(firsts, starts, "right") - 1
-    return mixed(values + (ends - starts).astype(np.uint64)), owner
+    return mixed(values), owner
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
