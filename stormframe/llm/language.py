@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stormframe.llm.common import learnable, whole_text
+from stormframe.llm.common import free_name, learnable, whole_text
 
 #: Rows per language that the model is fitted on, about; chosen by a hash of their ids.
 ROWS_PER_LANGUAGE = 2000
@@ -19,19 +22,40 @@ SMOOTHING = 0.5
 #: Probability of a character outside the vocabulary, the same in every language.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
-#: Longer runs of letters are scored in parts of so many, so that products stay above zero.
-RUN_LETTERS = 32
+#: Probabilities of words of up to so many letters are multiplied; those of longer ones, whose product may
+#: be too small for a double, go by their logarithms.
+SHORT_WORD = 32
+#: Letters of words that are looked at together.
+LATTICE_LETTERS = 60_000
 CACHE_WORDS = 300_000
 #: Runs whose new words are scored together; a longer text is scored by itself.
 RUNS_AT_ONCE = 30_000
-RUNS = re.compile(rf"[^\W\d_]{{1,{RUN_LETTERS}}}")
+#: A letter, and the letters and marks that follow it.
+RUNS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PLAIN_RUNS = re.compile("[a-z]+")
 WORD_START = "▁"
 #: Enough for any character.
 CHARACTER_BITS = 21
 
 
 def runs_of(text: str) -> list[str]:
-    return RUNS.findall(text.lower())
+    text = text.lower()
+    return PLAIN_RUNS.findall(text) if text.isascii() else RUNS.findall(text)
+
+
+def word_groups(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words in groups of like length; long words are never with short ones."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        end, longest = at, 0
+        while end < len(order):
+            size = len(words[order[end]]) + 1
+            if end > at and (size * (end + 1 - at) > LATTICE_LETTERS or (longest <= SHORT_WORD + 1 < size)):
+                break
+            longest, end = size, end + 1
+        yield order[at:end]
+        at = end
 
 
 def read_vocabulary(path: str) -> list[str]:
@@ -115,13 +139,29 @@ class Lattice:
             np.add.at(reach[end], part[:, 1], reach[part[:, 2], part[:, 1]] * chances[part[:, 3]])
         return reach
 
+    def log_forward(self, logs: np.ndarray) -> np.ndarray:
+        """``forward`` in logarithms."""
+        reach = np.full((len(self.bounds), self.words, logs.shape[1]), -np.inf)
+        reach[0] = 0.0
+        for end in range(1, len(self.bounds)):
+            part = self.table[self.bounds[end - 1] : self.bounds[end]]
+            np.logaddexp.at(reach[end], part[:, 1], reach[part[:, 2], part[:, 1]] + logs[part[:, 3]])
+        return reach
+
+    @property
+    def short(self) -> bool:
+        return len(self.bounds) <= SHORT_WORD + 2
+
     def log_likelihood(self, chances: np.ndarray) -> np.ndarray:
         if not self.words:
             return np.zeros((0, chances.shape[1]))
-        return np.log(self.forward(chances)[self.sizes, np.arange(self.words)])
+        at = self.sizes, np.arange(self.words)
+        return np.log(self.forward(chances)[at]) if self.short else self.log_forward(np.log(chances))[at]
 
     def expected_counts(self, chances: np.ndarray, times: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations; ``times`` is ``[word, language]``."""
+        if not self.short:
+            return self._log_expected_counts(np.log(chances), times)
         reach = self.forward(chances)
         back = np.zeros_like(reach)
         words = np.arange(self.words)
@@ -135,6 +175,19 @@ class Lattice:
             np.add.at(back, (part[:, 2], part[:, 1]), flow)
         return counts
 
+    def _log_expected_counts(self, logs: np.ndarray, times: np.ndarray) -> np.ndarray:
+        reach = self.log_forward(logs)
+        back = np.full_like(reach, -np.inf)
+        words = np.arange(self.words)
+        back[self.sizes, words] = -reach[self.sizes, words]
+        counts = np.zeros_like(logs)
+        for end in range(len(self.bounds) - 1, 0, -1):
+            part = self.table[self.bounds[end - 1] : self.bounds[end]]
+            flow = back[end, part[:, 1]] + logs[part[:, 3]]
+            np.add.at(counts, part[:, 3], np.exp(flow + reach[part[:, 2], part[:, 1]]) * times[part[:, 1]])
+            np.logaddexp.at(back, (part[:, 2], part[:, 1]), flow)
+        return counts
+
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -158,8 +211,8 @@ class Scorer:
         self.values = np.zeros((cache_words, len(model.languages)), np.float64)
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
+        for group in word_groups(words):
+            part = [words[i] for i in group]
             values = Lattice(part, self.trie, self.longest).log_likelihood(self.model.chances)
             first = len(self.known)
             if first + len(part) > len(self.values):
@@ -249,9 +302,10 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
                     counts[lang, piece_ids.get(piece, -1)] += n
             yield _as_batch(counts)
 
+    place = {lang: i for i, lang in enumerate(languages)}
+
     def chances_from(table: DataFrame) -> np.ndarray:
         counts = np.full((len(pieces), len(languages)), SMOOTHING)
-        place = {lang: i for i, lang in enumerate(languages)}
         for r in table.groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
             if r["piece"] >= 0:
                 counts[r["piece"], place[r["lang"]]] += r["n"]
@@ -266,11 +320,11 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
         for batch in batches:
             langs, found, times = (c.to_pylist() for c in batch.columns)
             total = np.zeros_like(chances)
-            for at in range(0, len(found), 2000):
-                weights = np.zeros((len(found[at : at + 2000]), len(languages)))
-                for i, (lang, n) in enumerate(zip(langs[at : at + 2000], times[at : at + 2000], strict=True)):
-                    weights[i, languages.index(lang)] = n
-                total += Lattice(found[at : at + 2000], trie, longest).expected_counts(chances, weights)
+            for group in word_groups(found):
+                weights = np.zeros((len(group), len(languages)))
+                for i, at in enumerate(group):
+                    weights[i, place[langs[at]]] = times[at]
+                total += Lattice([found[i] for i in group], trie, longest).expected_counts(chances, weights)
             rows, columns = np.nonzero(total[:-1] > 1e-9)
             yield _as_batch({(languages[c], int(r)): total[r, c] for r, c in zip(rows, columns, strict=True)})
 
@@ -290,20 +344,22 @@ def _as_batch(counts: dict) -> pa.RecordBatch:
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` of each whole text.
 
-    Texts without a letter, null and empty ones included, are ``und`` with score 0, and so is
+    Words are runs of letters with the marks that follow them, of any length. Texts without a letter, null and empty ones included, are ``und`` with score 0, and so is
     every text if no row could be learned from. Of equally likely languages the first in code
     point order wins. Columns of ``docs`` with one of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("lang_pred", "score")
-    schema = rest.schema.add("_text", "string").add("lang_pred", "string").add("score", "double")
+    text = free_name(rest, "_text")
+    added = [StructField(text, StringType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    schema = StructType([*rest.schema, *added])
 
     def predict(batches):
         scorer = shared.value.scorer()
         for batch in batches:
-            names, scores = scorer.predict(batch.column("_text").to_pylist())
+            names, scores = scorer.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names
             )
 
-    return rest.withColumn("_text", whole_text()).mapInArrow(predict, schema).drop("_text")
+    return rest.withColumn(text, whole_text()).mapInArrow(predict, schema).drop(text)
