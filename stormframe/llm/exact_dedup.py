@@ -65,12 +65,14 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever those are called."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("id"), sha256(whole_text()).alias("digest"),
+    )
     kept = exact_duplicates(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")
+        F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")
     )
-    rows = docs.withColumn("_sha", sha256(whole_text()))
-    same = rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_digest"])
-    joined = rows.join(kept, same)
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
-    return joined.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    # Of rows with one id and text any stays; they are combined before they are shuffled.
+    return joined.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")

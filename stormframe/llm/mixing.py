@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import numbered, whole_text
+from stormframe.llm.common import free_name, numbered, whole_text
 from stormframe.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -81,27 +81,29 @@ def mix_rates(
     sized = rest.withColumn("size", size)
     rates = stored(source_targets(sized.select("source", "size"), weights, cap), "rates")
     small = rates.agg(F.count(F.lit(1)), F.sum(F.octet_length("source"))).first()
-    right = rates.withColumnRenamed("source", "_source")
-    same = sized["source"].eqNullSafe(right["_source"])
+    other, rate, salt, of = (free_name(docs, n) for n in ("_source", "rate", "_salt", "_of"))
+    right = rates.select(
+        F.col("source").alias(other), "source_size", "target", F.col("rate").alias(rate)
+    )
+    same = sized["source"].eqNullSafe(right[other])
     if small[0] <= BROADCAST_SOURCES and (small[1] or 0) <= NAME_BYTES:
         joined = sized.join(F.broadcast(right), same)
     else:
         # Each source's row is repeated per salt, so a source with a third of all rows is split.
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        sized = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        right = right.withColumn("_of", salts)
-        joined = sized.join(right, (sized["_salt"] == right["_of"]) & sized["source"].eqNullSafe(right["_source"]))
+        sized = sized.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        right = right.withColumn(of, salts)
+        joined = sized.join(right, (sized[salt] == right[of]) & sized["source"].eqNullSafe(right[other]))
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    whole = F.floor("rate")
-    extra = (number < F.col("rate") - whole).cast("long")
+    whole = F.floor(rate)
+    extra = (number < F.col(rate) - whole).cast("long")
     return joined.withColumn("copies", whole + extra).select(*rest.columns, *own)
 
 
 def emit_mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with its own columns."""
-    mixed = mix_rates(docs.withColumn("_row", F.struct(*docs.columns)), **settings)
-    taken = mixed.where("copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    )
-    return taken.select("_row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    mixed = mix_rates(docs.select("doc_id", "source", "text", row), **settings).where("copies > 0")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return mixed.select("row", each).select("row.*")

@@ -87,7 +87,7 @@ rates AS (
   SELECT source, source_size, least(stop, weight * coalesce(level, 1e300)) AS target,
     CASE WHEN source_size = 0 THEN 0 WHEN stop <= weight * coalesce(level, 1e300) THEN 3.0 ELSE weight * level / source_size END AS rate
   FROM weighted, level)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT
     / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source

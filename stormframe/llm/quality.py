@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stormframe.llm.common import learnable, whole_text
+from stormframe.llm.common import free_name, learnable, whole_text
 
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED_ROWS = 4000
@@ -150,13 +151,14 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "score") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop(name)
-    schema = rest.schema.add("_text", "string").add(name, "double")
+    text = free_name(rest, "_text")
+    schema = StructType([*rest.schema, StructField(text, StringType()), StructField(name, DoubleType())])
 
     def score(batches):
         for batch in batches:
-            texts = [t.encode() for t in batch.column("_text").to_pylist()]
+            texts = [t.encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
             column = pa.array(shared.value.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
-    scored = rest.withColumn("_text", whole_text() if "text" in rest.columns else F.lit(""))
-    return scored.mapInArrow(score, schema).drop("_text")
+    scored = rest.withColumn(text, whole_text() if "text" in rest.columns else F.lit(""))
+    return scored.mapInArrow(score, schema).drop(text)

@@ -66,7 +66,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_rates(documents(spark, folder).select("doc_id", "source", "text"))
     return mixed.select(
-        "doc_id", "size", "source_size", F.round("target", 3).alias("target"),
+        "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
 
