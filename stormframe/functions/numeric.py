@@ -10,17 +10,33 @@ from pyspark.sql import functions as F
 from stormframe.config import SENTINELS
 
 
-# A decimal number or infinity, with blanks around it and nothing else.
-NUMBER = r"^\s*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI]nf(?:inity)?))\s*$"
+# Spellings of infinity that are read, without a sign.
+INFINITIES = ("inf", "Inf", "infinity", "Infinity")
+_SIGNED = [sign + name for sign in ("", "+", "-") for name in INFINITIES]
+# White space around a number.
+BLANKS = " \t\n\x0b\f\r"
 
 
-def lenient_double(text: Column) -> Column:
-    """Text to double; blank, unparseable or NaN text gives NULL.
+def without_blanks(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def bare_double(bare: Column) -> Column:
+    """Text without blanks around it to double; unparseable or NaN text gives NULL.
 
-    ``try_cast`` alone would also read Java's type suffixes (``1.0d``), which are not numbers.
-    The input is named once, so optimizer rewrites that inline it stay small.
+    The cast alone would also read Java's type suffixes (``1.0d``), hexadecimal numbers and other
+    spellings of infinity. A decimal number ends in a digit or a point and has no ``x``; those
+    bytes are tested, without a regular expression. ``bare`` is named several times and should be a
+    column that is there, not an expression.
     """
-    return F.regexp_extract(text, NUMBER, 1).try_cast("double")
+    ends = F.instr(F.lit("0123456789."), F.substring(bare, -1, 1)) > 0
+    decimal = ends & ~F.contains(bare, F.lit("x")) & ~F.contains(bare, F.lit("X"))
+    return F.when(decimal | bare.isin(_SIGNED), bare.try_cast("double"))
+
+
+def lenient_double(text: Column) -> Column:
+    """Text to double; blank, unparseable or NaN text gives NULL."""
+    return bare_double(without_blanks(text))
 
 
 def nan_to_null(number: Column) -> Column:
@@ -47,10 +63,10 @@ def hour_timestamp(year: Column, day_of_year: Column, hour: Column) -> Column:
     Parts are truncated to whole numbers. Day 366 of a common year and hour 24 are impossible.
     """
     y, d, h = (part.try_cast("int") for part in (year, day_of_year, hour))
-    day = F.try_to_date(F.format_string("%04d-%03d", y, d), "yyyy-DDD")
-    # Looking the hour up gives NULL outside 0..23.
-    in_day = F.get(F.array(*(F.lit(i) for i in range(24))), h)
-    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), in_day, F.lit(0), F.lit(0))
+    first = F.make_date(F.when(y.between(1, 9999), y), F.lit(1), F.lit(1))
+    day = F.date_add(first, F.when(d.between(1, 366), d) - 1)
+    in_day = F.make_dt_interval(F.lit(0), F.when(h.between(0, 23), h))
+    return F.when(F.year(day) == y, day.cast("timestamp_ntz") + in_day)
 
 
 def epoch_seconds(time: Column) -> Column:

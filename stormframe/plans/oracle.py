@@ -8,7 +8,7 @@ rounded on both sides.
 from __future__ import annotations
 
 from stormframe.config import CONDITIONING_LIMITS, DERIVED_WEIGHTS, INDEX_WEIGHTS, REPORT_LIMITS
-from stormframe.plans.queries import WINDOW
+from stormframe.plans.queries import SHORT_STEP_HOURS, WINDOW
 
 ORDER = "ORDER BY datetime, event_id"
 MEASURES = ("bt", "bz_gsm", "speed", "density", "dst")
@@ -197,6 +197,7 @@ def steps(partition: str = "") -> str:
 GAPS = """count(*) FILTER (h > 1) AS num_gaps,
   coalesce({max_gap}, 0.0::DOUBLE) AS max_gap_hours,
   round_even(count(*) FILTER (h > 1) / count(*)::DOUBLE, 4) AS gap_fraction"""
+SHORT_GAPS = GAPS.replace("(h > 1)", f"(h > {SHORT_STEP_HOURS})")
 
 
 def validation(partition: str = "") -> str:
@@ -353,7 +354,7 @@ NORMS = "dst_norm, bz_norm, bt_norm, speed_norm, density_norm"
 OBSERVATION = "datetime, bt, bz_gsm, speed, density, dst"
 
 ORACLE: dict[str, str] = {
-    "severity_summary": UNFILLED + f"""SELECT storm_severity_class, count(*) AS n_rows,
+    "severity_summary": SPLITS + f"""SELECT storm_severity_class, count(*) AS n_rows,
   {rnd("avg(storm_severity_index)", 9)} AS mean_index, min(auroral_latitude_deg) AS min_latitude,
   CASE storm_severity_class WHEN 'quiet' THEN 0 WHEN 'minor' THEN 1 WHEN 'moderate' THEN 2
     WHEN 'severe' THEN 3 WHEN 'extreme' THEN 4 END::BIGINT AS class_rank
@@ -371,9 +372,11 @@ FROM derived GROUP BY storm_severity_class""",
 FROM parsed GROUP BY year""",
     "year_range_load": with_(PARSED)
     + f"SELECT {OBSERVATION}, event_id FROM parsed WHERE year BETWEEN 2020 AND 2023",
-    "incremental_ingest": with_(PARSED, "manifest AS (SELECT DISTINCT year FROM parsed WHERE year <= 2021)")
+    "incremental_ingest": with_(
+        PARSED, "manifest AS (SELECT DISTINCT datetime::DATE AS day FROM parsed WHERE speed IS NULL)"
+    )
     + """SELECT year, event_id, datetime, dst FROM parsed p
-WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.year = p.year)""",
+WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.day = p.datetime::DATE)""",
     "json_header_rows": """SELECT ts AS time_tag, event_id::DOUBLE AS event_id,
   CASE WHEN event_id % 7 <> 0 THEN value / 4.0::DOUBLE END AS bt,
   CASE WHEN event_type <> 'error' THEN value END AS speed
@@ -386,6 +389,8 @@ WHERE bt IS NOT NULL AND bz_gsm IS NOT NULL AND speed IS NOT NULL
     "fill_gaps_by_user": with_(WIND, filled("PARTITION BY user_id")) + "SELECT * FROM filled",
     "continuity_report": with_(WIND, steps())
     + f"SELECT {GAPS.format(max_gap='max(h) FILTER (h > 1)')} FROM steps",
+    "continuity_report_short": with_(WIND, steps())
+    + f"SELECT {SHORT_GAPS.format(max_gap=f'max(h) FILTER (h > {SHORT_STEP_HOURS})')} FROM steps",
     "continuity_report_by_user": with_(WIND, steps("PARTITION BY user_id"))
     + f"SELECT user_id, {GAPS.format(max_gap=rnd('max(h) FILTER (h > 1)'))} FROM steps GROUP BY user_id",
     "missing_report": with_(WIND) + MISSING,
@@ -397,7 +402,9 @@ WHERE bt IS NOT NULL AND bz_gsm IS NOT NULL AND speed IS NOT NULL
     "training_gate": chain(SPLITS, SAMPLES) + """SELECT 'train_samples' AS check, train_samples >= 1000 AS passed FROM sizes
 UNION ALL SELECT 'val_samples', val_samples >= 200 FROM sizes
 UNION ALL SELECT 'test_samples', test_samples >= 200 FROM sizes
-UNION ALL SELECT 'sequence_length', true UNION ALL SELECT 'n_features', true""",
+UNION ALL SELECT 'sequence_length', min(step) = 0 AND max(step) > 0 FROM """
+    + f"(SELECT unnest(range({WINDOW})) AS step) "
+    + "UNION ALL SELECT 'n_features', count(*) = 4 FROM (SELECT unnest(['bt', 'bz_gsm', 'speed', 'density']))",
     "chronological_split": SPLITS + "SELECT datetime, event_id, rn, split FROM splits",
     "position_by_user": with_(
         WIND,
@@ -419,9 +426,9 @@ FROM splits GROUP BY split, storm_severity_class""",
     "scale_splits": chain(SPLITS, SCALER) + "SELECT datetime, event_id, split, dst, " + ", ".join(
         f"{rnd(f'({c} - {c}_mean) / {c}_scale')} AS {c}" for c in SCALED_COLUMNS
     ) + " FROM splits, scaler",
-    "unscale": SPLITS + "SELECT datetime, event_id, " + ", ".join(
-        f"{rnd(c, 9)} AS {c}" for c in SCALED_COLUMNS
-    ) + " FROM splits",
+    "unscale": chain(SPLITS, SCALER) + "SELECT datetime, event_id, " + ", ".join(
+        f"{rnd(f'{c} + {c}_scale')} AS {c}" for c in SCALED_COLUMNS
+    ) + " FROM splits, scaler",
     "sequence_windows": windows(""),
     "sequence_windows_by_split": windows(inside_split(WINDOW)),
     "sequence_windows_by_user": with_(
@@ -484,6 +491,12 @@ FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0""",
   row_number() OVER (PARTITION BY split ORDER BY rn) - 1 AS rn FROM splits""",
     "aligned_windows": f"""SELECT * REPLACE (rn - min(rn) OVER (PARTITION BY split) + {WINDOW} AS rn)
 FROM ({windows(inside_split(WINDOW))})""",
+    "window_batches": f"""SELECT split, batch, count(DISTINCT rn) AS samples, count(DISTINCT step) AS steps,
+  {", ".join(f"{rnd(f'sum({c})', 3)} AS {c}" for c in FEATURES)},
+  {rnd(f"sum(CASE WHEN step = {WINDOW - 1} THEN {' + '.join(FEATURES)} END)", 3)} AS last_step,
+  {rnd(f"sum(CASE WHEN step = 0 THEN y END)")} AS y
+FROM (SELECT *, (rn - min(rn) OVER (PARTITION BY split)) // 64 AS batch FROM ({windows(inside_split(WINDOW))}))
+GROUP BY split, batch""",
     "run_summary_by_user": with_(
         WIND,
         filled("PARTITION BY user_id"),

@@ -49,6 +49,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("datetime", "event_id")
 BY_USER = SeriesOrder(by=("user_id",))
 WINDOW = 24
+SHORT_STEP_HOURS = 0.125
 
 
 def r9(column: str | Column) -> Column:
@@ -83,9 +84,10 @@ def splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def severity_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, mean index and lowest latitude per class, over filled rows inside the limits."""
+    conditioned = preparation.condition(solar_wind(spark, folder))
     return (
-        derived(spark, folder)
-        .groupBy("storm_severity_class")
+        conditioned.rows.groupBy("storm_severity_class")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             r9(F.avg(TARGET)).alias("mean_index"),
@@ -180,9 +182,12 @@ def year_range_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    landed = parsed_lines(spark, folder).withColumn("year", F.year("datetime").cast("long"))
-    manifest = landed.where(F.col("year") <= 2021).select("year").distinct()
-    return new_rows(landed, manifest).select("year", "event_id", "datetime", "dst")
+    """Rows of days that the manifest, here the days with a missing speed, does not list."""
+    landed = stored(parsed_lines(spark, folder), "landed").withColumns(
+        {"year": F.year("datetime").cast("long"), "day": F.to_date("datetime")}
+    )
+    manifest = landed.where(F.col("speed").isNull()).select("day")
+    return new_rows(landed, manifest, key="day").select("year", "event_id", "datetime", "dst")
 
 
 def json_header_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,6 +242,11 @@ def continuity_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.continuity_report(solar_wind(spark, folder))
 
 
+def continuity_report_short(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps longer than a few minutes."""
+    return quality.continuity_report(solar_wind(spark, folder), max_step_hours=SHORT_STEP_HOURS)
+
+
 def continuity_report_by_user(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(quality.continuity_report(solar_wind(spark, folder), BY_USER), "max_gap_hours")
 
@@ -302,10 +312,11 @@ def scale_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unscale(spark: SparkSession, folder: str) -> DataFrame:
+    """One standard deviation above each value, back in physical units."""
     table = splits(spark, folder)
     scaler = Scaler.fit(table, [*FEATURES, TARGET])
-    restored = scaler.inverse(scaler.transform(table))
-    return rounded(restored.select(*KEYS, *FEATURES, TARGET), *FEATURES, TARGET, places=9)
+    above = scaler.transform(table).withColumns({c: F.col(c) + F.lit(1.0) for c in (*FEATURES, TARGET)})
+    return rounded(scaler.inverse(above).select(*KEYS, *FEATURES, TARGET), *FEATURES, TARGET)
 
 
 # --- windows ------------------------------------------------------------------------
@@ -492,6 +503,7 @@ QUERIES: dict[str, Query] = {
     "fill_gaps": fill_gaps,
     "fill_gaps_by_user": fill_gaps_by_user,
     "continuity_report": continuity_report,
+    "continuity_report_short": continuity_report_short,
     "continuity_report_by_user": continuity_report_by_user,
     "missing_report": missing_report,
     "outlier_report": outlier_report,

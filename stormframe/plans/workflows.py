@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stormframe.config import BASELINE_FEATURES, FEATURES, MEASUREMENTS, SPLITS, TARGET, ForestSettings
 from stormframe.operators import quality, regression
+from stormframe.operators.batches import Batch, map_batches
 from stormframe.operators.sequences import check_sequences, flatten_windows
 from stormframe.plans import prepare as preparation
 from stormframe.plans.baselines import run_baselines, run_evaluation
@@ -152,6 +153,25 @@ def aligned_windows(spark: SparkSession, folder: str) -> DataFrame:
     return as_doubles(flatten_windows(windows, FEATURES))
 
 
+def _sums(batch: Batch) -> dict:
+    split, number = batch.keys
+    total = batch.x.sum(axis=(0, 1), dtype=float)
+    last = batch.x[:, -1, :].sum(dtype=float)
+    columns = {c: round(float(v), 3) for c, v in zip(FEATURES, total, strict=True)}
+    return {
+        "split": split, "batch": number, "samples": len(batch.x), "steps": batch.x.shape[1], **columns,
+        "last_step": round(float(last), 3), "y": round(float(batch.y.sum(dtype=float)), 6),
+    }
+
+
+def window_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of 64 windows as arrays, each told by its sums."""
+    sums = ", ".join(f"{c} double" for c in (*FEATURES, "last_step", "y"))
+    schema = f"split string, batch long, samples long, steps long, {sums}"
+    windows = stored(preparation.split_windows(splits(spark, folder)), "windows")
+    return map_batches(windows, _sums, schema, by=["split"])
+
+
 # --- several series -----------------------------------------------------------------
 
 
@@ -260,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "rejected_payloads": rejected_payloads_query,
     "aligned_files": aligned_files,
     "aligned_windows": aligned_windows,
+    "window_batches": window_batches,
     "run_summary_by_user": run_summary_by_user,
     "validation_report_by_user": validation_report_by_user,
     "prepared_summary": prepared_summary,

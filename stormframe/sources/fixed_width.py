@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.config import FIXED_WIDTH_FIELDS, REQUIRED_COLUMNS, SENTINELS
-from stormframe.functions.numeric import drop_sentinels, hour_timestamp, lenient_double
+from stormframe.functions.numeric import bare_double, drop_sentinels, hour_timestamp, without_blanks
 from stormframe.sources.places import PLACE, START, URL, with_place, with_split
 
 TIME_PARTS = ("year", "doy", "hour")
@@ -41,13 +41,9 @@ def parse_lines(
     per_field = sentinels if isinstance(sentinels, Mapping) else dict.fromkeys(fields, list(sentinels))
     # Slicing bytes is direct, while slicing text would walk the line for every field.
     raw = F.col(text).cast("binary")
-    numbers = lines.select(
-        *keep,
-        *(
-            lenient_double(F.substring(raw, start + 1, end - start).cast("string")).alias(name)
-            for name, (start, end) in fields.items()
-        ),
-    )
+    texts = {name: F.substring(raw, start + 1, end - start).cast("string") for name, (start, end) in fields.items()}
+    bare = lines.select(*keep, *(without_blanks(field).alias(name) for name, field in texts.items()))
+    numbers = bare.select(*keep, *(bare_double(F.col(name)).alias(name) for name in fields))
     parsed = numbers.withColumns(
         {name: drop_sentinels(F.col(name), per_field.get(name, ())) for name in fields}
     )

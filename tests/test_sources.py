@@ -1,6 +1,8 @@
 import gzip
 import json
-from datetime import datetime
+import random
+import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
@@ -83,6 +85,27 @@ def test_impossible_dates_are_dropped(spark, parts):
     assert parse(spark, line(**parts)) == []
 
 
+def test_numbers_are_those_of_the_plain_pattern(spark):
+    number = re.compile(r"\s*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?))\s*", re.ASCII)
+    pick = random.Random(8)
+    texts = ["".join(pick.choices("01259.+-eE xXdDfFpninfity\t", k=pick.randrange(7))) for _ in range(6000)]
+    texts += ["inf", "-Inf", "+infinity", "INF", "iNf", "Infinity", "NaN", "0x1p3", "0X10", "1.0d", "5f", " 7 ", "\u00a07", "1_0", "٣"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lenient_double(F.col("t")).alias("v")).collect()
+    for row in rows:
+        match = number.fullmatch(row["t"])
+        assert row["v"] == (float(match.group(1)) if match else None), repr(row["t"])
+
+
+def test_days_of_the_year(spark):
+    cases = [(y, d, h) for y in (0, 1, 1900, 2000, 2019, 2020, 9999, 10000, -5) for d in (-1, 0, 1, 60, 365, 366, 367) for h in (-1, 0, 23, 24)]
+    rows = spark.createDataFrame([tuple(map(float, c)) for c in cases], "y double, d double, h double")
+    for r in rows.select("*", hour_timestamp(F.col("y"), F.col("d"), F.col("h")).alias("t")).collect():
+        y, d, h = int(r["y"]), int(r["d"]), int(r["h"])
+        days = 366 if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0) else 365
+        valid = 1 <= y <= 9999 and 1 <= d <= days and 0 <= h <= 23
+        assert r["t"] == (datetime(y, 1, 1) + timedelta(days=d - 1, hours=h) if valid else None)
+
+
 def test_leap_day_and_narrower_sentinels(spark):
     (row,) = parse(spark, line(2020, 366, 23))
     assert row["datetime"] == datetime(2020, 12, 31, 23)
