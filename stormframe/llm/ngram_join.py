@@ -149,40 +149,41 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """``(token, doc_id, n, first, second)``, stored: prefix tokens under each order.
 
-    Both orders put rarer tokens first and break ties by different hashes. A set's prefix has as
-    many tokens as must hold one of the overlap with any partner. Tokens of one set alone stand
-    at the front of either order and are not written.
+    The first order puts rarer tokens first, the second goes by a hash alone, so the two have little in
+    common. Under either, a set's prefix has as many tokens as must hold one of the overlap with any
+    partner. Tokens of one set alone can be no overlap: they stand at the front of the first order,
+    where they and their room are left out, and are not written for the second.
     """
 
     def tokens_of(batches):
         for batch in batches:
             parts = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
-            sizes = [len(p) for p in parts]
+            sizes = np.array([len(p) for p in parts], np.int64)
             ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
             values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            second = mixed(values.view(np.uint64)).view(np.int64)
+            owner = np.repeat(np.arange(len(parts)), sizes)
+            order = np.lexsort((mixed(values.view(np.uint64)), owner))
+            rank = np.empty(len(values), np.int64)
+            rank[order] = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner[order]]
             n = np.repeat(batch.column("n").to_numpy(), sizes)
+            second = rank <= n - (n * percent + 99) // 100
             for at in range(0, len(values), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[part]), pa.array(second[part]), pa.array(ids[part]), pa.array(n[part])],
-                    ["token", "other", "doc_id", "n"],
+                    ["token", "second", "doc_id", "n"],
                 )
 
-    rows = sets.mapInArrow(tokens_of, "token long, other long, doc_id long, n long")
+    rows = sets.mapInArrow(tokens_of, "token long, second boolean, doc_id long, n long")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_doc = Window.partitionBy("doc_id")
     kept = F.floor((F.col("n") * percent + 99) / 100)
     # The n - kept + 1 first tokens, less those of this set alone.
     room = F.count(F.lit(1)).over(by_doc) - kept + 1
     ranked = rows.join(often, "token").select(
-        "token", "doc_id", "n", room.alias("room"),
-        F.row_number().over(by_doc.orderBy("df", "token")).alias("r1"),
-        F.row_number().over(by_doc.orderBy("df", "other")).alias("r2"),
+        "token", "doc_id", "n", "second", (F.row_number().over(by_doc.orderBy("df", "token")) <= room).alias("first")
     )
-    first, second = F.col("r1") <= F.col("room"), F.col("r2") <= F.col("room")
-    found = ranked.select("token", "doc_id", "n", first.alias("first"), second.alias("second"))
-    return stored(found.where("first or second"), "prefixes")
+    return stored(ranked.where("first or second"), "prefixes")
 
 
 def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,12 +222,15 @@ def _short_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "token").where(apart).select("a", "b").distinct()
 
 
-def _long_list_links(rows: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _long_list_links(
+    rows: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, every: bool = False
+) -> DataFrame:
     """``(a, b)``, stored: links between parts among documents that share a token of many.
 
     Documents are put in blocks of ``BLOCK_DOCS``, those with one centre and of like size
     together. Two blocks meet if a token's list has documents of both whose sizes may link. A task
-    holds two blocks; it hands on no pairs, only links that join parts still apart in it.
+    holds two blocks; it hands on no pairs, only links that join parts still apart in it, or
+    ``every`` link.
     """
     docs = rows.groupBy("doc_id").agg(
         F.min("centre").alias("centre"), F.first("n").alias("n"), F.first("part").alias("part")
@@ -275,6 +279,11 @@ def _long_list_links(rows: DataFrame, prefixes: DataFrame, sets: DataFrame, perc
                 return x
 
             for i, j in zip(*np.nonzero(maybe & (100 * both >= percent * union)), strict=True):
+                if every:
+                    a, b = sorted((int(one["doc_id"].iloc[i]), int(two["doc_id"].iloc[j])))
+                    if not inner or i < j:
+                        found.append((a, b))
+                    continue
                 x, y = root(int(part_1[i])), root(int(part_2[j]))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
@@ -307,6 +316,47 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _alike(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows that may link, rows that cannot, classes of equal sets with their smallest id, and those ids' sets."""
+    profile = stored(_profiles(docs), "profiles")
+    kept = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    may = (F.col("n_shingles") > 0) & (F.col("shared") >= kept) & F.col("doc_id").isNotNull()
+    alive = profile.where(may)
+    classes = stored(alive.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
+    sets = _sets(docs, classes.select(F.col("class_id").alias("doc_id")))
+    return alive, profile.where(~F.coalesce(may, F.lit(False))), classes, sets
+
+
+def near_pairs(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links between classes of equal sets, and which rows are in which class.
+
+    Returns ``(a, b)``, class ids with ``a < b``, each pair once; and ``(doc_id, n_shingles, class_id,
+    n_links)`` for each row, where ``n_links`` counts the other rows it links with, equal ones
+    included. A class id is the smallest ``doc_id`` of the class. Rows with a null ``doc_id`` or without
+    words link with nothing; rows that share an id are one document, as ``near_duplicates`` has it.
+    """
+    alive, alone, classes, sets = _alike(docs, percent)
+    prefixes = _prefixes(sets, percent)
+    first = prefixes.where("first").select("token", "doc_id", "n", F.col("doc_id").alias("part"))
+    lists = first.groupBy("token").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = first.join(lists.select("token", "centre", (F.col("df") > SMALL_LIST).alias("long_list")), "token")
+    rows = stored(rows, "lists_of_tokens")
+    few = _verified(_short_list_pairs(rows.where("not long_list"), percent), prefixes, sets, percent)
+    many = _long_list_links(rows.where("long_list"), prefixes, sets, percent, every=True)
+    pairs = stored(few.unionByName(many).distinct(), "pairs")
+
+    members = alive.select("doc_id", "n_shingles", "digest").join(classes, "digest").drop("digest")
+    members = stored(members, "members")
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"))
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    linked = pairs.unionByName(turned).join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy("a").agg(F.sum("rows").alias("others"))
+    links = sizes.join(linked.withColumnRenamed("a", "class_id"), "class_id", "left").select(
+        "class_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    nothing = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return pairs, members.join(links, "class_id").select("doc_id", "n_shingles", "class_id", "n_links").unionByName(nothing)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
 
@@ -320,11 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     their texts differ, the one with the least set is compared, and the others follow it. Other
     columns are ignored.
     """
-    profile = stored(_profiles(docs), "profiles")
-    kept = F.floor((F.col("n_shingles") * percent + 99) / 100)
-    alive = profile.where((F.col("n_shingles") > 0) & (F.col("shared") >= kept) & F.col("doc_id").isNotNull())
-    classes = stored(alive.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
-    sets = _sets(docs, classes.select(F.col("class_id").alias("doc_id")))
+    alive, alone, classes, sets = _alike(docs, percent)
     prefixes = _prefixes(sets, percent)
     first = prefixes.where("first")
     centre = first.groupBy("token").agg(F.min("doc_id").alias("a"))
@@ -349,7 +395,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_class = classes.join(linked.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     by_class = by_class.select("digest", F.coalesce("component_id", "class_id").alias("component_id"))
     members = alive.select("doc_id", "n_shingles", "digest").join(by_class, "digest").drop("digest")
-    alone = profile.where(~F.coalesce((F.col("n_shingles") > 0) & (F.col("shared") >= kept) & F.col("doc_id").isNotNull(), F.lit(False)))
     return members.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -15,7 +15,7 @@ from stormframe.llm.exact_dedup import drop_exact_duplicates
 from stormframe.llm.language import SMOOTHING, UNKNOWN, Lattice, fit_language, read_vocabulary, runs_of, with_language
 from stormframe.llm.licenses import license_scan
 from stormframe.llm.mixing import emit_mix, mix_rates
-from stormframe.llm.ngram_join import drop_near_duplicates, near_duplicates
+from stormframe.llm.ngram_join import drop_near_duplicates, near_duplicates, near_pairs
 from stormframe.llm.quality import BUCKETS, DIMENSIONS, NEIGHBOURS, fit_quality, trigram_counts, with_quality
 from stormframe.llm.queries import PIECES, WORD_BPE
 from stormframe.llm.shingles import word_hashes
@@ -151,6 +151,45 @@ def test_near_duplicates_of_one_id_with_two_texts(spark):
     assert results[0] == results[1] == results[2] and len(results[0]) == 4
 
 
+# --- all links of the join --------------------------------------------------------------------
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def varied(seed, groups, copies):
+    """Groups of near copies, more than a short list holds, with exact copies and awkward texts among them."""
+    pick, rows = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"w{pick.randrange(400)}" for _ in range(pick.randrange(20, 60))]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(pick.choice([0, 0, 1, 2, 3])):
+                words[pick.randrange(len(words))] = f"x{pick.randrange(50)}"
+            rows.append(" ".join(words))
+    return [(i, t) for i, t in enumerate([*rows, None, "", "one two", "one two", "ONE  two"])]
+
+
+@pytest.mark.parametrize(("seed", "groups", "copies"), [(1, 12, 4), (2, 3, 40), (3, 2, 9)])
+def test_pairs_and_links_equal_brute_force(spark, seed, groups, copies):
+    rows = varied(seed, groups, copies)
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = defaultdict(set)
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            links[a].add(b)
+            links[b].add(a)
+    least = {i: min((j for j, y in sets.items() if y == x), default=i) if x else i for i, x in sets.items()}
+    want = {(a, b) for a in set(least.values()) for b in links[a] if least[b] == b and a < b and sets[a] != sets[b]}
+    pairs, members = near_pairs(frame(spark, rows).repartition(4))
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and want
+    told = {r["doc_id"]: (r["n_shingles"], r["class_id"], r["n_links"]) for r in members.collect()}
+    assert told == {i: (len(x), least[i], len(links[i])) for i, x in sets.items()}
+
+
 # --- columns with the names that operators use inside -----------------------------------------
 
 
