@@ -144,39 +144,55 @@ def plan_packing(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...
     """``(lengths, repeats)`` whose lengths add up to ``histogram`` (``histogram[n]``: pieces of n).
 
     Where pieces above half of ``limit`` outnumber their partners, full patterns use up the short
-    ones too soon; so the fitted counts are also tried at smaller shares, and the plan with the
-    fewest sequences is taken.
+    ones too soon; so smaller shares of the fitted counts are also tried, and the plan with the
+    fewest sequences is taken, of equal ones that with the largest share.
     """
     if not histogram.any():
         return []
     patterns = length_patterns(np.flatnonzero(histogram), limit)
     fitted = fit_counts(patterns, histogram.astype(float)) if len(patterns) else np.zeros(0)
-    plans = (_plan(histogram, limit, patterns, share * fitted) for share in FITTED_SHARES)
+    plans = []
+    for share in FITTED_SHARES:
+        plan, left = round_patterns(histogram, patterns, share * fitted)
+        plans.append(plan + best_fit(left, limit))
     return min(plans, key=lambda plan: sum(repeats for _, repeats in plan))
 
 
-def _plan(
-    histogram: np.ndarray, limit: int, patterns: np.ndarray, fitted: np.ndarray
-) -> list[tuple[tuple[int, ...], int]]:
-    """Round ``fitted`` within what is left of each length, then pack what remains.
+def round_patterns(
+    histogram: np.ndarray, patterns: np.ndarray, fitted: np.ndarray
+) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole repeat counts, and what they leave of each length.
 
-    The rest goes longest first, each piece where it leaves the least room; equal pieces go
-    together by count.
+    Counts are rounded down; then those with the largest remainders get one more, until the total is that
+    of the fit. A pattern repeats only as often as there are pieces for it.
     """
     left = histogram.astype(np.int64).copy()
+    repeats: dict[int, int] = defaultdict(int)
+    whole = np.floor(fitted).astype(np.int64)
+    fraction = fitted - whole
+    extra = int(round(float(fraction.sum())))
+    large = np.flatnonzero(whole)
+    for i, wanted, one_more in (
+        *((i, int(whole[i]), False) for i in large[np.argsort(-fitted[large], kind="stable")].tolist()),
+        *((i, 1, True) for i in np.argsort(-fraction, kind="stable").tolist()),
+    ):
+        if one_more and (not extra or not fraction[i]):
+            break
+        lengths = [int(n) for n in patterns[i] if n]
+        need = {n: lengths.count(n) for n in lengths}
+        times = min(wanted, *(int(left[n]) // k for n, k in need.items()))
+        if times > 0:
+            repeats[i] += times
+            extra -= one_more
+            for n, k in need.items():
+                left[n] -= k * times
+    return [(tuple(int(n) for n in patterns[i] if n), times) for i, times in repeats.items()], left
+
+
+def best_fit(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, each piece where it leaves the least room; equal pieces go together by count."""
+    left = histogram
     plan: list[tuple[tuple[int, ...], int]] = []
-    if len(patterns):
-        for i in np.argsort(-fitted, kind="stable"):
-            repeats = int(round(fitted[i]))
-            if repeats < 1:
-                break
-            lengths = [int(n) for n in patterns[i] if n]
-            need = {n: lengths.count(n) for n in lengths}
-            repeats = min(repeats, *(left[n] // k for n, k in need.items()))
-            if repeats > 0:
-                plan.append((tuple(lengths), int(repeats)))
-                for n, k in need.items():
-                    left[n] -= k * repeats
     rooms: dict[int, list[list]] = defaultdict(list)  # by room left: [lengths, repeats]
     open_rooms = np.zeros(limit + 1, bool)
     for n in np.flatnonzero(left)[::-1]:

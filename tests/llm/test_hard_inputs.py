@@ -16,6 +16,7 @@ from stormframe.llm.language import SMOOTHING, UNKNOWN, Lattice, fit_language, r
 from stormframe.llm.licenses import license_scan
 from stormframe.llm.mixing import emit_mix, mix_rates
 from stormframe.llm.ngram_join import drop_near_duplicates, near_duplicates, near_pairs
+from stormframe.llm.packing import best_fit, fit_counts, length_patterns, plan_packing, round_patterns
 from stormframe.llm.quality import BUCKETS, DIMENSIONS, NEIGHBOURS, fit_quality, trigram_counts, with_quality
 from stormframe.llm.queries import PIECES, WORD_BPE
 from stormframe.llm.shingles import word_hashes
@@ -336,3 +337,26 @@ def test_scores_equal_plain_neighbours(spark):
         near = sorted(((float(latent[i] @ latent[k]), k % 2) for k in known), reverse=True)[:NEIGHBOURS]
         weights = [(max(c, 0.0), label) for c, label in near]
         assert scores[i] == pytest.approx(sum(w * label for w, label in weights) / sum(w for w, _ in weights), abs=2e-3)
+
+
+# --- packing: what comes from patterns -----------------------------------------------------------
+
+
+@pytest.mark.parametrize(("seed", "pieces"), [(1, 3000), (2, 12_000)])
+def test_most_sequences_of_several_pieces_are_fitted_patterns(seed, pieces):
+    limit = 512
+    lengths = np.minimum(np.random.default_rng(seed).geometric(1 / 150, pieces) + 3, limit)
+    histogram = np.bincount(lengths, minlength=limit + 1)
+    patterns = length_patterns(np.flatnonzero(histogram), limit)
+    fitted = fit_counts(patterns, histogram.astype(float))
+    plan, left = round_patterns(histogram, patterns, fitted)
+    rest = best_fit(left, limit)
+    used = np.zeros(limit + 1, np.int64)
+    for parts, repeats in plan + rest:
+        assert sum(parts) <= limit
+        np.add.at(used, list(parts), repeats)
+    assert (used == histogram).all()
+    several = sum(r for p, r in plan + rest if len(p) > 1)
+    assert sum(r for p, r in plan if len(p) > 1) > several / 2
+    total = sum(r for _, r in plan_packing(histogram, limit))
+    assert total <= 1.01 * np.ceil((histogram * np.arange(limit + 1)).sum() / limit)
