@@ -28,6 +28,8 @@ BLOCK_BYTES = 2_000_000
 #: Bytes of runs in one transform, about; no anchor with more comes to a transform.
 TRANSFORM_BYTES = 1_000_000
 POSITION_BITS = 23
+#: Common anchors (8 bytes each) that are broadcast, at most; more are joined.
+BROADCAST_ANCHORS = 1_000_000
 
 _SEED = np.random.default_rng(30)
 _VALUES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -349,12 +351,13 @@ def _remove(docs: DataFrame, length: int) -> DataFrame:
     rows = docs.select(F.col("row").alias("doc_id"), "text")
     found = stored(_settle_runs(rows.where(F.col("doc_id").isNotNull()), length), "runs")
     pieces = _pieces(rows, found.where("open").select("hash", "doc_id", "start", "n"), length)
-    # One number for each TRANSFORM_BYTES of pieces at most.
     sizes = pieces.groupBy("hash").agg(F.sum(F.length("piece")).alias("size"))
     common = stored(sizes.where(F.col("size") > TRANSFORM_BYTES).select("hash"), "common")
-    more = _settle_open(pieces.join(F.broadcast(common), "hash", "left_anti"), length)
-    if not common.isEmpty():
-        more = more.unionByName(_settle_common(pieces.join(F.broadcast(common), "hash", "left_semi"), length))
+    number = common.count()
+    marked = F.broadcast(common) if number <= BROADCAST_ANCHORS else common
+    more = _settle_open(pieces.join(marked, "hash", "left_anti"), length)
+    if number:
+        more = more.unionByName(_settle_common(pieces.join(marked, "hash", "left_semi"), length))
     covered = found.where("not open").select("doc_id", "start", "n").unionByName(more)
     per_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 
