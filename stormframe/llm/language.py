@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from stormframe.llm.common import free_name, learnable, whole_text
+from stormframe.session import stored
 
 #: Rows per language that the model is fitted on, about; chosen by a hash of their ids.
 ROWS_PER_LANGUAGE = 2000
@@ -288,7 +289,7 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
         sample.select("lang", whole_text().alias("text")).mapInArrow(words, "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
-    spread = counted.repartition("word").cache()  # a hash of the word, so no language is alone
+    spread = stored(counted.repartition("word"), "words")  # a hash of the word, so no language is alone
 
     def first_counts(batches):
         import sentencepiece
@@ -329,7 +330,6 @@ def fit_language(docs: DataFrame, vocabulary: str, rows: int = ROWS_PER_LANGUAGE
             yield _as_batch({(languages[c], int(r)): total[r, c] for r, c in zip(rows, columns, strict=True)})
 
     chances = chances_from(spread.mapInArrow(expected, schema))
-    spread.unpersist()
     return LanguageModel(languages, pieces, chances)
 
 
