@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormframe.functions.numeric import lenient_double
+from stormframe.functions.numeric import bare_double, without_blanks
 
 TIME_COLUMN = "time_tag"
 
@@ -46,7 +46,8 @@ def parse_payloads(
         F.col("_table")[0].alias("_header"),
         F.explode(F.slice("_table", 2, F.size("_table") - 1)).alias("_row"),
     )
-    return rows.select(*keep, *(_typed(name).alias(name) for name in names))
+    cells = rows.select(*keep, *(_cell(name).alias(name) for name in names))
+    return cells.select(*keep, *(_typed(name).alias(name) for name in names))
 
 
 def rejected_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -64,7 +65,13 @@ def _non_empty(payloads: DataFrame, payload: str) -> DataFrame:
     return payloads.withColumn("_table", table).where(F.size("_table") >= 2)
 
 
-def _typed(name: str) -> Column:
+def _cell(name: str) -> Column:
+    """The text of a column, as its header says where it is."""
     at = F.array_position("_header", F.lit(name))
     text = F.when(at > 0, F.try_element_at("_row", at.cast("int")))
-    return text.cast("timestamp_ntz") if name == TIME_COLUMN else lenient_double(text)
+    return text if name == TIME_COLUMN else without_blanks(text)
+
+
+def _typed(name: str) -> Column:
+    cell = F.col("`" + name.replace("`", "``") + "`")
+    return cell.cast("timestamp_ntz") if name == TIME_COLUMN else bare_double(cell)
