@@ -12,7 +12,10 @@ from stormframe.session import stored
 
 NEAREST = 20
 SHARD_VECTORS = 8192
-QUERY_BLOCK = 4096
+#: Queries that meet a shard in one task, so that a shard is sent as rarely, and those that walk it together: a
+#: walk marks nodes seen, a byte for each query and node.
+QUERY_BLOCK = 65_536
+WALKERS = 4096
 #: Links of a node on the base layer; half as many above.
 LINKS = 32
 CANDIDATES = 96
@@ -216,17 +219,16 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: in
     """``(query_id, rank, vec_id, score)``: the ``nearest`` rows found for each query.
 
     ``rows`` and ``queries`` are ``(vec_id, embedding)`` as :func:`usable_vectors` gives them. A
-    task holds one shard and one block of queries. Scores are inner products of the original
-    vectors in double precision, ties go to the smaller ``vec_id``, and a query does not find its
-    own id. Fewer rows than ``nearest`` are all found; without any, the result is empty.
+    task holds one shard and one block of queries, and the index is sent once for each block. Scores
+    are inner products of the original vectors in double precision, ties go to the smaller
+    ``vec_id``, and a query does not find its own id. Fewer rows than ``nearest`` are all found;
+    without any, the result is empty.
     """
     index = build_index(rows, nearest, shard_vectors)
     blocks = max(1, -(-queries.count() // query_block))
-    shards = [r["shard"] for r in index.select("shard").distinct().orderBy("shard").collect()]
-    if not shards:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select("vec_id", "embedding", block, F.explode(F.lit(shards)).alias("shard"))
+    asked = queries.select("vec_id", "embedding", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -235,7 +237,9 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: in
         graph = graph.sort_values("node").reset_index(drop=True)
         vectors = np.stack(graph["embedding"].to_numpy())
         asked = np.stack(queries["embedding"].to_numpy())
-        nodes = search_graph(vectors, _layers_of(graph), asked, beam)
+        layers = _layers_of(graph)
+        parts = (asked[at : at + WALKERS] for at in range(0, len(asked), WALKERS))
+        nodes = np.concatenate([search_graph(vectors, layers, part, beam) for part in parts])
         ids = graph["ids"].to_numpy()
         out = []
         for query_id, vector, found in zip(queries["vec_id"], asked, nodes, strict=True):
