@@ -68,7 +68,8 @@ def numbered_batches(sequences: DataFrame, size: int = BATCH_SAMPLES, by: Sequen
     keyed = sequences.withColumn("_series", key)
     first = keyed.groupBy("_series").agg(F.min(POSITION).alias("_first"))
     batch = F.floor((F.col(POSITION) - F.col("_first")) / size).alias(BATCH)
-    return keyed.join(first, "_series").select(*sequences.columns, batch).repartition(*series, BATCH).sortWithinPartitions(*series, BATCH, POSITION)
+    numbered = keyed.join(first, "_series").select(*sequences.columns, batch)
+    return numbered.repartition(*series, BATCH).sortWithinPartitions(*series, BATCH, POSITION)
 
 
 def batches_of(arrow: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[Batch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.sources.files import Storage
-from stormframe.sources.fixed_width import FILE_BITS, landed_name, numbered_lines, parse_lines
+from stormframe.sources.fixed_width import FILE_BITS, numbered_lines, parse_lines
 
 TAKEN, REJECTED, VANISHED = "taken", "rejected", "vanished"
 LEDGER = (
@@ -169,7 +169,8 @@ class Ingest:
         return parse_lines(lines, keep=["file_name", "line_id"]).withColumn("year", F.year("datetime"))
 
     def _rows_per_file(self, folder: str) -> dict[int, int]:
-        rows = self.spark.read.schema("line_id long").parquet(folder).groupBy(F.shiftright("line_id", FILE_BITS).alias("file")).count()
+        file = F.shiftright("line_id", FILE_BITS).alias("file")
+        rows = self.spark.read.schema("line_id long").parquet(folder).groupBy(file).count()
         return {r["file"]: r["count"] for r in rows.collect()}
 
     def _line_counts(self, files: list[Landed]) -> dict[str, int]:
