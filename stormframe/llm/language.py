@@ -344,9 +344,10 @@ def _as_batch(counts: dict) -> pa.RecordBatch:
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` of each whole text.
 
-    Words are runs of letters with the marks that follow them, of any length. Texts without a letter, null and empty ones included, are ``und`` with score 0, and so is
-    every text if no row could be learned from. Of equally likely languages the first in code
-    point order wins. Columns of ``docs`` with one of the two names are replaced.
+    Words are runs of letters with the marks that follow them, of any length. Texts without a letter,
+    null and empty ones included, are ``und`` with score 0, and so is every text if no row could be
+    learned from. Of equally likely languages the first in code point order wins. Columns of
+    ``docs`` with one of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("lang_pred", "score")

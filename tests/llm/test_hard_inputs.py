@@ -1,6 +1,5 @@
 """Inputs that a corpus may hold and that a method may trip over."""
 
-import hashlib
 import itertools
 import math
 import random

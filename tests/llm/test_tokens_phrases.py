@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stormframe.llm import phrases
-from stormframe.llm.bpe import Encoder, decode, decode_ids, encode, segments, word_bpe
+from stormframe.llm.bpe import Encoder, decode, decode_ids, encode, segments
 from stormframe.llm.fill_middle import Units, disarrange, restore, streamed, transform, transform_text
 from stormframe.llm.oracle import OP13
 from stormframe.llm.phrases import collocations
