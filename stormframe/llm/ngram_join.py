@@ -27,8 +27,9 @@ SEVERAL = 0xFFFF
 #: Tokens of more documents are compared block by block instead of pair by pair.
 SMALL_LIST = 16
 BLOCK_DOCS = 256
-#: Tokens of two blocks that are multiplied at once.
+#: Tokens of two blocks that are multiplied at once, and those put in order at once.
 COLUMNS = 8192
+TOKENS_AT_ONCE = 200_000
 
 _TALLY = (
     "bucket int, block long, low binary, high binary, place binary, "
@@ -157,22 +158,26 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def tokens_of(batches):
         for batch in batches:
-            parts = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            order = np.lexsort((mixed(values.view(np.uint64)), owner))
-            rank = np.empty(len(values), np.int64)
-            rank[order] = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner[order]]
-            n = np.repeat(batch.column("n").to_numpy(), sizes)
-            second = rank <= n - (n * percent + 99) // 100
-            for at in range(0, len(values), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[part]), pa.array(second[part]), pa.array(ids[part]), pa.array(n[part])],
-                    ["token", "second", "doc_id", "n"],
-                )
+            size = batch.column("n").to_numpy()
+            # About TOKENS_AT_ONCE tokens are ordered together.
+            group = np.cumsum(size) // TOKENS_AT_ONCE
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(group)) + 1):
+                if len(rows):
+                    yield ordered(batch.slice(rows[0], len(rows)))
+
+    def ordered(batch):
+        sizes = batch.column("n").to_numpy()
+        values = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((mixed(values.view(np.uint64)), owner))
+        rank = np.empty(len(values), np.int64)
+        rank[order] = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner[order]]
+        n = sizes[owner]
+        second = rank <= n - (n * percent + 99) // 100
+        ids = batch.column("doc_id").to_numpy()[owner]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values), pa.array(second), pa.array(ids), pa.array(n)], ["token", "second", "doc_id", "n"]
+        )
 
     rows = sets.mapInArrow(tokens_of, "token long, second boolean, doc_id long, n long")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
