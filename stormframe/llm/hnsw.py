@@ -241,7 +241,7 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: in
         parts = (asked[at : at + WALKERS] for at in range(0, len(asked), WALKERS))
         nodes = np.concatenate([search_graph(vectors, layers, part, beam) for part in parts])
         ids = graph["ids"].to_numpy()
-        out = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for query_id, vector, found in zip(queries["vec_id"], asked, nodes, strict=True):
             found = found[found >= 0]
             score = vectors[found] @ vector
@@ -250,8 +250,10 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: in
             other = found_ids != query_id
             found_ids, scores = found_ids[other], scores[other]
             best = np.lexsort((found_ids, -scores))[:nearest]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": found_ids[best], "score": scores[best]}))
-        return pd.concat(out)
+            out.append((found_ids[best], scores[best]))
+        sizes = [len(found_ids) for found_ids, _ in out]
+        found_ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": np.repeat(queries["vec_id"].to_numpy(), sizes), "vec_id": found_ids, "score": scores})
 
     found = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(find, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
