@@ -179,3 +179,18 @@ def test_forest_does_not_depend_on_partitions_and_its_trees_can_be_walked(spark,
     walked = walk_trees(trees, frame, ["a", "b"], ["event_id"], settings).orderBy("event_id").toPandas()
     np.testing.assert_allclose(walked["walked"], found[0], atol=1e-9)
     assert set(walked["trees"]) == {7}
+
+
+def test_forest_keeps_nodes_of_rows_and_grows_the_same_trees(spark):
+    rng = np.random.default_rng(11)
+    table = pd.DataFrame({"event_id": np.arange(2000), "a": rng.normal(size=2000), "b": rng.normal(size=2000)})
+    table["y"] = np.cos(table["a"]) + table["b"] + rng.normal(0, 0.1, 2000)
+    frame = spark.createDataFrame(table)
+    kept = baseline_models(["a", "b"], "y", ForestSettings(trees=6, depth=6))["random_forest"]
+    assert kept.getStages()[-1].getCacheNodeIds()  # else every level walks from the roots again
+    walking = kept.copy({kept.getStages()[-1].cacheNodeIds: False})
+    assert not walking.getStages()[-1].getCacheNodeIds()
+    one, other = (fit_models({"f": p}, frame, ["event_id"])["f"] for p in (kept, walking))
+    assert one.stages[-1].totalNumNodes == other.stages[-1].totalNumNodes
+    found = [m.transform(frame).orderBy("event_id").toPandas()["y_pred"].to_numpy() for m in (one, other)]
+    np.testing.assert_allclose(found[0], found[1], atol=1e-9)
